@@ -49,5 +49,82 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from failed
 """
 
-QUERIES = {f.__name__: f for f in (op7_line_frequency_rules,)}
-ORACLES = {"op7_line_frequency_rules": OP7_SQL}
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.url_filters import judge_urls
+
+    return judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op8_sql() -> str:
+    strength = """select coalesce(1 / least(0.99::double, greatest(0.001::double,
+          (sum(n * pow(k / n - p, 2)) / nullif(sum(n * p * (1 - p)) / sum(n), 0) - (count(*) - 1))
+          / nullif(sum(n) - sum(n * n) / sum(n) - (count(*) - 1), 0))) - 1, 999::double) as s from {} where n > 0"""
+    return rf"""
+with judged as (
+  select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+outcomes as (
+  select host, good from (select distinct page_id, host from judged where host <> '')
+  join (select doc_id as page_id, min((quality = 1 and toxic = 0)::int) as good from labels
+        where quality is not null and toxic is not null group by doc_id) using (page_id)),
+seen as (select host, count(*)::double as n, sum(good)::double as k from outcomes group by host),
+counts as (
+  select host, coalesce(n, 0) as n, coalesce(k, 0) as k, array_to_string(string_split(host, '.')[-2:], '.') as domain,
+         string_split(host, '.')[-1] as suffix
+  from (select distinct host from judged where host <> '') left join seen using (host)),
+d0 as (select domain, suffix, sum(n) as n, sum(k) as k from counts group by all),
+s0 as (select suffix, sum(n) as n, sum(k) as k from d0 group by all),
+whole as (select (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) as p from s0),
+s1 as (select * from s0, whole), ss as ({strength.format('s1')}),
+s2 as (select suffix, (k + s * p) / (n + s) as p from s1, ss),
+d1 as (select domain, n, k, p from d0 join s2 using (suffix)), ds as ({strength.format('d1')}),
+d2 as (select domain, (k + s * p) / (n + s) as p from d1, ds),
+h1 as (select host, n, k, p from counts join d2 using (domain)), hs as ({strength.format('h1')}),
+h2 as (select host, n, s, (k + s * p) / (n + s) as rate from h1, hs),
+passed as (select host, rate - 1.2816 * sqrt(rate * (1 - rate) / (n + s + 1)) >= 0.6 as pass from h2),
+ruled as (
+  select judged.*, pass, case
+    when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+    when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+    when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+    when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule
+  from judged left join passed using (host))
+select page_id, host, path, rule,
+       case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
+            when pass then 'allow' else 'block' end as verdict
+from ruled
+"""
+
+
+def op10_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.decontaminate import digest
+
+    return digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents),
+b as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from benchmark),
+bw as (
+  select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[i:i + 9], ' ') as win
+  from (select item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i from b where len(ws) > 0)),
+lengths as (select distinct n from bw),
+dw as (
+  select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as win
+  from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, lengths where len(ws) >= n)),
+hits as (select doc_id, i, dw.n, item_id from dw join bw using (n, win)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+items as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+  from hits group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op7_line_frequency_rules, op8_host_reputation, op10_benchmark_automaton)}
+ORACLES = {"op7_line_frequency_rules": OP7_SQL, "op8_host_reputation": _op8_sql(), "op10_benchmark_automaton": OP10_SQL}
