@@ -126,5 +126,11 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join words using (doc_id) left join items using (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op7_line_frequency_rules, op8_host_reputation, op10_benchmark_automaton)}
+def op3_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.tokens import token_counts
+
+    return token_counts(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_heap_merge_counts, op7_line_frequency_rules, op8_host_reputation, op10_benchmark_automaton)}
 ORACLES = {"op7_line_frequency_rules": OP7_SQL, "op8_host_reputation": _op8_sql(), "op10_benchmark_automaton": OP10_SQL}
