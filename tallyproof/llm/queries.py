@@ -132,5 +132,11 @@ def op3_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_heap_merge_counts, op7_line_frequency_rules, op8_host_reputation, op10_benchmark_automaton)}
+def op4_mixing_coder_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.token_file import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_heap_merge_counts, op4_mixing_coder_file, op7_line_frequency_rules, op8_host_reputation, op10_benchmark_automaton)}
 ORACLES = {"op7_line_frequency_rules": OP7_SQL, "op8_host_reputation": _op8_sql(), "op10_benchmark_automaton": OP10_SQL}
