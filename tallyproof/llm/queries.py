@@ -138,5 +138,83 @@ def op4_mixing_coder_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_heap_merge_counts, op4_mixing_coder_file, op7_line_frequency_rules, op8_host_reputation, op10_benchmark_automaton)}
-ORACLES = {"op7_line_frequency_rules": OP7_SQL, "op8_host_reputation": _op8_sql(), "op10_benchmark_automaton": OP10_SQL}
+def op5_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallyproof.llm.mixing import mix
+
+    mixed = mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
+
+
+def _op5_sql() -> str:
+    levels = "".join(
+        f"""n{k + 1} as (
+  select number, block, pass, 2 * node + (row_number() over (partition by node
+    order by md5(concat_ws(':', 'mix', '{k}', number, block, pass))) > (count(*) over (partition by node) + 1) // 2)::int as node
+  from n{k}),
+"""
+        for k in range(4)
+    )
+    return rf"""
+with sizes as (
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size,
+         md5('mix:' || coalesce(doc_id::varchar, 'null')) as place
+  from documents),
+s0 as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source asc nulls last) as number
+  from sizes group by source),
+s1 as (select *, [5, 2, 1][((number - 1) % 3 + 1)::int] as weight, 3 * source_size as cap, (sum(source_size) over ())::bigint as total from s0),
+s2 as (
+  select *, (total - coalesce(sum(cap) over w, 0)) * weight >= cap * (sum(weight) over () - coalesce(sum(weight) over w, 0)) as "full"
+  from s1 window w as (order by cap / weight, number rows between unbounded preceding and 1 preceding)),
+s3 as (
+  select *, case when "full" then cap::double else weight * ((total - coalesce(sum(cap) filter ("full") over (), 0))::double
+         / (sum(weight) filter (not "full") over ())::double) end as target
+  from s2),
+plan as (
+  select source, number, source_size, target, greatest(1, ceil(4096 * source_size::double / total))::int as blocks,
+         floor(target + 0.5)::bigint // greatest(source_size, 1) as passes,
+         floor(target + 0.5)::bigint % greatest(source_size, 1) as extra
+  from s3),
+rows as (
+  select sizes.*, plan.* exclude (source), (('0x' || place[:3])::int * blocks) // 4096 as block,
+         coalesce(sum(size) over (partition by number order by place, doc_id rows between unbounded preceding and 1 preceding), 0) as before
+  from sizes join plan on sizes.source is not distinct from plan.source),
+taken as (select *, least(size, greatest(0, extra - before)) as last from rows),
+cut as (select number, max(block) as cut_block from taken where last > 0 group by number),
+d as (
+  select plan.number, unnest(range(0, blocks)) as block, passes, cut_block from plan left join cut using (number)),
+n0 as (
+  select number, block, unnest(range(0, passes + (block <= coalesce(cut_block, -1))::int)) as pass, 0 as node from d),
+{levels}shards as (select number, block, list(node order by pass) as nodes from n4 group by number, block)
+select doc_id, size, source_size, target, (passes * size + last)::bigint as taken,
+       coalesce(array_to_string(nodes[:case when size = 0 then 0 else passes + (last > 0)::int end], ','), '') as shards
+from taken left join shards using (number, block)
+"""
+
+
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.personal_data import find_personal_data
+
+    return find_personal_data(read(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_heap_merge_counts,
+        op4_mixing_coder_file,
+        op5_splitting_tree_mix,
+        op7_line_frequency_rules,
+        op8_host_reputation,
+        op9_weak_supervision,
+        op10_benchmark_automaton,
+    )
+}
+ORACLES = {
+    "op5_splitting_tree_mix": _op5_sql(),
+    "op7_line_frequency_rules": OP7_SQL,
+    "op8_host_reputation": _op8_sql(),
+    "op10_benchmark_automaton": OP10_SQL,
+}
