@@ -7,6 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyproof.llm.common import read
 
 
+def op6_rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.substring_dedup import remove_repeated_windows
+
+    return remove_repeated_windows(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_intervals")
+
+
+OP6_SQL = r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+wins as (
+  select doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from d)),
+hits as (select doc_id, i from (select *, count(*) over (partition by h) as c from wins) where c > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as p from hits),
+starts as (
+  select doc_id, count(*) as n_removed, count(*) filter (not again) as n_intervals
+  from (select doc_id, p, coalesce(lag(p) over (partition by doc_id order by p) = p - 1, false) as again from gone) group by doc_id),
+words as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as w from d),
+kept as (
+  select doc_id, string_agg(w, ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256,
+       coalesce(n_intervals, 0)::bigint as n_intervals
+from d left join starts using (doc_id) left join kept using (doc_id)
+"""
+
+
 def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyproof.llm.quality_rules import judge_documents
 
@@ -206,6 +231,7 @@ QUERIES = {
         op3_heap_merge_counts,
         op4_mixing_coder_file,
         op5_splitting_tree_mix,
+        op6_rolling_windows,
         op7_line_frequency_rules,
         op8_host_reputation,
         op9_weak_supervision,
@@ -214,6 +240,7 @@ QUERIES = {
 }
 ORACLES = {
     "op5_splitting_tree_mix": _op5_sql(),
+    "op6_rolling_windows": OP6_SQL,
     "op7_line_frequency_rules": OP7_SQL,
     "op8_host_reputation": _op8_sql(),
     "op10_benchmark_automaton": OP10_SQL,
