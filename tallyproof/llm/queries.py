@@ -151,6 +151,12 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join words using (doc_id) left join items using (doc_id)
 """
 
+def op1_column_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.suffix_dedup import remove_repeated_strings
+
+    return remove_repeated_strings(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyproof.llm.tokens import token_counts
 
@@ -228,6 +234,7 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_column_suffix_order,
         op3_heap_merge_counts,
         op4_mixing_coder_file,
         op5_splitting_tree_mix,

@@ -81,7 +81,7 @@ def remove_repeated_windows(docs: DataFrame, cfg: WordWindows = WordWindows()) -
         return _table(ask_rows(table.column("batch")[0].as_py(), 0, b.questions, b.segments.keys, b.contents, None), ASK_SCHEMA)
 
     def reply(table: pa.Table) -> pa.Table:
-        return _table(answer(table, ordered=False), ANSWER_SCHEMA)
+        return _table(answer(table, ordered=False, crowd=cfg.sizes.crowd), ANSWER_SCHEMA)
 
     def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

@@ -22,9 +22,6 @@ from tallyproof.llm.common import RollingHash, mixed, total_bytes
 
 #: Answer bits: all windows of the content occur elsewhere (before, if ordered); compare by segment; compare by window.
 REPEATED, COMPARE, CROWDED = 1, 2, 4
-#: A key with more distinct contents than this is compared window by window, where equal windows of a batch are one
-#: entry, instead of segment by segment in one task.
-CROWD = 3000
 
 ASK = "batch long, bucket long, kind int, keys binary, contents binary, docs binary, sizes binary, bytes binary"
 ANSWER = "batch long, bucket long, kind int, codes binary"
@@ -34,10 +31,13 @@ ANSWER_SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("kind
 
 @dataclass(frozen=True)
 class Sizes:
-    """Bytes of text in a batch and behind a bucket. Both numbers grow with the data; the sizes stay."""
+    """batch, bucket: bytes of text in a batch and behind a bucket; their numbers grow with the data. crowd: a key with
+    more distinct contents is compared window by window, where equal windows of a batch are one entry, instead of
+    segment by segment in one task."""
 
     batch: int = 1 << 20
     bucket: int = 32 << 20
+    crowd: int = 3000
 
 
 def batched(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[DataFrame, int]:
@@ -161,7 +161,7 @@ def ask_rows(batch: int, kind: int, q: Questions, keys: np.ndarray, contents: np
     ]
 
 
-def answer(table: pa.Table, ordered: bool) -> list[dict]:
+def answer(table: pa.Table, ordered: bool, crowd: int) -> list[dict]:
     """Answers to a bucket's question rows, in the order of each row's entries."""
     rows = {n: table.column(n).to_pylist() for n in ("batch", "bucket", "kind", "keys", "contents", "docs")}
     if not rows["batch"]:
@@ -184,8 +184,8 @@ def answer(table: pa.Table, ordered: bool) -> list[dict]:
     if not ordered:
         item = np.cumsum(new) - 1
         codes[np.bincount(item)[item] > 1] = REPEATED
-    codes[new & (kinds > 1) & (kinds <= CROWD)] |= COMPARE
-    codes[new & (kinds > CROWD)] |= CROWDED
+    codes[new & (kinds > 1) & (kinds <= crowd)] |= COMPARE
+    codes[new & (kinds > crowd)] |= CROWDED
     out = np.empty(len(by), dtype=np.uint8)
     out[by] = codes
     ends = np.cumsum(lengths)
