@@ -157,6 +157,12 @@ def op1_column_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_strings(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op3_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyproof.llm.tokens import token_counts
 
@@ -235,6 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_column_suffix_order,
+        op2_universe_partition,
         op3_heap_merge_counts,
         op4_mixing_coder_file,
         op5_splitting_tree_mix,
