@@ -394,3 +394,19 @@ def jaccard_components(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame
         .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
         .select("doc_id", "n_shingles", "component_id")
     )
+
+
+def keep_one(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame:
+    """The rows of ``docs``, of each component only the one with the smallest doc_id (null last, then by text hash).
+
+    Documents without shingles all stay, but for repeated rows (equal doc_id and text), of which one stays.
+    """
+    names = docs.columns
+    doc, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("_row", F.xxhash64(doc, text))
+    rows = jaccard_components(own.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), cfg)
+    ids = own.select(F.col("_row"), F.col(doc).alias("_doc"))
+    order = F.struct(F.col("_doc").isNull(), F.col("_doc"), F.col("doc_id"))
+    kept = rows.join(ids, rows.doc_id == ids._row).groupBy("component_id").agg(F.min_by("doc_id", order).alias("_kept"))
+    out = own.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"])
+    return out.drop("_row").toDF(*names)
