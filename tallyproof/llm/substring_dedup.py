@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyproof.llm.common import RollingHash, mixed, word_bounds, word_hashes
+from tallyproof.llm.common import RollingHash, checkpointed, mixed, word_bounds, word_hashes
 from tallyproof.llm.winnow import ANSWER, ANSWER_SCHEMA, ASK, ASK_SCHEMA, COMPARE, CROWDED, REPEATED, Documents, Questions, Sizes, answer, answers_of, ask_rows, batched, covered, cut
 
 _SECOND_RADIX = 0xC2B2AE3D27D4EB4F
@@ -115,7 +115,7 @@ def remove_repeated_windows(docs: DataFrame, cfg: WordWindows = WordWindows()) -
                 out[n].append(v)
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_intervals", pa.int64()), ("kept", pa.string())]))
 
-    answers = parts.groupBy("batch").applyInArrow(ask, ASK).groupBy("bucket").applyInArrow(reply, ANSWER)
+    answers = checkpointed(parts.groupBy("batch").applyInArrow(ask, ASK).groupBy("bucket").applyInArrow(reply, ANSWER))
     windows = parts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask_windows, ASK)
     every = answers.unionByName(windows.groupBy("bucket").applyInArrow(reply, ANSWER))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_intervals long, kept string"

@@ -172,7 +172,7 @@ def answer(table: pa.Table, ordered: bool, crowd: int) -> list[dict]:
     if ordered:
         by = np.lexsort((batch, np.frombuffer(b"".join(rows["docs"]), dtype=np.int64), contents, keys))
     else:
-        by = np.lexsort((contents, keys))
+        by = np.lexsort((batch, contents, keys))  # which batch is asked for its windows must not hang on arrival
     k, c = keys[by], contents[by]
     new_key = np.ones(len(by), dtype=bool)
     new_key[1:] = k[1:] != k[:-1]
