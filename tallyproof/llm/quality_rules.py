@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyproof.llm.common import GAP, word_array
+from tallyproof.llm.common import GAP, checkpointed, word_array
 
 
 @dataclass(frozen=True)
@@ -147,14 +147,18 @@ def remove_frequent_lines(docs: DataFrame, cfg: LineRules = LineRules(), host: s
 
     A text without a frequent line is returned byte for byte.
     """
-    hot = frequent_lines(document_lines(docs, host, text), cfg)
-    judged = judge_documents(docs, cfg, host, text).filter("kept").withColumn("_key", _row_key(host, text))
-    touched = judged.filter("n_line_words > 0").select("_key", F.coalesce(F.col(host), F.lit("\0")).alias("host_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
+    hot = checkpointed(frequent_lines(document_lines(docs, host, text), cfg))
+    own = docs.withColumn("_key", _row_key(host, text))
+    judged = judge_documents(docs.select(host, text), cfg, host, text).withColumn("_key", _row_key(host, text))
+    # Written first: a filter on kept would be pushed below the statistics and compute them anew for each condition.
+    kept = checkpointed(judged.select("_key", "kept", (F.col("n_line_words") > 0).alias("_touched")).distinct()).filter("kept").drop("kept")
+    own = own.join(kept, "_key")
+    touched = own.filter("_touched").select("_key", F.coalesce(F.col(host), F.lit("\0")).alias("host_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
     pieces = touched.select("_key", "host_key", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).withColumn("line_hash", F.xxhash64(normalised_line(F.col("_line"))))
     cleaned = (
         pieces.join(hot, ["host_key", "line_hash"], "left_anti")
         .groupBy("_key")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]), "\n").alias("_clean"))
     )
-    out = judged.join(cleaned, "_key", "left").withColumn(text, F.when(F.col("n_line_words") > 0, F.coalesce("_clean", F.lit(""))).otherwise(F.col(text)))
+    out = own.join(cleaned, "_key", "left").withColumn(text, F.when(F.col("_touched"), F.coalesce("_clean", F.lit(""))).otherwise(F.col(text)))
     return out.select(*docs.columns)
