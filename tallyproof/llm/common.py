@@ -69,12 +69,17 @@ def _inverse(odd: int) -> int:
     return pow(int(odd), -1, 2**64)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, np.uint64(base), dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 .. base**(n-1) modulo 2**64. The longest table made so far is kept; n follows a batch's bytes."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), np.uint64(base), dtype=np.uint64)
+        known[0] = 1
+        _powers[base] = known = np.multiply.accumulate(known)
+    return known[:n]
 
 
 class RollingHash:
