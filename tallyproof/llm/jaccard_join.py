@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyproof.llm.common import RollingHash, checkpointed, mixed, word_bounds, word_hashes
+from tallyproof.llm.common import RollingHash, checkpointed, mixed, total_bytes, word_bounds, word_hashes
 from tallyproof.llm.components import components
-from tallyproof.llm.winnow import Documents, Sizes, batched
+from tallyproof.llm.winnow import Documents, Sizes
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -37,7 +37,7 @@ class Shingles:
 
     words: int = 5
     percent: int = 75
-    crowd: int = 24
+    crowd: int = 48
     spare: float = 0.35
     sizes: Sizes = Sizes()
 
@@ -124,7 +124,7 @@ class Signatures:
         band = np.searchsorted(starts, sets.size, side="right") - 1
         chosen = np.zeros(len(sets.size), dtype=bool)
         chosen[first] = True
-        keys, nodes, self.margins = [], [], {}
+        keys, nodes, roles, self.filled, self.margins = [], [], [], {}, {}
         for shift in (0, 1):  # a set is in the lower band of one group and in the upper band of another
             group = band - shift
             docs = np.flatnonzero(chosen & (group >= 0))
@@ -151,9 +151,11 @@ class Signatures:
             sent = (full > 0) | by_deletion[doc]
             keys.append(mixed(content[sent] + place[sent]))
             nodes.append(doc[sent])
+            roles.append(np.full(len(nodes[-1]), shift))
             less = by_deletion[owner]
             keys.append(mixed(content[slot[less]] - value[less] + place[slot[less]]))
             nodes.append(owner[less])
+            roles.append(np.full(len(nodes[-1]), shift))
             # How many signatures a node can do without.
             size = sets.size[docs]
             ends = np.array([starts[b + 1] - 1 for b in range(len(plans))])
@@ -162,129 +164,150 @@ class Signatures:
             filled = np.bincount(doc[full > 0], minlength=len(sets.size))[docs]
             margin = np.where(deletions, segments - h // 2 - 1, filled - h - 1)
             self.margins[shift] = (docs, margin)
+            self.filled[shift] = (docs, np.where(deletions, 0, filled))
         self.keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
         self.docs = np.concatenate(nodes) if nodes else np.zeros(0, dtype=np.int64)
-
-
-def _margin_columns(sets: Sets, cfg: Shingles) -> np.ndarray:
-    """The least margin of each document's node; 0 for copies of a node within the batch (the first one tells)."""
-    out = np.full(len(sets.size), 1 << 20, dtype=np.int64)
-    for docs, margin in Signatures(sets, cfg).margins.values():
-        out[docs] = np.minimum(out[docs], margin)
-    return out
-
-
-_NODES = "doc_id long, batch long, node long, n_shingles long, margin long"
-_ASKS = "bucket long, keys binary, nodes binary, sizes binary"
-_FOUND = "kind int, a long, b long"
-
-
-def document_nodes(parts: DataFrame, cfg: Shingles) -> DataFrame:
-    """doc_id, batch, node, n_shingles, margin of every document."""
-
-    def nodes(table: pa.Table) -> pa.Table:
-        sets = Sets(table, cfg)
-        n = len(sets.size)
-        return pa.table([pa.array(sets.docs.ids, pa.int64()), pa.array([table.column("batch")[0].as_py()] * n, pa.int64()), pa.array(sets.node), pa.array(sets.size), pa.array(_margin_columns(sets, cfg))], names=["doc_id", "batch", "node", "n_shingles", "margin"])
-
-    return parts.groupBy("batch").applyInArrow(nodes, _NODES)
-
-
-def candidates(parts: DataFrame, buckets: int, cfg: Shingles) -> DataFrame:
-    """kind 0: pairs of nodes a < b that share a signature. kind 1: node a has b signatures that are crowded.
-
-    Signatures travel packed, five bytes and a run length each; a chance match only costs a verification.
+        self.roles = np.concatenate(roles) if roles else np.zeros(0, dtype=np.int64)
+
+
+_NODES = "doc_id long, row long, node long, n long, margin0 long, margin1 long, filled0 long, filled1 long"
+_ASKS = "bucket long, keys binary, nodes binary, runs binary"
+_FOUND = "a long, b long, role int, n long"
+
+
+def _in_batches(batches, size: int):
+    """Tables of about ``size`` bytes of text."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        ends = np.cumsum([0 if (t := x.as_buffer()) is None else t.size for x in batch.column("text")]) // size
+        edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield table.slice(a, b - a)
+
+
+def document_nodes(docs: DataFrame, cfg: Shingles) -> DataFrame:
+    """doc_id, row (hash of doc_id and text), node, n (shingles), and by role (0: lower band of a group, 1: upper):
+    margin (signatures the node can do without) and filled (segments with shingles; 0 where deletions are used)."""
+
+    def nodes(batches):
+        for table in _in_batches(batches, cfg.sizes.batch):
+            table = table.sort_by([("doc_id", "ascending")])
+            sets = Sets(table, cfg)
+            s = Signatures(sets, cfg)
+            out = {}
+            for name, values, empty in (("margin", s.margins, 1 << 20), ("filled", s.filled, 0)):
+                for role in (0, 1):
+                    by_node = {}
+                    if role in values:
+                        by_node = dict(zip(sets.node[values[role][0]].tolist(), values[role][1].tolist()))
+                    out[f"{name}{role}"] = pa.array([by_node.get(n, empty) for n in sets.node.tolist()], pa.int64())
+            rows = table.column("row").to_pylist()
+            of = {}
+            for r, d, t in zip(rows, table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
+                of.setdefault((d, t or ""), []).append(r)
+            order = [of[d, sets.docs.data[a:b].decode("utf-8", "surrogatepass")].pop() for d, a, b in zip(sets.docs.ids, sets.docs.starts.tolist(), sets.docs.ends.tolist())]
+            columns = [pa.array(sets.docs.ids, pa.int64()), pa.array(order, pa.int64()), pa.array(sets.node), pa.array(sets.size), *(out[n] for n in ("margin0", "margin1", "filled0", "filled1"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "n", "margin0", "margin1", "filled0", "filled1"])
+
+    return docs.mapInArrow(nodes, _NODES)
+
+
+def candidates(docs: DataFrame, buckets: int, cfg: Shingles) -> DataFrame:
+    """a, b, role, n: nodes a (role 0) and b (of that role) share n signatures. A null b: n signatures of node a in that
+    role are crowded.
+
+    Signatures travel packed, five bytes each, with a node, size and length for each run of them; a chance match is
+    only one more candidate. Two nodes in the upper band of a group are left to the group where that band is lower.
     """
 
-    def ask(table: pa.Table) -> pa.Table:
-        sets = Sets(table, cfg)
-        s = Signatures(sets, cfg)
-        bucket = (s.keys % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((s.docs, bucket))
-        rows: dict[str, list] = {n: [] for n in ("bucket", "keys", "nodes", "sizes")}
-        key, doc, bucket = s.keys[by] // np.uint64(buckets), s.docs[by], bucket[by]
-        at = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(at, [*at[1:], len(by)]):
-            heads = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
-            runs = np.diff([*heads, b - a])
-            rows["bucket"].append(int(bucket[a]))
-            low = key[a:b]
-            rows["keys"].append((low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((low >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes())
-            rows["nodes"].append(sets.node[doc[a:b][heads]].tobytes() + sets.size[doc[a:b][heads]].tobytes())
-            rows["sizes"].append(runs.astype("<u4").tobytes())
-        return pa.table(rows, schema=pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())]))
+    def ask(batches):
+        for table in _in_batches(batches, cfg.sizes.batch):
+            sets = Sets(table, cfg)
+            s = Signatures(sets, cfg)
+            bucket = (s.keys % np.uint64(buckets)).astype(np.int64)
+            run = 2 * s.docs + s.roles
+            by = np.lexsort((run, bucket))
+            rows: dict[str, list] = {n: [] for n in ("bucket", "keys", "nodes", "runs")}
+            key, run, bucket = s.keys[by] // np.uint64(buckets), run[by], bucket[by]
+            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for a, b in zip(at, [*at[1:], len(by)]):
+                heads = np.flatnonzero(np.diff(run[a:b], prepend=-1))
+                head = run[a:b][heads]
+                low = key[a:b]
+                rows["bucket"].append(int(bucket[a]))
+                rows["keys"].append((low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((low >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes())
+                rows["nodes"].append(sets.node[head >> 1].tobytes())
+                rows["runs"].append(np.stack([np.diff([*heads, b - a]), sets.size[head >> 1], head & 1]).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), *(pa.array(rows[n], pa.binary()) for n in ("keys", "nodes", "runs"))], names=list(rows))
 
     def match(table: pa.Table) -> pa.Table:
-        keys, nodes, sizes = [], [], []
-        for k, n, r in zip(*(table.column(c).to_pylist() for c in ("keys", "nodes", "sizes"))):
+        keys, nodes, sizes, roles = [], [], [], []
+        for k, n, r in zip(*(table.column(c).to_pylist() for c in ("keys", "nodes", "runs"))):
             count = len(k) // 5
             keys.append(np.frombuffer(k, "<u4", count).astype(np.uint64) | (np.frombuffer(k, np.uint8, count, 4 * count).astype(np.uint64) << np.uint64(32)))
-            runs, half = np.frombuffer(r, "<u4"), len(n) // 16
-            nodes.append(np.repeat(np.frombuffer(n, np.int64, half), runs))
-            sizes.append(np.repeat(np.frombuffer(n, np.int64, half, 8 * half), runs))
-        key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
+            runs, size, role = np.frombuffer(r, "<u4").reshape(3, -1)
+            nodes.append(np.repeat(np.frombuffer(n, np.int64), runs))
+            sizes.append(np.repeat(size.astype(np.int64), runs))
+            roles.append(np.repeat(role.astype(np.int8), runs))
+        key, node, size, role = map(np.concatenate, (keys, nodes, sizes, roles))
         by = np.argsort(key, kind="stable")
         key = key[by]
         shared = np.zeros(len(key), dtype=bool)
         shared[1:] = key[1:] == key[:-1]
         shared[:-1] |= shared[1:]
         by, key = by[shared], key[shared]
-        node, size = node[by], size[by]
-        by = np.lexsort((node, key))  # copies of a node in several batches fall together
-        key, node, size = key[by], node[by], size[by]
+        node, size, role = node[by], size[by], role[by]
+        by = np.lexsort((node, role, key))  # copies of a node in several batches fall together
+        key, node, size, role = key[by], node[by], size[by], role[by]
         new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size = key[new], node[new], size[new]
-        group = np.cumsum(np.diff(key, prepend=np.uint64(0)) != 0) if len(key) else key
-        many = np.bincount(group.astype(np.int64))[group.astype(np.int64)] if len(key) else np.zeros(0, np.int64)
-        crowded, times = np.unique(node[many > cfg.crowd], return_counts=True)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (role[1:] != role[:-1])
+        key, node, size, role = key[new], node[new], size[new], role[new]
+        group = np.zeros(len(key), dtype=np.int64)
+        group[1:] = np.cumsum(key[1:] != key[:-1])
+        many = np.bincount(group, minlength=1)[group]
+        crowded, times = np.unique(np.stack([node, role.astype(np.int64)])[:, many > cfg.crowd], axis=1, return_counts=True)
         keep = (many > 1) & (many <= cfg.crowd)
-        group, node, size = group[keep], node[keep], size[keep]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        group, node, size, role = group[keep], node[keep], size[keep], role[keep]
+        found = [np.zeros((3, 0), dtype=np.int64)]
         for gap in range(1, cfg.crowd):  # members of one small group, a fixed distance apart
             near = np.flatnonzero(group[gap:] == group[:-gap]) if len(group) > gap else np.zeros(0, np.int64)
             if not len(near):
                 break
             a, b = size[near], size[near + gap]
-            near = near[100 * np.minimum(a, b) >= cfg.percent * np.maximum(a, b)]
-            left.append(node[near])
-            right.append(node[near + gap])
-        a, b = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(crowded), np.int32)])
-        return pa.table([pa.array(kind), pa.array(np.concatenate([pairs[:, 0], crowded])), pa.array(np.concatenate([pairs[:, 1], times.astype(np.int64)]))], names=["kind", "a", "b"])
-
-    return parts.groupBy("batch").applyInArrow(ask, _ASKS).groupBy("bucket").applyInArrow(match, _FOUND)
+            near = near[(role[near] == 0) & (100 * np.minimum(a, b) >= cfg.percent * np.maximum(a, b))]
+            found.append(np.stack([node[near], node[near + gap], role[near + gap].astype(np.int64)]))
+        pairs = np.concatenate(found, axis=1)
+        by = np.lexsort(pairs)
+        pairs = pairs[:, by]
+        new = np.ones(pairs.shape[1], dtype=bool)
+        new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+        heads = np.flatnonzero(new)
+        n = np.diff([*heads, pairs.shape[1]])
+        pairs = pairs[:, new]
+        nobody = pa.nulls(len(times), pa.int64())
+        return pa.table(
+            [
+                pa.array(np.concatenate([pairs[0], crowded[0]])),
+                pa.chunked_array([pa.array(pairs[1]), nobody]),
+                pa.array(np.concatenate([pairs[2], crowded[1]]).astype(np.int32)),
+                pa.array(np.concatenate([n, times]).astype(np.int64)),
+            ],
+            names=["a", "b", "role", "n"],
+        )
+
+    return docs.select("doc_id", "text").mapInArrow(ask, _ASKS).groupBy("bucket").applyInArrow(match, _FOUND)
 
 
 # ------------------------------------------------------------------ verification
 
 
-def wanted_sets(parts: DataFrame, wanted: DataFrame, cfg: Shingles) -> DataFrame:
-    """node, text of the wanted nodes (node, batch: where one of its documents lies)."""
-
-    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
-        nodes, texts = [], []
-        if left.num_rows and right.num_rows:
-            sets, missing = Sets(left, cfg), set(right.column("node").to_pylist())
-            for i, node in enumerate(sets.node.tolist()):
-                if node in missing:
-                    missing.discard(node)
-                    nodes.append(node)
-                    texts.append(sets.docs.data[sets.docs.starts[i] : sets.docs.ends[i]].decode("utf-8", "surrogatepass"))
-        return pa.table([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
-
-    return parts.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(pick, "node long, text string")
-
-
 def _set_of(text: str, cfg: Shingles) -> np.ndarray:
     return Sets(pa.table({"doc_id": pa.array([0], pa.int64()), "text": [text]}), cfg).tokens
 
 
-def verify(pairs: DataFrame, parts: DataFrame, homes: DataFrame, cfg: Shingles) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. A document's text goes to its pairs; sets are made there."""
-    ends = pairs.selectExpr("a as node").unionByName(pairs.selectExpr("b as node")).distinct()
-    texts = wanted_sets(parts, ends.join(homes, "node").select("node", "batch"), cfg)
+def verify(pairs: DataFrame, texts: DataFrame, cfg: Shingles) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough. A node's text goes to its pairs; sets are made there."""
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches):
@@ -305,7 +328,7 @@ def verify(pairs: DataFrame, parts: DataFrame, homes: DataFrame, cfg: Shingles)
     return both.mapInArrow(check, "a long, b long")
 
 
-def _settle(next_pairs, parts: DataFrame, homes: DataFrame, links: DataFrame, cfg: Shingles) -> DataFrame:
+def _settle(next_pairs, texts: DataFrame, links: DataFrame, cfg: Shingles) -> DataFrame:
     """Verify pairs in rounds until none is left between different components.
 
     ``next_pairs(labels, round)`` gives the round's pairs; rounds take four times as many for each node as the last.
@@ -322,7 +345,7 @@ def _settle(next_pairs, parts: DataFrame, homes: DataFrame, links: DataFrame, cf
             if not more():
                 return links
         else:
-            links = checkpointed(links.unionByName(verify(pairs, parts, homes, cfg)))
+            links = checkpointed(links.unionByName(verify(pairs, texts, cfg)))
             seen = pairs if seen is None else seen.unionByName(pairs)
         k += 1
 
@@ -333,11 +356,9 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter(~F.coalesce(F.col("_ca"), F.col("a")).eqNullSafe(F.coalesce(F.col("_cb"), F.col("b")))).drop("_ca", "_cb")
 
 
-def _prefixes(parts: DataFrame, crowd: DataFrame, cfg: Shingles) -> DataFrame:
-    """token, node, n of the rarest shingles of the wanted nodes: as many that similar sets share one. Tokens that one
+def _prefixes(texts: DataFrame, cfg: Shingles) -> DataFrame:
+    """token, node, n of the rarest shingles of the nodes in ``texts``: as many that similar sets share one. Tokens that one
     node has are left out at the end, not before: they fill a prefix too."""
-    texts = wanted_sets(parts, crowd, cfg)
-
     def explode(batches):
         for batch in batches:
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
@@ -357,11 +378,23 @@ def jaccard_components(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame
     Null and empty texts, and texts without words, have no shingles and link with nothing. Texts shorter than a shingle
     are one. Repeated rows link like other copies. A null doc_id never is a component_id unless nothing else is there.
     """
-    parts, buckets = batched(docs, cfg.sizes)
-    nodes = checkpointed(document_nodes(parts, cfg))
-    homes = checkpointed(nodes.filter("n_shingles > 0").groupBy("node").agg(F.min("batch").alias("batch"), F.min("n_shingles").alias("n"), F.min("margin").alias("margin")))
-    found = checkpointed(candidates(parts, buckets, cfg))
-    pairs = checkpointed(found.filter("kind = 0").select("a", "b").distinct())
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    nodes = checkpointed(document_nodes(rows, cfg))
+    counted = candidates(docs, total_bytes(docs) // cfg.sizes.bucket + 1, cfg).groupBy("a", "b", "role").agg(F.sum("n").alias("n"))
+    found = checkpointed(counted)
+    crowded = found.filter("b is null").groupBy("a").agg(*[F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(f"crowded{r}") for r in (0, 1)])
+    homes = nodes.filter("n > 0").groupBy("node").agg(*[F.min(c).alias(c) for c in ("row", "n", "margin0", "margin1", "filled0", "filled1")])
+    homes = checkpointed(homes.join(crowded.withColumnRenamed("a", "node"), "node", "left").na.fill(0, ["crowded0", "crowded1"]))
+    # A similar pair shares as many signatures as either has left after the crowded and the differing ones.
+    left = homes.selectExpr("node as a", "n as _na", "filled0 - crowded0 as _left")
+    right = homes.selectExpr("node as b", "n as _nb", "filled0 - crowded0 as _right0", "filled1 - crowded1 as _right1")
+    h = f"(_na + _nb) * {100 - cfg.percent} div {100 + cfg.percent}"
+    enough = f"n >= greatest(_left, case when role = 0 then _right0 else _right1 end) - {h}"
+    pairs = found.filter("b is not null").join(left, "a").join(right, "b").filter(enough)
+    pairs = checkpointed(pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct())
+    crowd = checkpointed(homes.filter("crowded0 > margin0 or crowded1 > margin1").select("node"))
+    wanted = pairs.selectExpr("a as node").unionByName(pairs.selectExpr("b as node")).unionByName(crowd).distinct()
+    texts = checkpointed(rows.join(homes.join(wanted, "node").select("node", "row"), "row").dropDuplicates(["node"]).select("node", "text"))
     nothing = pairs.limit(0)
 
     def small_groups(labels: DataFrame, take: int):
@@ -369,12 +402,10 @@ def jaccard_components(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame
         ranked = left.withColumn("_k", F.row_number().over(Window.partitionBy("b").orderBy("a")))
         return ranked.filter(F.col("_k") <= take).drop("_k"), lambda: False
 
-    links = _settle(small_groups, parts, homes, nothing, cfg)
+    links = _settle(small_groups, texts, nothing, cfg)
 
-    crowded = found.filter("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("crowded"))
-    crowd = checkpointed(homes.join(crowded, "node", "left").filter("coalesce(crowded, 0) > margin").select("node", "batch"))
     if not crowd.isEmpty():
-        groups = checkpointed(_prefixes(parts, crowd, cfg))
+        groups = checkpointed(_prefixes(texts.join(crowd, "node"), cfg))
 
         def large_groups(labels: DataFrame, take: int):
             placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -385,15 +416,12 @@ def jaccard_components(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame
             chosen = found.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
             return chosen, lambda: not mixed_groups.filter(F.col("_n") - 1 > take).isEmpty()
 
-        links = _settle(large_groups, parts, homes, links, cfg)
+        links = _settle(large_groups, texts, links, cfg)
 
     labelled = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = labelled.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return (
-        labelled.join(smallest, "component", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id")
-    )
+    smallest = labelled.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return labelled.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame:
