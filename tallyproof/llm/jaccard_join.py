@@ -328,32 +328,46 @@ def verify(pairs: DataFrame, texts: DataFrame, cfg: Shingles) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def _settle(next_pairs, texts: DataFrame, links: DataFrame, cfg: Shingles) -> DataFrame:
-    """Verify pairs in rounds until none is left between different components.
-
-    ``next_pairs(labels, round)`` gives the round's pairs; rounds take four times as many for each node as the last.
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, component) after further links: only the components that they join are worked on."""
+    if labels is None:
+        return checkpointed(components(links))
+    named = links.join(labels.toDF("a", "_ca"), "a", "left").join(labels.toDF("b", "_cb"), "b", "left")
+    edges = checkpointed(named.selectExpr("coalesce(_ca, a) as a", "coalesce(_cb, b) as b").filter("a <> b").distinct())
+    if edges.isEmpty():
+        return labels
+    joined = components(edges).toDF("component", "_to")
+    ends = links.selectExpr("a as node").unionByName(links.selectExpr("b as node")).distinct().join(labels, "node", "left_anti").selectExpr("node", "node as component")
+    return checkpointed(labels.unionByName(ends).join(joined, "component", "left").selectExpr("node", "coalesce(_to, component) as component"))
+
+
+def _settle_large(groups: DataFrame, texts: DataFrame, labels: DataFrame, cfg: Shingles) -> DataFrame:
+    """labels after comparing the members of token groups (token, node, n) with leaders: the first 1, 4, 16, ... nodes
+    of a group against those of other components, until every group is one component or has led with all its nodes.
+
+    Groups with the same members are one group.
     """
+    same = groups.groupBy("token").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_x"))
+    groups = checkpointed(groups.join(same.groupBy("_n", "_s", "_x").agg(F.min("token").alias("token")).filter("_n > 1").select("token"), "token"))
     seen = None
-    k = 0
+    take = 1
     while True:
-        labels = components(links)
-        pairs, more = next_pairs(labels, 4**k)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty():
-            if not more():
-                return links
-        else:
-            links = checkpointed(links.unionByName(verify(pairs, texts, cfg)))
+        placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).filter("_lo < _hi").select("token", "_n")
+        members = placed.join(open_, "token").withColumn("_k", F.row_number().over(Window.partitionBy("token").orderBy("node")))
+        members = checkpointed(members)
+        if members.isEmpty():
+            return labels
+        leaders = members.filter((F.col("_k") <= take) & (F.col("_k") < F.col("_n"))).select("token", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("component").alias("_ca"))
+        apart = members.join(leaders, "token").filter("component <> _ca and 100 * least(n, _na) >= %d * greatest(n, _na)" % cfg.percent)
+        pairs = apart.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = checkpointed(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            labels = merged(labels, checkpointed(verify(pairs, texts, cfg)))
             seen = pairs if seen is None else seen.unionByName(pairs)
-        k += 1
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
-    out = pairs.join(labels.toDF("a", "_ca"), "a", "left").join(labels.toDF("b", "_cb"), "b", "left")
-    return out.filter(~F.coalesce(F.col("_ca"), F.col("a")).eqNullSafe(F.coalesce(F.col("_cb"), F.col("b")))).drop("_ca", "_cb")
+        elif members.filter(F.col("_n") - 1 > take).isEmpty():
+            return labels
+        take *= 4
 
 
 def _prefixes(texts: DataFrame, cfg: Shingles) -> DataFrame:
@@ -395,30 +409,12 @@ def jaccard_components(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame
     crowd = checkpointed(homes.filter("crowded0 > margin0 or crowded1 > margin1").select("node"))
     wanted = pairs.selectExpr("a as node").unionByName(pairs.selectExpr("b as node")).unionByName(crowd).distinct()
     texts = checkpointed(rows.join(homes.join(wanted, "node").select("node", "row"), "row").dropDuplicates(["node"]).select("node", "text"))
-    nothing = pairs.limit(0)
-
-    def small_groups(labels: DataFrame, take: int):
-        left = _apart(pairs, labels)
-        ranked = left.withColumn("_k", F.row_number().over(Window.partitionBy("b").orderBy("a")))
-        return ranked.filter(F.col("_k") <= take).drop("_k"), lambda: False
-
-    links = _settle(small_groups, texts, nothing, cfg)
-
+    labels = merged(None, checkpointed(verify(pairs, texts, cfg)))
     if not crowd.isEmpty():
         groups = checkpointed(_prefixes(texts.join(crowd, "node"), cfg))
+        labels = _settle_large(groups, texts, labels, cfg)
 
-        def large_groups(labels: DataFrame, take: int):
-            placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed_groups = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).filter("_lo < _hi")
-            open_ = placed.join(mixed_groups, "token").withColumn("_k", F.row_number().over(Window.partitionBy("token").orderBy("node")))
-            leaders = open_.filter((F.col("_k") <= take) & (F.col("_k") < F.col("_n"))).select("token", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("component").alias("_ca"))
-            found = open_.join(leaders, "token").filter("component <> _ca and 100 * least(n, _na) >= %d * greatest(n, _na)" % cfg.percent)
-            chosen = found.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-            return chosen, lambda: not mixed_groups.filter(F.col("_n") - 1 > take).isEmpty()
-
-        links = _settle(large_groups, texts, links, cfg)
-
-    labelled = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return labelled.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
