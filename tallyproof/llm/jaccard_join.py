@@ -341,37 +341,40 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return checkpointed(labels.unionByName(ends).join(joined, "component", "left").selectExpr("node", "coalesce(_to, component) as component"))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    out = pairs.join(labels.toDF("a", "_ca"), "a", "left").join(labels.toDF("b", "_cb"), "b", "left")
+    return out.filter("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
+
+
 def _settle_large(groups: DataFrame, texts: DataFrame, labels: DataFrame, cfg: Shingles) -> DataFrame:
-    """labels after comparing the members of token groups (token, node, n) with leaders: the first 1, 4, 16, ... nodes
-    of a group against those of other components, until every group is one component or has led with all its nodes.
+    """labels after comparing the members of token groups (token, node, n, k: the token's place in the node's order)
+    that lie in different components: first with the group's first node, then with its first four, then all.
 
-    Groups with the same members are one group.
+    A pair whose first common token is this one shares no more than what follows it in either node; pairs that this
+    rules out are not made. Groups with the same members and places are one group.
     """
-    same = groups.groupBy("token").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_x"))
+    same = groups.groupBy("token").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node", "k").cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64("k", "node")).alias("_x"))
     groups = checkpointed(groups.join(same.groupBy("_n", "_s", "_x").agg(F.min("token").alias("token")).filter("_n > 1").select("token"), "token"))
     seen = None
-    take = 1
-    while True:
+    for take in (1, 4, None):
         placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).filter("_lo < _hi").select("token", "_n")
-        members = placed.join(open_, "token").withColumn("_k", F.row_number().over(Window.partitionBy("token").orderBy("node")))
-        members = checkpointed(members)
-        if members.isEmpty():
-            return labels
-        leaders = members.filter((F.col("_k") <= take) & (F.col("_k") < F.col("_n"))).select("token", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("component").alias("_ca"))
-        apart = members.join(leaders, "token").filter("component <> _ca and 100 * least(n, _na) >= %d * greatest(n, _na)" % cfg.percent)
+        open_ = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
+        members = checkpointed(placed.join(open_, "token").withColumn("_order", F.row_number().over(Window.partitionBy("token").orderBy("node"))))
+        leaders = members.filter(F.col("_order") <= take) if take else members
+        leaders = leaders.select("token", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("k").alias("_ka"), F.col("component").alias("_ca"), F.col("_order").alias("_oa"))
+        enough = f"{100 + cfg.percent} * (least(n - k, _na - _ka) + 1) >= {cfg.percent} * (n + _na)"
+        apart = members.join(leaders, "token").filter(f"_order > _oa and component <> _ca and 100 * least(n, _na) >= {cfg.percent} * greatest(n, _na) and {enough}")
         pairs = apart.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         pairs = checkpointed(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             labels = merged(labels, checkpointed(verify(pairs, texts, cfg)))
             seen = pairs if seen is None else seen.unionByName(pairs)
-        elif members.filter(F.col("_n") - 1 > take).isEmpty():
-            return labels
-        take *= 4
+    return labels
 
 
 def _prefixes(texts: DataFrame, cfg: Shingles) -> DataFrame:
-    """token, node, n of the rarest shingles of the nodes in ``texts``: as many that similar sets share one. Tokens that one
+    """token, node, n, k (place by rarity) of the rarest shingles of the nodes in ``texts``: as many that similar sets share one. Tokens that one
     node has are left out at the end, not before: they fill a prefix too."""
     def explode(batches):
         for batch in batches:
@@ -383,7 +386,7 @@ def _prefixes(texts: DataFrame, cfg: Shingles) -> DataFrame:
     counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
     order = Window.partitionBy("node").orderBy("df", "token")
     prefix = counted.withColumn("k", F.row_number().over(order)).filter(f"k <= n - ceil({cfg.percent} * n / 100) + 1 and df > 1")
-    return prefix.select("token", "node", "n")
+    return prefix.select("token", "node", "n", F.col("k").cast("long").alias("k"))
 
 
 def jaccard_components(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame:
@@ -409,7 +412,11 @@ def jaccard_components(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame
     crowd = checkpointed(homes.filter("crowded0 > margin0 or crowded1 > margin1").select("node"))
     wanted = pairs.selectExpr("a as node").unionByName(pairs.selectExpr("b as node")).unionByName(crowd).distinct()
     texts = checkpointed(rows.join(homes.join(wanted, "node").select("node", "row"), "row").dropDuplicates(["node"]).select("node", "text"))
-    labels = merged(None, checkpointed(verify(pairs, texts, cfg)))
+    # First one pair for each node: a large group of copies becomes a tree, not all its pairs.
+    first = checkpointed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    labels = merged(None, checkpointed(verify(first, texts, cfg)))
+    rest = checkpointed(_apart(pairs, labels).join(first, ["a", "b"], "left_anti"))
+    labels = merged(labels, checkpointed(verify(rest, texts, cfg)))
     if not crowd.isEmpty():
         groups = checkpointed(_prefixes(texts.join(crowd, "node"), cfg))
         labels = _settle_large(groups, texts, labels, cfg)
