@@ -48,7 +48,8 @@ def block_lines(lines: DataFrame) -> DataFrame:
     x = x.withColumn("table", F.last(F.when(F.col("_is_header"), state), ignorenulls=True).over(_SO_FAR))
     words = F.col("line").rlike(r"(?iU)\bdate\b|날짜") & F.col("line").rlike(r"(?iU)\bamount\b|금액|영업이익") & F.col("_cells").isNull()
     unit = F.last(F.when(words, header_unit(F.col("line"))), ignorenulls=True).over(_SO_FAR)
-    return x.withColumns({"frame_unit": F.coalesce(unit, F.lit("")), "candidate_year": target_year(F.col("line"))})
+    # Regular expressions ran once for each line; the entries, years and bounds all read the outcome.
+    return x.withColumns({"frame_unit": F.coalesce(unit, F.lit("")), "candidate_year": target_year(F.col("line"))}).persist()
 
 
 def entries(lines: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def block_years(lines: DataFrame) -> DataFrame:
     x = x.withColumn("explicit_year", explicit).withColumn("year_conflict", F.coalesce(F.exists("_all", lambda y: y != F.col("explicit_year")), F.lit(False)))
     source = F.when(F.col("_heading_year").isNotNull(), "heading").when(F.col("_first").isNotNull(), "section_text").when(F.col("_column_year").isNotNull(), "value_column").when(F.col("next_year").isNotNull(), "next_forecast")
     year = F.when(~F.col("year_conflict"), F.coalesce("explicit_year", "_column_year", "next_year"))
-    return x.select("doc_id", "block_no", "heading_line", "explicit_year", year.alias("forecast_year"), source.alias("year_source"), "year_conflict")
+    return x.select("doc_id", "block_no", "heading_line", "explicit_year", year.alias("forecast_year"), source.alias("year_source"), "year_conflict").persist()
 
 
 def blocks(lines: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def _blocks(heads: DataFrame, lines: DataFrame) -> DataFrame:
 def scenario_blocks(lines: DataFrame) -> DataFrame:
     """doc_id, header_line, year, up, mid, down (cells) of the concrete headers with all three labels."""
     heads = headers(lines).filter("not is_section").select("doc_id", F.col("line_no").alias("header_line"), "year")
-    return _blocks(heads, lines).filter("up is not null and mid is not null and down is not null")
+    return _blocks(heads, lines).filter("up is not null and mid is not null and down is not null").persist()
 
 
 def period_blocks(lines: DataFrame) -> DataFrame:
