@@ -84,17 +84,17 @@ class _Coder:
         self._narrow(lanes, low + unit * value.astype(np.uint64), unit)
         return value
 
-    def symbol(self, lanes, counts: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """One of ``counts.shape[1]`` symbols by its row's frequencies, whose sum is under 2**16."""
-        to = np.cumsum(counts, axis=1, dtype=np.int64)
+    def symbol(self, lanes, to: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
+        """One of ``to.shape[1]`` symbols; ``to`` holds the running sums of their frequencies, below 2**16."""
         low, span = self.low[lanes], self.range[lanes]
         unit = span // to[:, -1].astype(np.uint64)
         if self.decoding:
-            code = np.minimum(((self.code[lanes] - low) & _MASK) // unit, (to[:, -1] - 1).astype(np.uint64)).astype(np.int64)
+            code = np.minimum(((self.code[lanes] - low) & _MASK) // unit, (to[:, -1] - 1).astype(np.uint64)).astype(np.int32)
             symbol = (to <= code[:, None]).sum(axis=1)
         row = np.arange(len(to))
-        size = counts[row, symbol].astype(np.uint64)
-        self._narrow(lanes, low + unit * (to[row, symbol].astype(np.uint64) - size), unit * size)
+        end = to[row, symbol].astype(np.uint64)
+        start = np.where(symbol > 0, to[row, symbol - 1], 0).astype(np.uint64)
+        self._narrow(lanes, low + unit * start, unit * (end - start))
         return symbol
 
     def payloads(self) -> list[bytes]:
@@ -135,17 +135,17 @@ class _Frequencies:
     """Adaptive frequencies of ``size`` symbols in each of ``contexts`` contexts of each lane."""
 
     def __init__(self, lanes: int, contexts: int, size: int):
-        self.counts = np.full((lanes, contexts, size), 4, dtype=np.int32)
+        self.counts = np.full((lanes * contexts, size), 4, dtype=np.int32)
+        self.contexts = contexts
 
     def code(self, coder: _Coder, lanes: np.ndarray, context: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        counts = self.counts[lanes, context]
-        symbol = coder.symbol(lanes, counts, symbol)
-        row = np.arange(len(counts))
-        counts[row, symbol] += 24
-        full = counts.sum(axis=1) > 8_000
-        if full.any():
-            counts[full] = (counts[full] + 1) >> 1
-        self.counts[lanes, context] = counts
+        cell = lanes * self.contexts + context
+        to = np.cumsum(self.counts[cell], axis=1, dtype=np.int32)
+        symbol = coder.symbol(lanes, to, symbol)
+        self.counts[cell, symbol] += 24
+        full = cell[to[:, -1] > 8_000]
+        if len(full):
+            self.counts[full] = (self.counts[full] + 1) >> 1
         return symbol
 
 
@@ -153,8 +153,8 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)  # exact below 2**53
 
 
-def _run(lengths: np.ndarray, ids: np.ndarray | None, payloads: list[bytes] | None) -> tuple[np.ndarray, list[bytes] | None]:
-    """Code all lanes; ``lengths`` do not rise. ids: [lane, position]."""
+def _run(lengths: np.ndarray, ids: np.ndarray | None, payloads: list[bytes] | None, top: int) -> tuple[np.ndarray, list[bytes] | None]:
+    """Code all lanes; ``lengths`` do not rise. ids: [lane, position]; top: most bits of an id + 1."""
     lanes, most = len(lengths), int(lengths.max(initial=0))
     coder = _Coder(lanes, most * 5 + 16, payloads)
     decoding = payloads is not None
@@ -163,7 +163,7 @@ def _run(lengths: np.ndarray, ids: np.ndarray | None, payloads: list[bytes] | No
     guess = [np.full(lanes * _SLOTS, _EMPTY, dtype=np.int32) for _ in range(2)]  # order 2, order 1
     trust = [np.zeros(lanes * _SLOTS, dtype=np.int8) for _ in range(2)]
     second, first = _Mixer(lanes, (8, 16, 1)), _Mixer(lanes, (8, 4, 1))
-    magnitude, lead = _Frequencies(lanes, 1, 32), _Frequencies(lanes, 32, 8)
+    magnitude, lead = _Frequencies(lanes, 1, top + 1), _Frequencies(lanes, top + 1, 8)
     before, last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     everyone = np.arange(lanes)
     for t in range(most):
@@ -226,25 +226,29 @@ def _run(lengths: np.ndarray, ids: np.ndarray | None, payloads: list[bytes] | No
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """One payload for each block of ids (non-negative, below 2**30), in the order given."""
+    """One payload for each block of ids (non-negative, below 2**30), in the order given. Its first byte is the number
+    of bits that the ids of all these blocks need."""
     lengths = np.array([len(b) for b in blocks], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     grid = np.zeros((len(blocks), int(lengths.max(initial=0))), dtype=np.int64)
     for k, i in enumerate(order):
         grid[k, : lengths[i]] = blocks[i]
-    coded = _run(lengths[order], grid, None)[1]
+    top = int(grid.max(initial=0) + 1).bit_length()
+    coded = _run(lengths[order], grid, None, top)[1]
     out: list[bytes] = [b""] * len(blocks)
     for k, i in enumerate(order):
-        out[i] = coded[k]
+        out[i] = bytes([top]) + coded[k]
     return out
 
 
 def decode_blocks(payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     """The ids of each block, in the order given."""
     lengths = np.asarray(lengths, dtype=np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    grid, _ = _run(lengths[order], None, [payloads[i] for i in order])
-    out: list[np.ndarray] = [grid[0, :0]] * len(payloads)
-    for k, i in enumerate(order):
-        out[i] = grid[k, : lengths[i]].astype(np.uint32)
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(payloads)
+    for top in {p[0] for p in payloads}:  # one, for blocks that were coded together
+        mine = np.array([i for i, p in enumerate(payloads) if p[0] == top])
+        order = mine[np.argsort(-lengths[mine], kind="stable")]
+        grid, _ = _run(lengths[order], None, [payloads[i][1:] for i in order], top)
+        for k, i in enumerate(order):
+            out[i] = grid[k, : lengths[i]].astype(np.uint32)
     return out

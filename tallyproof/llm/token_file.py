@@ -33,7 +33,7 @@ class TokenFile:
 
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 2
-    block_ids: int = 2048
+    block_ids: int = 512
     row_ids: int = 6_000_000
 
 
