@@ -8,7 +8,10 @@ from tallyproof.functions.amounts import (
     CONSENSUS_HEADING, DATED_AMOUNT, HEADER, ISO_DATE, PROSE_DATED, PROSE_UNDATED, YEAR, cells, group, header_unit, leading_year, number, target_year, won,
 )
 
-_SO_FAR = Window.partitionBy("doc_id", "block_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _so_far():
+    """The lines of a block up to the current one."""
+    return Window.partitionBy("doc_id", "block_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def numbered_blocks(lines: DataFrame) -> DataFrame:
@@ -45,9 +48,9 @@ def block_lines(lines: DataFrame) -> DataFrame:
     others = F.when((F.size("_profit") != 1) & (F.size("_amount") > 1), F.transform(F.filter("_amount", lambda s: s["i"] != F.col("_chosen.i")), lambda s: F.struct(s["i"].alias("i"), header_unit(s["c"]).alias("unit"))))
     x = x.withColumn("_chosen", chosen)
     state = F.struct(F.col("_chosen.i").alias("i"), header_unit(F.col("_chosen.c")).alias("unit"), group(F.col("_chosen.c"), YEAR, 1).alias("year"), others.alias("others"))
-    x = x.withColumn("table", F.last(F.when(F.col("_is_header"), state), ignorenulls=True).over(_SO_FAR))
+    x = x.withColumn("table", F.last(F.when(F.col("_is_header"), state), ignorenulls=True).over(_so_far()))
     words = F.col("line").rlike(r"(?iU)\bdate\b|날짜") & F.col("line").rlike(r"(?iU)\bamount\b|금액|영업이익") & F.col("_cells").isNull()
-    unit = F.last(F.when(words, header_unit(F.col("line"))), ignorenulls=True).over(_SO_FAR)
+    unit = F.last(F.when(words, header_unit(F.col("line"))), ignorenulls=True).over(_so_far())
     # Regular expressions ran once for each line; the entries, years and bounds all read the outcome.
     return x.withColumns({"frame_unit": F.coalesce(unit, F.lit("")), "candidate_year": target_year(F.col("line"))}).persist()
 

@@ -36,7 +36,7 @@ def annual_cells(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     heads = headers(lines).filter("is_annual").select("doc_id", "line_no", "year")
     blocked = scenario_blocks(lines).select("doc_id", F.col("header_line").alias("line_no"))
     cells = value_lines(lines, "annual").drop("year").join(heads, ["doc_id", "line_no"]).join(blocked, ["doc_id", "line_no"], "left_anti")
-    return consensus_asof(cells, blocks)
+    return consensus_asof(cells, blocks).persist()
 
 
 def companions(lines: DataFrame, annual: DataFrame) -> DataFrame:

@@ -13,14 +13,21 @@ _PLACE = """(select doc_id, year, err, 1 + (row_number() over (partition by doc_
   row_number() over (partition by doc_id order by year) as block_no from book)"""
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept: later plans start from it instead of nesting it."""
+    df = df.persist()
+    df.count()
+    return df
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reports' lines. Several operators of a run read them, so they are kept."""
-    return ln.doc_lines(reports(spark, sf_dir)).persist()
+    return _kept(ln.doc_lines(reports(spark, sf_dir)))
 
 
 def _blocks(lines: DataFrame) -> DataFrame:
     """The consensus blocks of the lines: small, read by every repair."""
-    return con.blocks(lines).persist()
+    return _kept(con.blocks(lines))
 
 
 def _whole(c: str = "year") -> Column:
@@ -172,7 +179,7 @@ def half_year_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _changes(lines: DataFrame) -> DataFrame:
     blocks = _blocks(lines)
-    return rp.annual_repair(lines, blocks).unionByName(rp.scenario_repair(lines, blocks)).persist()
+    return _kept(rp.annual_repair(lines, blocks).unionByName(rp.scenario_repair(lines, blocks)))
 
 
 @query(with_views("""select doc_id, bool_and(ok) as locked, not bool_and(ok) as manual_review
@@ -225,7 +232,7 @@ def unchecked_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ln.doc_lines(case_reports(spark, sf_dir)).persist()
+    lines = _kept(ln.doc_lines(case_reports(spark, sf_dir)))
     return rp.invariant_gate(lines, _blocks(lines))
 
 
