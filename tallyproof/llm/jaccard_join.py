@@ -39,7 +39,7 @@ class Shingles:
     percent: int = 75
     crowd: int = 48
     spare: float = 0.35
-    sizes: Sizes = Sizes()
+    sizes: Sizes = Sizes(bucket=12 << 20)
 
 
 # ------------------------------------------------------------------ sets of a batch
