@@ -92,7 +92,8 @@ def _row_key(host: str, text: str) -> Column:
 
 def document_lines(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """One row for each distinct normalised line of each distinct (host, text): host_key, doc_key, line_hash,
-    n_words (of all its repeats in that text). Exact copies within a host are one document."""
+    n_words_all (of all its repeats in all rows with that text, see copy_counts). Exact copies within a host are one
+    document."""
     lines = (
         docs.filter(F.col(text).isNotNull())
         .select(
@@ -108,6 +109,12 @@ def document_lines(docs: DataFrame, host: str = "source", text: str = "text") ->
     return lines.groupBy("host_key", "line_hash", "doc_key").agg(F.sum("w").alias("n_words_all"), F.first("w").alias("w"))
 
 
+def copy_counts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """doc_key, n_copies of each (host, text) held by more than one row. No text is shuffled."""
+    keys = docs.filter(F.col(text).isNotNull()).select(_row_key(host, text).alias("doc_key"))
+    return keys.groupBy("doc_key").agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
+
+
 def frequent_lines(lines: DataFrame, cfg: LineRules = LineRules()) -> DataFrame:
     """host_key, line_hash, n_docs of the lines above their host's limit."""
     counted = lines.groupBy("host_key", "line_hash").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > cfg.min_documents)
@@ -130,7 +137,9 @@ def judge_documents(docs: DataFrame, cfg: LineRules = LineRules(), host: str = "
         lines.join(hot, ["host_key", "line_hash"])
         .groupBy("doc_key")
         .agg(F.sum("n_words_all").alias("_lost"), F.max("n_docs").alias("_line_docs"))
-        .withColumnRenamed("doc_key", "_key")
+        # Copies have the same lines, so the division leaves no rest.
+        .join(copy_counts(docs, host, text), "doc_key", "left")
+        .select(F.col("doc_key").alias("_key"), F.expr("_lost div coalesce(n_copies, 1)").alias("_lost"), "_line_docs")
     )
     judged = text_statistics(docs, cfg, text).withColumn("_key", _row_key(host, text)).join(lost, "_key", "left")
     stays = 100 * (F.col("n_words") - F.col("n_line_words")) >= cfg.keep_percent * F.col("n_words")

@@ -167,6 +167,19 @@ def test_quality_rules(spark):
     assert {r.text for r in remove_frequent_lines(docs).collect()} == set(good)
 
 
+def test_quality_rules_judge_each_copy_by_its_own_words(spark):
+    from tallyproof.llm.quality_rules import judge_documents, remove_frequent_lines
+
+    texts = [" ".join(f"w{chr(97 + i)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(70)) for i in range(8)]
+    boiler = "\nall rights reserved by us\nall rights reserved by us"
+    rows = [(i, t + boiler, "h") for i, t in enumerate(texts)] + [(100 + i, texts[0] + boiler, "h") for i in range(39)] + [(200, texts[0] + boiler, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.kept, r.n_line_words, r.n_line_docs) for r in judge_documents(docs).collect()}
+    assert got == {k: (True, 10, 8) if host else (True, 0, 0) for k, _, host in rows}
+    cleaned = {r.doc_id: r.text for r in remove_frequent_lines(docs).collect()}
+    assert cleaned == {k: t.removesuffix(boiler) if host else t for k, t, host in rows}
+
+
 def test_urls(spark):
     from tallyproof.llm.url_filters import judge_urls
 
