@@ -95,6 +95,17 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fa.reachability(edges, seeds, 3)
 
 
+@query(f"""
+with recursive edges as ({_CHAIN}), steps as (select * from edges where relation in ('causes', 'derived_from', 'depends_on', 'supports')),
+reached(doc_id, seed, node, depth) as (
+  select doc_id, source, source, 0 from edges
+  union all select r.doc_id, r.seed, s.target, r.depth + 1 from reached r join steps s on r.doc_id = s.doc_id and r.node = s.source where r.depth < 3)
+select doc_id, seed, node, min(depth)::int as depth from reached group by doc_id, seed, node""")
+def reachability_every_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _chain(spark, sf_dir)
+    return fa.reachability(edges, edges.select("doc_id", F.col("source").alias("seed")), 3)
+
+
 @query(f"""with e as ({_CHAIN}) select doc_id, source, target, relation, max(confidence) as confidence from (
   select doc_id, source, target, relation, 0.9::double as confidence from e
   union all select doc_id, source, target, relation, 0.7::double from e where source % 2 = 0
@@ -142,3 +153,10 @@ select doc_id, n::int as chunk_no, 'paragraph' as kind, '' as section, md5(text)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(r"text not like '%|%' and not text rlike '(^|\n)\\s*#' and not text rlike '\n\\s*\n' and not text rlike '(^|\n)[ ]|[ ](\n|$)'")
     return ln.chunk_documents(ln.doc_lines(docs)).select("doc_id", "chunk_no", "kind", "section", F.md5("text").alias("digest"))
+
+
+@query()
+def chunk_every_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with headings, table rows and blank lines; tested against brute force."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ln.chunk_documents(ln.doc_lines(docs)).select("doc_id", "chunk_no", "kind", "section", F.md5("text").alias("digest"))

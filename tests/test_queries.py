@@ -33,5 +33,12 @@ def test_query_matches_oracle(spark, name):
     assert _rows(tuple(r) for r in df.select(columns).collect()) == _rows(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_reachability_starts_from_every_source(spark):
+    test_query_matches_oracle(spark, "reachability_every_source")
+    seeds = registry.QUERIES["reachability_every_source"](spark, DATA).filter("depth = 0").count()
+    assert seeds == registry.QUERIES["edge_union"](spark, DATA).filter("confidence = 0.9D").count()
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())

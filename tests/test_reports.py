@@ -1,5 +1,8 @@
 """Row-level cases of the report operators: literal documents, exact outcomes."""
 
+import hashlib
+import re
+
 import pytest
 
 from tallyproof.operators import consensus as con, forecast as fc, lines as ln, repair as rp
@@ -72,3 +75,29 @@ def test_restatement_outside_fences_only(spark):
     lines, blocks = _run(spark, text)
     found = rp.restatement_repair(ln.line_context(lines), rp.scenario_repair(lines, blocks)).collect()
     assert [(r.old_won, r.new_won) for r in found] == [(3.5e15, 3.5e13)]
+
+
+def test_every_document_is_chunked_against_brute_force(spark, tmp_path):
+    from tallyproof.plans import registry
+
+    texts = ["one\ntwo\n\nthree", "# A\nx\n| a | b |\n|---|:-:|\n| 1 | 2 |\ny\nz\n ## B c \n\n edge \n#no heading", "\n\n", "a | b\n#\n# \nq\r\nr", "", None, "| x |\n\n| y |\nlast"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for doc, text in enumerate(texts):
+        section, open_chunk, chunks = "", False, []
+        for line in re.split(r"\r\n|\n", text or ""):
+            clean, heading = re.sub(r"\s", " ", line).strip(" "), re.match(r"\s*#{1,6}\s+(.*\S)\s*$", line)
+            if heading or not clean:
+                section, open_chunk = heading.group(1) if heading else section, False
+            elif clean.startswith("|"):
+                open_chunk = False
+                if not re.match(r"\|[\s:|-]+\|?$", clean):
+                    chunks.append(["table_row", section, clean])
+            elif open_chunk:
+                chunks[-1][2] += " " + clean
+            else:
+                chunks.append(["paragraph", section, clean])
+                open_chunk = True
+        want |= {(doc, n, kind, head, hashlib.md5(c.encode()).hexdigest()) for n, (kind, head, c) in enumerate(chunks, 1)}
+    got = registry.QUERIES["chunk_every_document"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
