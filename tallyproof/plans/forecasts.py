@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyproof.operators import consensus as con, forecast as fc, lines as ln, repair as rp
 from tallyproof.plans.registry import query
-from tallyproof.sources.reports import CASES_SQL, case_reports, reports, with_views
+from tallyproof.sources.reports import CASES_SQL, EVERY_CASE_SQL, case_reports, reports, with_views
 
 #: Where a section stands in its report: 18 lines and a blank one, one more with scenarios.
 _PLACE = """(select doc_id, year, err, 1 + (row_number() over (partition by doc_id order by year) - 1) * (case when doc_id % 2 = 1 then 19 else 20 end) as h,
@@ -231,8 +231,8 @@ def unchecked_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return years.join(checked, ["doc_id", "year"], "left_anti").select("doc_id", _whole())
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _kept(ln.doc_lines(case_reports(spark, sf_dir)))
+def _gated(spark: SparkSession, sf_dir: str, cases: str = CASES_SQL) -> DataFrame:
+    lines = _kept(ln.doc_lines(case_reports(spark, sf_dir, cases)))
     return rp.invariant_gate(lines, _blocks(lines))
 
 
@@ -247,3 +247,16 @@ from ({CASES_SQL}), (select unnest(['H1', 'H2']) as p), (select unnest(['상방'
 def invariant_block_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated = _gated(spark, sf_dir)
     return rp.invariant_block_repair(gated, rp.invariant_cell_repair(gated)).select("doc_id", _whole(), "period", "label", "factor", F.round("new_won", 0).alias("new_won"))
+
+
+@query()
+def invariant_cell_repair_every_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ambiguous years included; tested against brute force."""
+    return rp.invariant_cell_repair(_gated(spark, sf_dir, EVERY_CASE_SQL)).select("doc_id", _whole(), "period", "label", "factor", F.round("new_won", 0).alias("new_won"))
+
+
+@query()
+def invariant_block_repair_every_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ambiguous years included; tested against brute force."""
+    gated = _gated(spark, sf_dir, EVERY_CASE_SQL)
+    return rp.invariant_block_repair(gated, rp.invariant_cell_repair(gated)).select("doc_id", _whole(), "period", "label", "factor", F.round("new_won", 0).alias("new_won"))
