@@ -48,7 +48,7 @@ STAGES = [
     ("token ids", token_file),
 ]
 
-#: SQL cannot express the last stages; the pipeline is tested against a brute-force version.
+#: SQL cannot express the last stages; no test covers the pipeline as a whole yet.
 ORACLE_SQL = None
 
 
