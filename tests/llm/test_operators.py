@@ -204,6 +204,16 @@ def test_personal_data_base_against_brute_force(spark):
     assert got[0].n_email == 0 and got[8].n_phone == 1 and got[6].n_card == 0 and got[4].n_ip == 2
 
 
+def test_personal_data_hints_hide_no_span(spark):
+    from tallyproof.llm.personal_data import cell_counts, find_personal_data
+
+    texts = ["call +1 2 3 4 5 6 7 8 9 now", "+4-9-1-5-1-2-3-4-5", "write to jane at example.com"]
+    docs = _docs(spark, list(enumerate(texts)))
+    got = {r.doc_id: (r.n_phone, r.base_sha256) for r in find_personal_data(docs).collect()}
+    assert got == {k: (n, hashlib.sha256(spans.encode()).hexdigest()) for k, n, spans in [(0, 1, "phone:5:23"), (1, 1, "phone:0:18"), (2, 0, "")]}
+    assert sum(n for cell, n in cell_counts(docs).items() if cell.startswith("email|-1|")) == 1
+
+
 def test_decontamination(spark):
     from tallyproof.llm.decontaminate import Windows, clean_documents, contaminated_spans, digest
 
