@@ -1,243 +1,284 @@
 """An adaptive context-mixing range coder for token ids, many independent blocks side by side.
 
-A block's ids are coded one after another. Order-2 and order-1 contexts each hold the id that followed them last
-and a confidence; a logistic mixer weighs order-2, order-1 and order-0 evidence into the probability that the
-guess is right. An id that neither context guesses is coded by order-0 statistics: adaptive frequencies of its
-magnitude, then of its leading bits, then plain bits. Every block starts from the same empty model, so blocks
-can be decoded alone. All arithmetic is on integers. Position ``t`` of all blocks is coded in one NumPy step; a
-block is a lane.
+An id is coded in nibbles, highest first. Each nibble's distribution is a mix of three predictions of the id:
+
+- order 0: frequencies of the nibble after the id's higher nibbles;
+- order 1: the same after the id before as well (hashed rows);
+- order 2: the id that followed the last two ids when they were seen last, trusted by how often it held.
+
+The weights of the mix depend on how much the order-1 row and the order-2 slot have seen; every coded nibble moves
+them towards the predictions that foresaw it. The mixed frequencies drive a carry-less range coder. Every block starts
+from the same empty model, so blocks can be decoded alone.
+
+A block is a lane: position ``t`` of all blocks is coded in one NumPy step. The encoder knows all nibbles of an id, so
+it models them in one step; rows and weights of different nibbles are apart, so the decoder, which goes nibble by
+nibble, sees the same numbers. Floating-point arithmetic is element by element, or on integers below 2**24, hence equal
+in both directions.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_MASK = np.uint64(0xFFFFFFFF)
-_TOP, _BOTTOM = np.uint64(1 << 24), np.uint64(1 << 16)
-_SLOTS_BITS = 12
-_SLOTS = 1 << _SLOTS_BITS
-_EMPTY = -1
+#: Blocks coded side by side; about 110 KB of model each.
+LANES = 1024
+_TOTAL_BITS = 15
+_TOTAL = 1 << _TOTAL_BITS
+_SLACK = 64  # keeps the mixed frequencies below _TOTAL while weights drift by rounding
+_ALPHA = np.float32(0.1)  # order 0: what an unseen nibble counts
+_RATE = np.float32(0.06)  # of the weights
+_FULL = 240  # a row is halved beyond this count
+_ROWS1_BITS = 10  # order-1 rows of a nibble in a lane
+_ROWS0_BITS = 10  # order-0 rows of the third and later nibbles in a lane
+_SLOTS2_BITS = 12
+_LEVELS = 5
+
+_ONES = np.ones(16, dtype=np.float32)
+#: frequencies @ _SUMS: running sums, the own one included.
+_SUMS = np.triu(np.ones((16, 16), dtype=np.float32))
+_STEPS = np.arange(1, 17, dtype=np.float32)
+#: Row count to level.
+_LEVEL = np.minimum(np.searchsorted([1, 2, 3, 5], np.arange(16 * 256), side="right"), _LEVELS - 1).astype(np.int32)
+
 
-_p = (np.arange(4096) + 0.5) / 4096
-#: Log-odds of a 12-bit probability, in 1/256, and back.
-_STRETCH = np.rint(np.log(_p / (1 - _p)) * 256).astype(np.int64)
-_SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 24, 4072).astype(np.int64)
+def _first_weights(depth: int) -> np.ndarray:
+    """[level of order 1 * levels + level of order 2, (order 0, 1, 2, unused)]: weights rise with what a context saw."""
+    w = np.zeros((_LEVELS, _LEVELS, 4), dtype=np.float32)
+    more = 1 if depth == 0 else 2
+    for one in range(_LEVELS):
+        for two in range(_LEVELS):
+            raw = np.array([1, more * (0, 0.6, 1.5, 3, 5)[one], more * (0, 2, 4, 8, 16)[two], 0])
+            w[one, two] = raw / raw.sum()
+    return w.reshape(-1, 4)
 
 
 class _Coder:
-    """Range coders of all lanes. With payloads it decodes, else it encodes."""
+    """Range coders of all lanes, 16 bits out at a time. With payloads it decodes, else it encodes."""
 
     def __init__(self, lanes: int, capacity: int, payloads: list[bytes] | None):
         self.low = np.zeros(lanes, dtype=np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, dtype=np.uint64)
+        self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         self.at = np.zeros(lanes, dtype=np.int64)
-        self.decoding = payloads is not None
-        if self.decoding:
-            sizes = np.array([len(x) for x in payloads], dtype=np.int64)
-            self.base = np.concatenate(([0], np.cumsum(sizes + 8)[:-1]))
-            self.data = np.frombuffer(b"".join(x + bytes(8) for x in payloads), dtype=np.uint8)
+        if payloads is None:
+            self.base = np.arange(lanes, dtype=np.int64) * capacity
+            self.data = np.zeros(lanes * capacity, dtype=np.uint16)
+        else:
+            words = np.array([len(x) // 2 for x in payloads], dtype=np.int64)
+            self.base = np.concatenate(([0], np.cumsum(words + 4)[:-1]))
+            self.data = np.frombuffer(b"".join(x + bytes(8) for x in payloads), dtype="<u2")
             self.code = np.zeros(lanes, dtype=np.uint64)
             for _ in range(4):
-                self.code = (self.code << np.uint64(8)) | self.data[self.base + self.at]
+                self.code = (self.code << np.uint64(16)) | self.data[self.base + self.at]
                 self.at += 1
-        else:
-            self.capacity = capacity
-            self.base = np.arange(lanes, dtype=np.int64) * capacity
-            self.data = np.zeros(lanes * capacity, dtype=np.uint8)
+        self.decoding = payloads is not None
+
+    def target(self, n: int) -> np.ndarray:
+        """Decoding: the frequency that the code points at, for the first n lanes."""
+        self.unit = self.range[:n] >> np.uint64(_TOTAL_BITS)
+        return np.minimum((self.code[:n] - self.low[:n]) // self.unit, np.uint64(_TOTAL - 1)).astype(np.float32)
 
-    def _narrow(self, lanes, low: np.ndarray, span: np.ndarray) -> None:
-        """Store the lanes' new intervals, shifting out settled bytes."""
-        low &= _MASK
-        todo = np.flatnonzero((((low ^ (low + span)) < _TOP) | (span < _BOTTOM)))
+    def narrow(self, start: np.ndarray, size: np.ndarray) -> None:
+        """Take the interval [start, start + size) of _TOTAL in the first len(start) lanes and shift settled words."""
+        n = len(start)
+        low, span = self.low[:n], self.range[:n]
+        unit = self.unit if self.decoding else span >> np.uint64(_TOTAL_BITS)
+        low += unit * start.astype(np.uint64)
+        np.multiply(unit, size.astype(np.uint64), out=span)
+        todo = np.flatnonzero(span < np.uint64(1 << 48))
         while len(todo):
             a, s = low[todo], span[todo]
-            settled = (a ^ (a + s)) < _TOP
-            s = np.where(settled, s, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)))
-            where = todo if isinstance(lanes, slice) else lanes[todo]
-            spot = self.base[where] + self.at[where]
+            settled = (a ^ (a + s)) < np.uint64(1 << 48)
+            go = settled | (s < np.uint64(1 << 32))
+            if not go.all():
+                todo, a, s, settled = todo[go], a[go], s[go], settled[go]
+                if not len(todo):
+                    break
+            s = np.where(settled, s, (np.uint64(0) - a) & np.uint64(0xFFFFFFFF))
+            spot = self.base[todo] + self.at[todo]
             if self.decoding:
-                self.code[where] = ((self.code[where] << np.uint64(8)) & _MASK) | self.data[spot]
+                self.code[todo] = (self.code[todo] << np.uint64(16)) | self.data[spot]
             else:
-                self.data[spot] = a >> np.uint64(24)
-            self.at[where] += 1
-            a = (a << np.uint64(8)) & _MASK
-            s = s << np.uint64(8)
-            low[todo], span[todo] = a, s
-            todo = todo[((a ^ (a + s)) < _TOP) | (s < _BOTTOM)]
-        self.low[lanes], self.range[lanes] = low, span
-
-    def bit(self, lanes, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """p: 12-bit probability of a 1."""
-        low, span = self.low[lanes], self.range[lanes]
-        cut = (span >> np.uint64(12)) * p.astype(np.uint64)
-        if self.decoding:
-            bit = ((self.code[lanes] - low) & _MASK) < cut
-        self._narrow(lanes, np.where(bit, low, low + cut), np.where(bit, cut, span - cut))
-        return bit
-
-    def plain(self, lanes, bits: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """``bits`` (up to 15 each) equiprobable bits."""
-        low, span, b = self.low[lanes], self.range[lanes], bits.astype(np.uint64)
-        unit = span >> b
-        if self.decoding:
-            value = np.minimum(((self.code[lanes] - low) & _MASK) // unit, (np.uint64(1) << b) - np.uint64(1)).astype(np.int64)
-        self._narrow(lanes, low + unit * value.astype(np.uint64), unit)
-        return value
-
-    def symbol(self, lanes, to: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """One of ``to.shape[1]`` symbols; ``to`` holds the running sums of their frequencies, below 2**16."""
-        low, span = self.low[lanes], self.range[lanes]
-        unit = span // to[:, -1].astype(np.uint64)
-        if self.decoding:
-            code = np.minimum(((self.code[lanes] - low) & _MASK) // unit, (to[:, -1] - 1).astype(np.uint64)).astype(np.int32)
-            symbol = (to <= code[:, None]).sum(axis=1)
-        row = np.arange(len(to))
-        end = to[row, symbol].astype(np.uint64)
-        start = np.where(symbol > 0, to[row, symbol - 1], 0).astype(np.uint64)
-        self._narrow(lanes, low + unit * start, unit * (end - start))
-        return symbol
+                self.data[spot] = a >> np.uint64(48)
+            self.at[todo] += 1
+            low[todo], span[todo] = a << np.uint64(16), s << np.uint64(16)
 
     def payloads(self) -> list[bytes]:
-        for _ in range(4):
-            self.data[self.base + self.at] = self.low >> np.uint64(24)
-            self.low = (self.low << np.uint64(8)) & _MASK
+        # Two words are enough: some value with 32 zero bits lies in the interval, and the reader pads with zeros.
+        end = self.low + np.uint64(0xFFFFFFFF)
+        for shift in (48, 32):
+            self.data[self.base + self.at] = end >> np.uint64(shift)
             self.at += 1
         return [self.data[b : b + n].tobytes() for b, n in zip(self.base, self.at)]
 
 
-class _Mixer:
-    """Logistic mixing of evidence into one probability, with weights of each lane."""
+class _Model:
+    """Predictions and weights of all lanes for ids of ``depth`` nibbles."""
 
-    def __init__(self, lanes: int, contexts: tuple[int, ...]):
-        self.q = [np.full((lanes, n), 1 << 14, dtype=np.int64) for n in contexts]
-        self.w = [np.full(lanes, 26_000, dtype=np.int64) for _ in contexts]
-        self.rows = np.arange(lanes)
+    def __init__(self, lanes: int, depth: int):
+        self.lanes, self.depth = lanes, depth
+        sizes = [min(1 << (4 * d), 1 << _ROWS0_BITS) for d in range(depth)]
+        self.first0 = np.cumsum([0, *sizes[:-1]])
+        self.rows0, self.rows1 = sum(sizes), depth << _ROWS1_BITS
+        self.order0 = np.zeros(lanes * self.rows0, dtype=np.complex128)  # 16 one-byte counts each
+        self.order1 = np.zeros(lanes * self.rows1, dtype=np.complex128)
+        self.guess = np.full(lanes << _SLOTS2_BITS, -1, dtype=np.int32)
+        self.trust = np.zeros(lanes << _SLOTS2_BITS, dtype=np.int8)
+        sets = np.concatenate([_first_weights(d) for d in range(depth)])
+        self.weights = np.ascontiguousarray(np.broadcast_to(sets, (lanes, *sets.shape))).view(np.complex128).ravel()
+        lane = np.arange(lanes, dtype=np.int64)
+        self.lane0, self.lane1, self.lane2 = lane * self.rows0, lane * self.rows1, lane << _SLOTS2_BITS
+        self.lane_sets = lane * len(sets)
+        self.rows_at = np.arange(0, 16 * lanes * depth, 16)
 
-    def predict(self, lanes, contexts: list[np.ndarray]) -> np.ndarray:
-        self.cell = [(self.rows[lanes], c) for c in contexts]
-        self.old = [q[cell] for q, cell in zip(self.q, self.cell)]
-        self.st = [_STRETCH[x >> 4] for x in self.old]
-        self.weight = [w[lanes] for w in self.w]
-        dot = sum(s * w for s, w in zip(self.st, self.weight)) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        return self.p
+    def contexts(self, n: int, before: np.ndarray, last: np.ndarray) -> None:
+        """Look the order-2 guesses of the first n lanes up."""
+        self.slot = self.lane2[:n] + (((before * 0x2F0B4C47 + last * 0x1B56C4E9) >> 7) & ((1 << _SLOTS2_BITS) - 1))
+        self.guessed, self.sure = self.guess.take(self.slot), self.trust.take(self.slot).astype(np.int64)
+        self.hash1 = last * 0x27D4EB2F
 
-    def update(self, lanes, bit: np.ndarray) -> None:
-        error = (bit.astype(np.int64) << 12) - self.p
-        goal = bit.astype(np.int64) * 65_535
-        for q, cell, old in zip(self.q, self.cell, self.old):
-            q[cell] = old + ((goal - old) >> 5)
-        for w, s, weight in zip(self.w, self.st, self.weight):
-            w[lanes] = np.clip(weight + ((s * error) >> 8), -200_000, 200_000)
+    def cells(self, n: int, d: int, path: np.ndarray, alive: np.ndarray | None) -> tuple:
+        """For nibble d after the higher nibbles ``path``: order-0 row, order-1 row, order-2 level and weight set."""
+        if 4 * d <= _ROWS0_BITS:
+            own = path
+        else:
+            own = ((path * 0x9E3779B1) >> 12) & ((1 << _ROWS0_BITS) - 1)
+        row0 = self.lane0[:n] + (self.first0[d] + own)
+        row1 = self.lane1[:n] + ((d << _ROWS1_BITS) + (((self.hash1 + path * 0x165667B1) >> 9) & ((1 << _ROWS1_BITS) - 1)))
+        level = np.minimum(self.sure, _LEVELS - 2) + 1
+        level = np.where(self.guessed >= 0 if alive is None else alive, level, 0)
+        return row0, row1, level, self.lane_sets[:n] + (d * _LEVELS * _LEVELS + level)
 
+    def mix(self, row0: np.ndarray, row1: np.ndarray, level: np.ndarray, sets: np.ndarray, nibble: np.ndarray) -> np.ndarray:
+        """Running sums of the mixed frequencies, as floats holding integers; nibble: the order-2 guess's."""
+        m = len(row0)
+        self.at16 = self.rows_at[:m]
+        self.count0 = self.order0.take(row0).view(np.uint8)
+        self.count1 = self.order1.take(row1).view(np.uint8)
+        mixed, second = self.count0.astype(np.float32).reshape(m, 16), self.count1.astype(np.float32).reshape(m, 16)
+        seen1 = second @ _ONES
+        self.sets = sets + _LEVELS * _LEVEL.take(seen1.astype(np.int32))
+        self.w = w = self.weights.take(self.sets).view(np.float32).reshape(m, 4)
+        self.share0 = 1 / (mixed @ _ONES + 16 * _ALPHA)
+        self.share1 = 1 / np.maximum(seen1, 1)
+        scale = np.float32(_TOTAL - 16 - _SLACK)
+        a0 = w[:, 0] * self.share0 * scale
+        mixed *= a0[:, None]
+        second *= (w[:, 1] * self.share1 * scale)[:, None]
+        mixed += second
+        mixed += (a0 * _ALPHA)[:, None]
+        mixed.reshape(-1)[self.at16 + nibble] += w[:, 2] * scale * (level > 0)
+        np.floor(mixed, out=mixed)
+        sums = mixed @ _SUMS
+        sums += _STEPS
+        sums[:, 15] = _TOTAL
+        return sums
 
-class _Frequencies:
-    """Adaptive frequencies of ``size`` symbols in each of ``contexts`` contexts of each lane."""
+    def learn(self, row0: np.ndarray, row1: np.ndarray, level: np.ndarray, symbol: np.ndarray, nibble: np.ndarray) -> None:
+        """Count the coded nibble and move the weights."""
+        spot = self.at16 + symbol
+        seen0, seen1 = self.count0.take(spot), self.count1.take(spot)
+        w = self.w
+        p0, p1 = (seen0 + _ALPHA) * self.share0, seen1 * self.share1
+        p2 = ((nibble == symbol) & (level > 0)).astype(np.float32)
+        rate = _RATE / (w[:, 0] * p0 + w[:, 1] * p1 + w[:, 2] * p2)
+        w[:, 0] *= (1 - _RATE) + rate * p0
+        w[:, 1] *= (1 - _RATE) + rate * p1
+        w[:, 2] *= (1 - _RATE) + rate * p2
+        self.weights[self.sets] = w.view(np.complex128).ravel()
+        for table, rows, seen in ((self.order0, row0, seen0), (self.order1, row1, seen1)):
+            table.view(np.uint8)[rows * 16 + symbol] = seen + np.uint8(1)
+            if seen.max(initial=0) >= _FULL:
+                full = rows[seen >= _FULL]
+                counts = table.view(np.uint8).reshape(-1, 16)
+                counts[full] >>= 1
 
-    def __init__(self, lanes: int, contexts: int, size: int):
-        self.counts = np.full((lanes * contexts, size), 4, dtype=np.int32)
-        self.contexts = contexts
+    def remember(self, value: np.ndarray) -> None:
+        """The id that followed the order-2 context."""
+        same = self.guessed == value
+        self.trust[self.slot] = np.where(same, np.minimum(self.sure + 1, 4), 0)
+        self.guess[self.slot] = np.where(same | (self.sure > 2), self.guessed, value)
 
-    def code(self, coder: _Coder, lanes: np.ndarray, context: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        cell = lanes * self.contexts + context
-        to = np.cumsum(self.counts[cell], axis=1, dtype=np.int32)
-        symbol = coder.symbol(lanes, to, symbol)
-        self.counts[cell, symbol] += 24
-        full = cell[to[:, -1] > 8_000]
-        if len(full):
-            self.counts[full] = (self.counts[full] + 1) >> 1
-        return symbol
+    def rescale(self) -> None:
+        """Take back what rounding has added to the weights' sums."""
+        w = self.weights.view(np.float32).reshape(-1, 4)
+        w /= w.sum(axis=1, keepdims=True)
 
 
-def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)  # exact below 2**53
+def _alike(n: int, depth: int, value: np.ndarray, guessed: np.ndarray) -> list[np.ndarray]:
+    """For each nibble: the lanes whose guess agrees with the higher nibbles."""
+    return [(guessed >= 0) & ((guessed >> (4 * (depth - d))) == (value >> (4 * (depth - d)))) for d in range(depth)]
 
 
-def _run(lengths: np.ndarray, ids: np.ndarray | None, payloads: list[bytes] | None, top: int) -> tuple[np.ndarray, list[bytes] | None]:
-    """Code all lanes; ``lengths`` do not rise. ids: [lane, position]; top: most bits of an id + 1."""
+def _encode(lengths: np.ndarray, ids: np.ndarray, depth: int) -> list[bytes]:
+    """lengths do not rise; ids: [position, lane]."""
+    lanes = len(lengths)
+    coder, model = _Coder(lanes, len(ids) * depth + 8, None), _Model(lanes, depth)
+    before, last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    for t in range(len(ids)):
+        n = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
+        value = ids[t, :n].astype(np.int64)
+        model.contexts(n, before[:n], last[:n])
+        cells = [model.cells(n, d, value >> (4 * (depth - d)), a) for d, a in enumerate(_alike(n, depth, value, model.guessed))]
+        row0, row1, level, sets = (np.concatenate(c) for c in zip(*cells))
+        symbol = np.concatenate([(value >> (4 * (depth - 1 - d))) & 15 for d in range(depth)])
+        nibble = np.concatenate([(model.guessed >> (4 * (depth - 1 - d))) & 15 for d in range(depth)])
+        sums = model.mix(row0, row1, level, sets, nibble).reshape(-1)
+        spot = model.at16 + symbol
+        end = sums.take(spot)
+        start = np.where(symbol > 0, sums.take(np.maximum(spot - 1, 0)), 0)
+        size = end - start
+        for a in range(0, depth * n, n):
+            coder.narrow(start[a : a + n], size[a : a + n])
+        model.learn(row0, row1, level, symbol, nibble)
+        model.remember(value)
+        if t % 1024 == 1023:
+            model.rescale()
+        before[:n], last[:n] = last[:n], value
+    return coder.payloads()
+
+
+def _decode(lengths: np.ndarray, payloads: list[bytes], depth: int) -> np.ndarray:
+    """ids: [position, lane]; lengths do not rise."""
     lanes, most = len(lengths), int(lengths.max(initial=0))
-    coder = _Coder(lanes, most * 5 + 16, payloads)
-    decoding = payloads is not None
-    out = np.zeros((lanes, most), dtype=np.int64) if decoding else ids
-    row = np.arange(lanes, dtype=np.int64) * _SLOTS
-    guess = [np.full(lanes * _SLOTS, _EMPTY, dtype=np.int32) for _ in range(2)]  # order 2, order 1
-    trust = [np.zeros(lanes * _SLOTS, dtype=np.int8) for _ in range(2)]
-    second, first = _Mixer(lanes, (8, 16, 1)), _Mixer(lanes, (8, 4, 1))
-    magnitude, lead = _Frequencies(lanes, 1, top + 1), _Frequencies(lanes, top + 1, 8)
+    coder, model = _Coder(lanes, 0, payloads), _Model(lanes, depth)
+    out = np.zeros((most, lanes), dtype=np.uint32)
     before, last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    everyone = np.arange(lanes)
     for t in range(most):
-        n = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
-        own = slice(0, n)
-        a, b = before[own], last[own]
-        spot2 = row[own] + (((a * 0x2F0B4C47 + b * 0x1B56C4E9) >> 7) & (_SLOTS - 1))
-        spot1 = row[own] + (((b * 0x27D4EB2F) >> 9) & (_SLOTS - 1))
-        g2, g1, c2, c1 = guess[0][spot2], guess[1][spot1], trust[0][spot2], trust[1][spot1]
-        x = None if decoding else ids[own, t]
-        value = np.zeros(n, dtype=np.int64) if decoding else x
-        left = everyone[own]
-
-        asked = left[g2 != _EMPTY]
-        if len(asked):
-            k2, k1 = c2[asked].astype(np.int64), c1[asked].astype(np.int64)
-            agree = (g2[asked] == g1[asked]).astype(np.int64)
-            p = second.predict(asked, [k2, k1 * 2 + agree, np.zeros(len(asked), dtype=np.int64)])
-            hit = coder.bit(asked, p, None if decoding else x[asked] == g2[asked])
-            second.update(asked, hit)
-            found = asked[hit]
-            value[found] = g2[found]
-            done = np.zeros(n, dtype=bool)
-            done[found] = True
-            left = left[~done]
-        asked = left[(g1[left] != _EMPTY) & (g1[left] != g2[left])]
-        if len(asked):
-            p = first.predict(asked, [c1[asked].astype(np.int64), np.minimum(c2[asked], 3).astype(np.int64), np.zeros(len(asked), dtype=np.int64)])
-            hit = coder.bit(asked, p, None if decoding else x[asked] == g1[asked])
-            first.update(asked, hit)
-            found = asked[hit]
-            value[found] = g1[found]
-            done = np.zeros(n, dtype=bool)
-            done[found] = True
-            left = left[~done[left]]
-        if len(left):
-            v = None if decoding else x[left] + 1
-            m = magnitude.code(coder, left, np.zeros(len(left), dtype=np.int64), None if decoding else _bit_length(v))
-            rest = np.maximum(m - 4, 0)  # after the top bit, up to three bits by frequency
-            h = lead.code(coder, left, m, None if decoding else (v >> rest) & 7)
-            tail = np.zeros(len(left), dtype=np.int64)
-            for shift in (14, 0):
-                some = np.flatnonzero(rest > shift)
-                if len(some):
-                    bits = np.minimum(rest[some] - shift, 14)
-                    got = coder.plain(left[some], bits, None if decoding else (v[some] >> shift) & ((1 << bits) - 1))
-                    tail[some] |= got << shift
-            if decoding:
-                top = np.where(m > 4, (8 | h) << rest, h)
-                # Below five bits the leading bits hold the number but for its top bit at four bits.
-                value[left] = np.where(m == 4, 8 | h, top | tail) - 1
-        for g, c, spot, was, sure in ((guess[0], trust[0], spot2, g2, c2), (guess[1], trust[1], spot1, g1, c1)):
-            same = was == value
-            c[spot] = np.where(same, np.minimum(sure + 1, 7), sure >> 1)
-            g[spot] = np.where(same | (sure > 3), was, value)
-        if decoding:
-            out[own, t] = value
-        before[own], last[own] = b, value
-    return out, None if decoding else coder.payloads()
+        n = int(np.searchsorted(-lengths, -t, side="left"))
+        model.contexts(n, before[:n], last[:n])
+        value, alive = np.zeros(n, dtype=np.int64), model.guessed >= 0
+        for d in range(depth):
+            row0, row1, level, sets = model.cells(n, d, value, alive)
+            nibble = (model.guessed >> (4 * (depth - 1 - d))) & 15
+            sums = model.mix(row0, row1, level, sets, nibble)
+            symbol = (sums > coder.target(n)[:, None]).argmax(axis=1)
+            flat, spot = sums.reshape(-1), model.at16 + symbol
+            start = np.where(symbol > 0, flat.take(np.maximum(spot - 1, 0)), 0)
+            coder.narrow(start, flat.take(spot) - start)
+            model.learn(row0, row1, level, symbol, nibble)
+            value = (value << 4) | symbol
+            alive = alive & (nibble == symbol)
+        model.remember(value)
+        if t % 1024 == 1023:
+            model.rescale()
+        out[t, :n] = value
+        before[:n], last[:n] = last[:n], value
+    return out
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """One payload for each block of ids (non-negative, below 2**30), in the order given. Its first byte is the number
-    of bits that the ids of all these blocks need."""
+    """One payload for each block of ids (non-negative, below 2**31), in the order given. Its first byte is the number
+    of nibbles in the ids of the blocks coded with it. At most LANES blocks are in memory as models at a time."""
     lengths = np.array([len(b) for b in blocks], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
-    grid = np.zeros((len(blocks), int(lengths.max(initial=0))), dtype=np.int64)
-    for k, i in enumerate(order):
-        grid[k, : lengths[i]] = blocks[i]
-    top = int(grid.max(initial=0) + 1).bit_length()
-    coded = _run(lengths[order], grid, None, top)[1]
     out: list[bytes] = [b""] * len(blocks)
-    for k, i in enumerate(order):
-        out[i] = bytes([top]) + coded[k]
+    for some in (order[a : a + LANES] for a in range(0, len(order), LANES)):
+        grid = np.zeros((int(lengths[some[0]]), len(some)), dtype=np.uint32)
+        for k, i in enumerate(some):
+            grid[: lengths[i], k] = blocks[i]
+        depth = max(1, -(-int(grid.max(initial=0)).bit_length() // 4))
+        for i, payload in zip(some, _encode(lengths[some], grid, depth)):
+            out[i] = bytes([depth, 0]) + payload
     return out
 
 
@@ -245,10 +286,11 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray
     """The ids of each block, in the order given."""
     lengths = np.asarray(lengths, dtype=np.int64)
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(payloads)
-    for top in {p[0] for p in payloads}:  # one, for blocks that were coded together
-        mine = np.array([i for i, p in enumerate(payloads) if p[0] == top])
+    for depth in {p[0] for p in payloads}:
+        mine = np.array([i for i, p in enumerate(payloads) if p[0] == depth])
         order = mine[np.argsort(-lengths[mine], kind="stable")]
-        grid, _ = _run(lengths[order], None, [payloads[i][1:] for i in order], top)
-        for k, i in enumerate(order):
-            out[i] = grid[k, : lengths[i]].astype(np.uint32)
+        for some in (order[a : a + LANES] for a in range(0, len(order), LANES)):
+            grid = _decode(lengths[some], [payloads[i][2:] for i in some], depth)
+            for k, i in enumerate(some):
+                out[i] = np.ascontiguousarray(grid[: lengths[i], k])
     return out

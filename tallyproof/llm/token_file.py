@@ -33,8 +33,8 @@ class TokenFile:
 
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 2
-    block_ids: int = 512
-    row_ids: int = 6_000_000
+    block_ids: int = 2048
+    row_ids: int = 2_000_000
 
 
 class IdEncoder:
@@ -139,9 +139,12 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "seq", "since", "n_tokens", "ids_crc32"])
 
     files = spark.read.schema(_FILE).parquet(path)
-    # One row for each run of documents: a few for a gigabyte.
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "seq", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
+    # Running sums in two steps: of the parts (one row for each task that wrote), then of the rows in a part.
+    earlier = (Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    parts = parts.select("part", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("_parts"))
+    rows = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*earlier)), F.lit(0)).alias("_rows"))
+    starts = rows.join(parts, "part").select("part", "seq", (F.col("_parts") + F.col("_rows")).alias("before"))
     documents = files.mapInArrow(decode, "doc_id long, part int, seq int, since long, n_tokens long, ids_crc32 long")
     return documents.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("since")).alias("start"), "n_tokens", "ids_crc32")
 
