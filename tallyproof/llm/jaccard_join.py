@@ -16,6 +16,7 @@ need no verification.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -306,23 +307,41 @@ def _set_of(text: str, cfg: Shingles) -> np.ndarray:
     return Sets(pa.table({"doc_id": pa.array([0], pa.int64()), "text": [text]}), cfg).tokens
 
 
+def _words_of(text: str, cfg: Shingles) -> set[bytes]:
+    words = [w for w in re.split(rb"[ \t-\r]+", text.encode("utf-8", "surrogatepass").translate(_LOWER)) if w]
+    if 0 < len(words) < cfg.words:
+        return {b" ".join(words)}
+    return {b" ".join(words[i : i + cfg.words]) for i in range(len(words) - cfg.words + 1)}
+
+
 def verify(pairs: DataFrame, texts: DataFrame, cfg: Shingles) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough. A node's text goes to its pairs; sets are made there."""
+    """The pairs (a, b) of nodes whose sets are similar enough: first by shingle hashes, then, where these agree, by the
+    words themselves. A node's text goes to its pairs; sets are made there."""
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches):
         known: dict[int, np.ndarray] = {}
+        exact: dict[int, set[bytes]] = {}
         for batch in batches:
             links = []
             for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
+                if len(known) > 400:
+                    known.clear()
+                    exact.clear()
                 for node, text in ((a, s), (b, t)):
                     if node not in known:
-                        if len(known) > 400:
-                            known.clear()
                         known[node] = _set_of(text, cfg)
-                x, y = (known[n] if n in known else _set_of(v, cfg) for n, v in ((a, s), (b, t)))
+                x, y = known[a], known[b]
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                links.append(100 * same >= cfg.percent * (len(x) + len(y) - same))
+                linked = 100 * same >= cfg.percent * (len(x) + len(y) - same)
+                if linked:
+                    for node, text in ((a, s), (b, t)):
+                        if node not in exact:
+                            exact[node] = _words_of(text, cfg)
+                    x, y = exact[a], exact[b]
+                    same = len(x & y)
+                    linked = 100 * same >= cfg.percent * (len(x) + len(y) - same)
+                links.append(linked)
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
@@ -347,30 +366,27 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
 
 
-def _settle_large(groups: DataFrame, texts: DataFrame, labels: DataFrame, cfg: Shingles) -> DataFrame:
-    """labels after comparing the members of token groups (token, node, n, k: the token's place in the node's order)
-    that lie in different components: first with the group's first node, then with its first four, then all.
+def _reach(cfg: Shingles) -> str:
+    """Condition on places k, _ka of a common token in nodes of n, _na shingles: if it is their first common one, they
+    share no more than what follows it in either, which must be enough."""
+    return f"100 * least(n, _na) >= {cfg.percent} * greatest(n, _na) and {100 + cfg.percent} * (least(n - k, _na - _ka) + 1) >= {cfg.percent} * (n + _na)"
 
-    A pair whose first common token is this one shares no more than what follows it in either node; pairs that this
-    rules out are not made. Groups with the same members and places are one group.
-    """
-    same = groups.groupBy("token").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node", "k").cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64("k", "node")).alias("_x"))
-    groups = checkpointed(groups.join(same.groupBy("_n", "_s", "_x").agg(F.min("token").alias("token")).filter("_n > 1").select("token"), "token"))
-    seen = None
-    for take in (1, 4, None):
-        placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
-        members = checkpointed(placed.join(open_, "token").withColumn("_order", F.row_number().over(Window.partitionBy("token").orderBy("node"))))
-        leaders = members.filter(F.col("_order") <= take) if take else members
-        leaders = leaders.select("token", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("k").alias("_ka"), F.col("component").alias("_ca"), F.col("_order").alias("_oa"))
-        enough = f"{100 + cfg.percent} * (least(n - k, _na - _ka) + 1) >= {cfg.percent} * (n + _na)"
-        apart = members.join(leaders, "token").filter(f"_order > _oa and component <> _ca and 100 * least(n, _na) >= {cfg.percent} * greatest(n, _na) and {enough}")
-        pairs = apart.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = checkpointed(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            labels = merged(labels, checkpointed(verify(pairs, texts, cfg)))
-            seen = pairs if seen is None else seen.unionByName(pairs)
-    return labels
+
+def _leader_pairs(groups: DataFrame, cfg: Shingles) -> DataFrame:
+    """a, b: every member of a token group with its leader, the node in which the token is least rare: the one with
+    the fewest shingles of its own, to which near copies are nearest."""
+    leaders = groups.groupBy("token").agg(F.min(F.struct("k", "node", "n")).alias("_l")).selectExpr("token", "_l.node as a", "_l.k as _ka", "_l.n as _na")
+    pairs = groups.join(leaders, "token").filter(f"node <> a and {_reach(cfg)}")
+    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def _open_pairs(groups: DataFrame, labels: DataFrame, cfg: Shingles) -> DataFrame:
+    """a, b: members of one token group that are still in different components and may be similar."""
+    placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
+    members = checkpointed(placed.join(open_, "token"))
+    others = members.select("token", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("k").alias("_ka"), F.col("component").alias("_ca"))
+    return members.join(others, "token").filter(f"a < node and component <> _ca and {_reach(cfg)}").select("a", F.col("node").alias("b")).distinct()
 
 
 def _prefixes(texts: DataFrame, cfg: Shingles) -> DataFrame:
@@ -408,18 +424,24 @@ def jaccard_components(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame
     h = f"(_na + _nb) * {100 - cfg.percent} div {100 + cfg.percent}"
     enough = f"n >= greatest(_left, case when role = 0 then _right0 else _right1 end) - {h}"
     pairs = found.filter("b is not null").join(left, "a").join(right, "b").filter(enough)
-    pairs = checkpointed(pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct())
+    pairs = checkpointed(pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b", "n").groupBy("a", "b").agg(F.max("n").alias("n")))
     crowd = checkpointed(homes.filter("crowded0 > margin0 or crowded1 > margin1").select("node"))
     wanted = pairs.selectExpr("a as node").unionByName(pairs.selectExpr("b as node")).unionByName(crowd).distinct()
     texts = checkpointed(rows.join(homes.join(wanted, "node").select("node", "row"), "row").dropDuplicates(["node"]).select("node", "text"))
-    # First one pair for each node: a large group of copies becomes a tree, not all its pairs.
-    first = checkpointed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # First one pair for each node, and each token group's members with its leader: a large group of copies becomes
+    # a tree, not all its pairs.
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    crowded_groups = None
+    if not crowd.isEmpty():
+        crowded_groups = checkpointed(_prefixes(texts.join(crowd, "node"), cfg))
+        first = first.unionByName(_leader_pairs(crowded_groups, cfg)).distinct()
+    first = checkpointed(first)
     labels = merged(None, checkpointed(verify(first, texts, cfg)))
-    rest = checkpointed(_apart(pairs, labels).join(first, ["a", "b"], "left_anti"))
+    rest = _apart(pairs, labels)
+    if crowded_groups is not None:
+        rest = rest.unionByName(_open_pairs(crowded_groups, labels, cfg)).distinct()
+    rest = checkpointed(rest.join(first, ["a", "b"], "left_anti"))
     labels = merged(labels, checkpointed(verify(rest, texts, cfg)))
-    if not crowd.isEmpty():
-        groups = checkpointed(_prefixes(texts.join(crowd, "node"), cfg))
-        labels = _settle_large(groups, texts, labels, cfg)
 
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
