@@ -21,12 +21,14 @@ from __future__ import annotations
 import numpy as np
 
 #: Blocks coded side by side; about 110 KB of model each.
-LANES = 1024
+LANES = 1536
 _TOTAL_BITS = 15
 _TOTAL = 1 << _TOTAL_BITS
 _SLACK = 64  # keeps the mixed frequencies below _TOTAL while weights drift by rounding
 _ALPHA = np.float32(0.1)  # order 0: what an unseen nibble counts
 _RATE = np.float32(0.06)  # of the weights
+_RETURN = np.float32(0.002)  # what each update gives back to order 0, which alone foresees every nibble
+_LEAST = np.float32(1e-6)  # no weight falls below it, so that it can rise again
 _FULL = 240  # a row is halved beyond this count
 _ROWS1_BITS = 10  # order-1 rows of a nibble in a lane
 _ROWS0_BITS = 10  # order-0 rows of the third and later nibbles in a lane
@@ -181,9 +183,10 @@ class _Model:
         p0, p1 = (seen0 + _ALPHA) * self.share0, seen1 * self.share1
         p2 = ((nibble == symbol) & (level > 0)).astype(np.float32)
         rate = _RATE / (w[:, 0] * p0 + w[:, 1] * p1 + w[:, 2] * p2)
-        w[:, 0] *= (1 - _RATE) + rate * p0
-        w[:, 1] *= (1 - _RATE) + rate * p1
-        w[:, 2] *= (1 - _RATE) + rate * p2
+        stay = 1 - _RATE - _RETURN
+        w[:, 0] = w[:, 0] * (stay + rate * p0) + _RETURN
+        w[:, 1] = np.maximum(w[:, 1] * (stay + rate * p1), _LEAST)
+        w[:, 2] = np.maximum(w[:, 2] * (stay + rate * p2), _LEAST)
         self.weights[self.sets] = w.view(np.complex128).ravel()
         for table, rows, seen in ((self.order0, row0, seen0), (self.order1, row1, seen1)):
             table.view(np.uint8)[rows * 16 + symbol] = seen + np.uint8(1)

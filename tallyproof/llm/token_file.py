@@ -34,7 +34,7 @@ class TokenFile:
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 2
     block_ids: int = 2048
-    row_ids: int = 2_000_000
+    row_ids: int = 3_000_000
 
 
 class IdEncoder:

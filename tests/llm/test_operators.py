@@ -133,6 +133,8 @@ def test_codec_round_trip():
 
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 10, 900), rng.integers(0, 60000, 300), np.zeros(0, int), np.array([2**30 - 1, 0, 1, 7, 8, 15, 16]), rng.zipf(1.5, 500) % 49000]
+    # A long repeat takes all weight from order 0 before a surprise.
+    blocks += [np.concatenate([np.tile([5, 70, 900, 31_000], 500), rng.integers(0, 49_000, 200)]), np.full(4000, 3)]
     payloads = encode_blocks(blocks)
     assert all(np.array_equal(a, b) for a, b in zip(blocks, decode_blocks(payloads, [len(b) for b in blocks])))
     assert len(payloads[0]) < 900
