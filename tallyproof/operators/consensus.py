@@ -19,7 +19,7 @@ def numbered_blocks(lines: DataFrame) -> DataFrame:
     header in that line)."""
     so_far = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heading = F.col("line").rlike(CONSENSUS_HEADING)
-    x = lines.withColumns({"is_heading": heading, "block_no": F.sum(heading.cast("int")).over(so_far), "forecast_year": leading_year(F.col("line"), HEADER)})
+    x = lines.withColumns({"is_heading": heading, "block_no": F.sum(heading.cast("int")).over(so_far), "forecast_year": F.col("head_year") if "head_year" in lines.columns else leading_year(F.col("line"), HEADER)})
     return x.filter("block_no > 0").withColumn("heading_line", F.min("line_no").over(Window.partitionBy("doc_id", "block_no")))
 
 
@@ -51,14 +51,13 @@ def block_lines(lines: DataFrame) -> DataFrame:
     x = x.withColumn("table", F.last(F.when(F.col("_is_header"), state), ignorenulls=True).over(_so_far()))
     words = F.col("line").rlike(r"(?iU)\bdate\b|날짜") & F.col("line").rlike(r"(?iU)\bamount\b|금액|영업이익") & F.col("_cells").isNull()
     unit = F.last(F.when(words, header_unit(F.col("line"))), ignorenulls=True).over(_so_far())
-    # Regular expressions ran once for each line; the entries, years and bounds all read the outcome.
-    return x.withColumns({"frame_unit": F.coalesce(unit, F.lit("")), "candidate_year": target_year(F.col("line"))}).persist()
+    return x.withColumns({"frame_unit": F.coalesce(unit, F.lit("")), "candidate_year": target_year(F.col("line"))})
 
 
-def entries(lines: DataFrame) -> DataFrame:
+def entries(lines: DataFrame, inside: DataFrame | None = None) -> DataFrame:
     """doc_id, block_no, heading_line, line_no, entry_date, amount_won, declared_unit, source, and mismatch: rows whose
-    unit columns disagree by more than 0.1 % keep their place with mismatch true and are no entries."""
-    x = block_lines(lines)
+    unit columns disagree by more than 0.1 % keep their place with mismatch true and are no entries. inside: block_lines(lines), if they are stored already."""
+    x = inside if inside is not None else block_lines(lines)
     key = ("doc_id", "block_no", "heading_line", "line_no")
     row = x.filter("_cells is not null and not _is_header").withColumn("_date", F.when(F.get("_cells", F.lit(0)).rlike(f"^{ISO_DATE}$"), F.try_to_date(F.get("_cells", F.lit(0)), "yyyy-MM-dd")))
     row = row.withColumn("_won", won(number(F.get("_cells", F.col("table.i"))), F.col("table.unit")))
@@ -79,7 +78,7 @@ def entries(lines: DataFrame) -> DataFrame:
     told = told.select(*key, F.try_to_date(day, "yyyy-MM-dd").alias("entry_date"), won(number(F.col("f.v")), F.col("f.u")).alias("amount_won"), F.col("f.u").alias("declared_unit"), F.lit("prose_dated").alias("source"), F.lit(False).alias("mismatch"))
     dated = tabled.unionByName(framed).unionByName(told).filter("entry_date is not null and amount_won <> 0")
 
-    years = block_years(lines).select("doc_id", "block_no", F.col("explicit_year").alias("_year"))
+    years = block_years(lines, inside).select("doc_id", "block_no", F.col("explicit_year").alias("_year"))
     undated = x.join(dated.filter("not mismatch").select("doc_id", "block_no").distinct(), ["doc_id", "block_no"], "left_anti").filter(line.rlike(PROSE_UNDATED)).join(years, ["doc_id", "block_no"])
     undated = undated.select(
         *key, F.try_to_date(F.concat(F.coalesce("_year", F.lit("1970")), F.lit("-01-01")), "yyyy-MM-dd").alias("entry_date"), won(number(F.regexp_extract(line, PROSE_UNDATED, 1)), F.regexp_extract(line, PROSE_UNDATED, 2)).alias("amount_won"),
@@ -88,31 +87,31 @@ def entries(lines: DataFrame) -> DataFrame:
     return dated.unionByName(undated.filter("amount_won <> 0"))
 
 
-def block_years(lines: DataFrame) -> DataFrame:
+def block_years(lines: DataFrame, inside: DataFrame | None = None) -> DataFrame:
     """doc_id, block_no, heading_line, explicit_year, forecast_year, year_source, year_conflict of every block.
 
     The heading's year, else the first year a line ties to the consensus; another such year is a conflict and leaves the
     block without one. Then the value column's year, then the next forecast's.
     """
     heading = numbered_blocks(lines).filter("is_heading").select("doc_id", "block_no", group(F.col("line"), YEAR, 1).alias("_heading_year"))
-    inside = block_lines(lines).groupBy("doc_id", "block_no").agg(
+    named = (inside if inside is not None else block_lines(lines)).groupBy("doc_id", "block_no").agg(
         F.min_by("candidate_year", F.when(F.col("candidate_year").isNotNull(), F.col("line_no"))).alias("_first"),
         F.collect_set("candidate_year").alias("_all"),
         F.max_by("table.year", F.when(F.col("_is_header"), F.col("line_no"))).alias("_column_year"),
     )
-    x = block_bounds(lines).join(heading, ["doc_id", "block_no"]).join(inside, ["doc_id", "block_no"], "left")
+    x = block_bounds(lines).join(heading, ["doc_id", "block_no"]).join(named, ["doc_id", "block_no"], "left")
     explicit = F.coalesce("_heading_year", "_first")
     x = x.withColumn("explicit_year", explicit).withColumn("year_conflict", F.coalesce(F.exists("_all", lambda y: y != F.col("explicit_year")), F.lit(False)))
     source = F.when(F.col("_heading_year").isNotNull(), "heading").when(F.col("_first").isNotNull(), "section_text").when(F.col("_column_year").isNotNull(), "value_column").when(F.col("next_year").isNotNull(), "next_forecast")
     year = F.when(~F.col("year_conflict"), F.coalesce("explicit_year", "_column_year", "next_year"))
-    return x.select("doc_id", "block_no", "heading_line", "explicit_year", year.alias("forecast_year"), source.alias("year_source"), "year_conflict").persist()
+    return x.select("doc_id", "block_no", "heading_line", "explicit_year", year.alias("forecast_year"), source.alias("year_source"), "year_conflict")
 
 
-def blocks(lines: DataFrame) -> DataFrame:
+def blocks(lines: DataFrame, inside: DataFrame | None = None) -> DataFrame:
     """block_years with latest (struct of entry_date, amount_won, line_no; null if the block has no entry): by date,
     then line."""
-    last = entries(lines).filter("not mismatch").groupBy("doc_id", "block_no").agg(F.max(F.struct("entry_date", "line_no", "amount_won")).alias("latest"))
-    return block_years(lines).join(last, ["doc_id", "block_no"], "left")
+    last = entries(lines, inside).filter("not mismatch").groupBy("doc_id", "block_no").agg(F.max(F.struct("entry_date", "line_no", "amount_won")).alias("latest"))
+    return block_years(lines, inside).join(last, ["doc_id", "block_no"], "left")
 
 
 def latest_consensus(all_blocks: DataFrame) -> DataFrame:

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Relations along which a correction spreads.
-CAUSAL = ("causes", "derived_from", "depends_on", "supports")
-
+from tallyproof.functions.facts import key_text
+from tallyproof.sources.tables import stored
 
-def key_text(c: Column) -> Column:
-    """Lower case without white space."""
-    return F.regexp_replace(F.lower(c), r"(?U)\s+", "")
+#: Relations along which a correction spreads.
+CAUSAL = ("causes", "contradicts", "derived_from", "depends_on", "supports")
 
 
 def value_conflicts(atoms: DataFrame, spread: float = 0.2) -> DataFrame:
@@ -25,12 +23,19 @@ def value_conflicts(atoms: DataFrame, spread: float = 0.2) -> DataFrame:
 
 def margin_pairs(atoms: DataFrame, tolerance: float = 0.15) -> DataFrame:
     """doc_id, margin_id, revenue_id, profit_id, residual: for each stated margin the revenue and profit of its period
-    (any, if the margin names none) that reproduce it best, within ``tolerance`` points; first atoms on ties."""
+    (any, if the margin names none) that reproduce it best, within ``tolerance`` points; first atoms on ties.
+
+    Profits meet revenues by document and period once; the ratios then meet margins in steps of the tolerance, so a
+    margin sees only ratios in its own and the two neighbouring steps.
+    """
+    step = lambda c: F.floor(c / tolerance).cast("long")
     m = atoms.filter("metric = 'margin'").select("doc_id", F.col("atom_id").alias("margin_id"), F.col("period").alias("_p"), F.col("amount").alias("_m"))
     r = atoms.filter("metric = 'revenue' and amount > 0").select("doc_id", F.col("atom_id").alias("revenue_id"), F.col("period").alias("_rp"), F.col("ord").alias("_ro"), F.col("amount").alias("_r"))
-    p = atoms.filter("metric = 'profit'").select("doc_id", F.col("atom_id").alias("profit_id"), F.col("period").alias("_pp"), F.col("ord").alias("_po"), F.col("amount").alias("_o"))
-    x = m.join(r, "doc_id").filter("_p = '' or _rp = _p").join(p, "doc_id").filter("_pp = _rp")
-    x = x.withColumn("residual", F.abs(F.col("_o") / F.col("_r") * 100 - F.col("_m"))).filter(F.col("residual") <= tolerance)
+    p = atoms.filter("metric = 'profit'").select("doc_id", F.col("atom_id").alias("profit_id"), F.col("period").alias("_rp"), F.col("ord").alias("_po"), F.col("amount").alias("_o"))
+    ratios = r.join(p, ["doc_id", "_rp"]).withColumn("_ratio", F.col("_o") / F.col("_r") * 100).withColumn("_step", step(F.col("_ratio")))
+    near = F.explode(F.sequence(step(F.col("_m")) - 1, step(F.col("_m")) + 1)).alias("_step")
+    x = m.select("*", near).join(ratios, ["doc_id", "_step"]).filter("_p = '' or _rp = _p")
+    x = x.withColumn("residual", F.abs(F.col("_ratio") - F.col("_m"))).filter(F.col("residual") <= tolerance)
     best = x.groupBy("doc_id", "margin_id").agg(F.min_by(F.struct("revenue_id", "profit_id", "residual"), F.struct("residual", "_ro", "_po")).alias("b"))
     return best.select("doc_id", "margin_id", "b.*")
 
@@ -43,11 +48,15 @@ def chain_edges(atoms: DataFrame, by: str, relation: str) -> DataFrame:
 
 def first_support(atoms: DataFrame, source_metric: str, target_metric: str) -> DataFrame:
     """doc_id, source, target: for each atom of one metric the first atom, in document order, of the other one whose
-    period is the same or blank on either side."""
+    period is the same or blank on either side. A named period meets the first target of that period and the first
+    blank one, a blank one the first of the document: three look-ups of minima."""
     s = atoms.filter(F.col("metric") == source_metric).select("doc_id", F.col("atom_id").alias("source"), F.col("period").alias("_p"))
-    t = atoms.filter(F.col("metric") == target_metric).select("doc_id", F.col("atom_id").alias("target"), F.col("period").alias("_q"), "ord")
-    x = s.join(t, "doc_id").filter("_p = '' or _q = '' or _p = _q")
-    return x.groupBy("doc_id", "source").agg(F.min_by("target", "ord").alias("target"))
+    t = atoms.filter(F.col("metric") == target_metric).select("doc_id", F.struct("ord", F.col("atom_id").alias("target")).alias("f"), F.col("period").alias("_p"))
+    by_period = t.groupBy("doc_id", "_p").agg(F.min("f").alias("_same"))
+    whole = t.groupBy("doc_id").agg(F.min("f").alias("_any"), F.min(F.when(F.col("_p") == "", F.col("f"))).alias("_blank"))
+    x = s.join(by_period, ["doc_id", "_p"], "left").join(whole, "doc_id", "left")
+    first = F.when(F.col("_p") == "", F.col("_any")).otherwise(F.array_min(F.array_compact(F.array("_same", "_blank"))))
+    return x.select("doc_id", "source", first["target"].alias("target")).filter("target is not null")
 
 
 def edge_union(*edges: DataFrame) -> DataFrame:
@@ -60,16 +69,20 @@ def edge_union(*edges: DataFrame) -> DataFrame:
     return every.groupBy("doc_id", "source", "target", "relation").agg(F.min_by("confidence", "_k").alias("confidence"))
 
 
-def reachability(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "downstream") -> DataFrame:
+def reachability(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "downstream") -> DataFrame:
     """doc_id, seed, node, depth of every node reachable from the seeds (doc_id, seed) over causal edges in at most
-    ``depth`` steps, with its least depth. Each level joins the frontier only; nodes reached before drop out."""
+    ``depth`` steps (None: any number), with its least depth. Each level is a stored table of the nodes first reached
+    there; the walk ends with an empty one."""
     a, b = ("source", "target") if direction == "downstream" else ("target", "source")
     steps = edges.filter(F.col("relation").isin(*CAUSAL)).select("doc_id", F.col(a).alias("node"), F.col(b).alias("_next")).distinct()
-    reached = seeds.select("doc_id", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
-    frontier = reached
-    for level in range(1, depth + 1):
-        frontier = frontier.select("doc_id", "seed", "node").join(steps, ["doc_id", "node"]).select("doc_id", "seed", F.col("_next").alias("node")).distinct()
-        frontier = frontier.join(reached.select("doc_id", "seed", "node"), ["doc_id", "seed", "node"], "left_anti").withColumn("depth", F.lit(level))
+    reached = frontier = stored(seeds.select("doc_id", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
+    level = 0
+    while depth is None or level < depth:
+        level += 1
+        after = frontier.select("doc_id", "seed", "node").join(steps, ["doc_id", "node"]).select("doc_id", "seed", F.col("_next").alias("node")).distinct()
+        frontier = stored(after.join(reached, ["doc_id", "seed", "node"], "left_anti").withColumn("depth", F.lit(level)))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 
@@ -79,15 +92,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def pair_gate(atoms: DataFrame, duplicate: float, shared: float, alone: float) -> DataFrame:
-    """doc_id, source, target, similarity, reason of the atom pairs of a document that may be related: the same or the
-    next chunk; or similar enough with a shared metric; or more similar without."""
-    left = atoms.select("doc_id", F.col("ord").alias("source"), F.col("chunk_no").alias("_c"), F.col("metric").alias("_m"), F.col("vec").alias("_v"))
-    right = atoms.select("doc_id", F.col("ord").alias("target"), F.col("chunk_no").alias("_d"), F.col("metric").alias("_n"), F.col("vec").alias("_w"))
-    x = left.join(right, "doc_id").filter("source < target").withColumn("similarity", cosine(F.col("_v"), F.col("_w")))
-    near = F.abs(F.col("_c") - F.col("_d"))
-    reason = F.when(near == 0, "same_chunk").when(near == 1, "neighbour_chunk").when((F.col("similarity") >= shared) & (F.col("_m") == F.col("_n")), "shared_metric").when(F.col("similarity") >= alone, "similar")
-    return x.withColumn("reason", reason).filter("reason is not null").select("doc_id", "source", "target", "similarity", "reason")
+def member_pairs(atoms: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, source, target (representatives in document order), similarity (the best of their members) and what members
+    share: same_chunk, neighbour_chunk, same_metric, same_period, same_subject, for all pairs of groups of a document.
+
+    atoms: doc_id, ord, chunk_no, metric, period, subject, vec; groups: doc_id, rep, member. Documents hold some hundred
+    atoms; the pairs of a document are what is asked for, and they are summed up before anything else is done with them.
+    """
+    text = lambda c: key_text(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    place = atoms.filter("chunk_no is not null").groupBy("doc_id", "chunk_no").agg(F.min("ord").alias("_first")).withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("_first")))
+    x = atoms.join(place.drop("_first"), ["doc_id", "chunk_no"], "left").join(groups.select("doc_id", "rep", F.col("member").alias("ord")), ["doc_id", "ord"])
+    x = x.select("doc_id", "rep", "_place", text("metric").alias("_m"), text("period").alias("_p"), text("subject").alias("_s"), "vec")
+    y = x.toDF("doc_id", *[f"{c}_r" for c in x.columns[1:]])
+    z = x.join(y, "doc_id").filter("rep < rep_r")
+    shared = lambda c: (F.col(c) != "") & (F.col(c) == F.col(f"{c}_r"))
+    gap = F.abs(F.col("_place") - F.col("_place_r"))
+    flags = {"same_chunk": gap == 0, "neighbour_chunk": gap == 1, "same_metric": shared("_m"), "same_period": shared("_p"), "same_subject": shared("_s")}
+    z = z.groupBy("doc_id", F.col("rep").alias("source"), F.col("rep_r").alias("target")).agg(F.max(cosine(F.col("vec"), F.col("vec_r"))).alias("similarity"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()])
+    return z
+
+
+def pair_reasons(shared: float, alone: float) -> Column:
+    """array of the reasons to keep a pair of member_pairs: near each other; or similar enough with a shared feature; or
+    more similar without. Empty if there is none."""
+    name = lambda n: F.when(F.col(n), F.lit(n))
+    features = [name(n) for n in ("same_metric", "same_period", "same_subject")]
+    some = F.col("same_metric") | F.col("same_period") | F.col("same_subject")
+    gated = F.when((F.col("similarity") >= shared) & some, F.array_compact(F.array(*features, F.lit("embedding_gate")))).when(F.col("similarity") >= max(shared, alone), F.array(F.lit("strong_embedding_gate"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_compact(F.array(name("same_chunk"), name("neighbour_chunk"))), gated)
+
+
+def pair_gate(pairs: DataFrame, shared: float, alone: float) -> DataFrame:
+    """doc_id, source, target, similarity, reasons of the pairs of member_pairs that may be related."""
+    return pairs.withColumn("reasons", pair_reasons(shared, alone)).filter("size(reasons) > 0").select("doc_id", "source", "target", "similarity", "reasons")
+
+
+def pair_stats(pairs: DataFrame, groups: DataFrame, shared: float, alone: float) -> DataFrame:
+    """doc_id, enumerated, representatives, kept, pruned, deduplicated and low, p50, p90, high of the similarities (nearest
+    rank, half to even) of each document with atoms."""
+    atoms = groups.groupBy("doc_id").agg(F.count("*").alias("_n"), F.count_distinct("rep").alias("_r"))
+    ranked = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("similarity")) - 1).withColumn("_all", F.count("*").over(Window.partitionBy("doc_id")))
+    at = lambda q: F.max(F.when(F.col("_k") == F.least(F.col("_all") - 1, F.rint((F.col("_all") - 1) * F.lit(q))), F.col("similarity")))
+    p = ranked.groupBy("doc_id").agg(F.count("*").alias("representatives"), F.count_if(F.size(pair_reasons(shared, alone)) > 0).alias("kept"), at(0.0).alias("low"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(1.0).alias("high"))
+    x = atoms.join(p, "doc_id", "left").na.fill(0, ["representatives", "kept"])
+    half = lambda c: F.expr(f"{c} * ({c} - 1) div 2")
+    return x.select("doc_id", half("_n").alias("enumerated"), "representatives", "kept", (F.col("representatives") - F.col("kept")).alias("pruned"), (F.col("_n") - F.col("_r")).alias("deduplicated"), "low", "p50", "p90", "high")
 
 
 def alias_expand(edges: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -4,35 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyproof.functions.amounts import ANNUAL, ANNUAL_LINE, FIRST_HALF, HALF_LINE, HEADER, LABELS, PERIOD_HEADER, SCENARIO_LINE, cell_won, group, leading_year
+from tallyproof.functions.amounts import ANALYSIS, ANNUAL, ANNUAL_LINE, FIRST_HALF, HALF_LINE, HEADER, LABELS, OUTLOOK, PERIOD_HEADER, SCENARIO, SCENARIO_LINE, cell_won, group, leading_year
 
 REACH = 15
 
 
+_CELL = ("prefix", "value_text", "unit", "trailing", "won")
+
+
+def _value(line: Column, pattern: str, first: int, **more: Column) -> Column:
+    """The value of a line of that pattern with its surroundings; null where the line is none."""
+    parts = {"prefix": F.regexp_extract(line, pattern, 1), "value_text": F.regexp_extract(line, pattern, first), "unit": F.regexp_extract(line, pattern, first + 1), "trailing": F.regexp_extract(line, pattern, first + 2), "won": cell_won(line, pattern, first)}
+    return F.when(line.rlike(pattern), F.struct(*[c.alias(n) for n, c in (more | parts).items()]))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """lines with everything that patterns find in them, each tried once: head_year (of a forecast header that starts the
+    line), period_year and period_half (of a header of any period), is_title (a scenario-analysis title), and scenario,
+    annual, half (value structs, null where the line is none). Lines parsed before pass unchanged."""
+    if "scenario" in lines.columns:
+        return lines
+    line = F.col("line")
+    x = lines.withColumns({
+        "scenario": F.when(line.rlike("|".join(LABELS)), _value(line, SCENARIO_LINE, 3, label=F.regexp_extract(line, SCENARIO_LINE, 2))),
+        "_outlook": line.contains(OUTLOOK),
+    })
+    on = lambda c: F.when(F.col("_outlook"), c)
+    x = x.withColumns({
+        "head_year": on(leading_year(line, HEADER)), "period_year": on(leading_year(line, PERIOD_HEADER)), "period_half": on(group(line, PERIOD_HEADER, 2)),
+        "annual": on(_value(line, ANNUAL_LINE, 3, year=F.regexp_extract(line, ANNUAL_LINE, 2))),
+        "half": on(_value(line, HALF_LINE, 4, year=F.regexp_extract(line, HALF_LINE, 2), period=F.regexp_extract(line, HALF_LINE, 3))),
+    })
+    return x.withColumn("is_title", F.col("line").contains(f"{SCENARIO} {ANALYSIS}") & F.col("annual").isNull()).drop("_outlook")
+
+
 def value_lines(lines: DataFrame, kind: str) -> DataFrame:
     """doc_id, line_no, line and year, period, label, prefix, value_text, unit, trailing, won of the lines of a kind:
     scenario, annual or half."""
-    pattern, first = {"scenario": (SCENARIO_LINE, 3), "annual": (ANNUAL_LINE, 3), "half": (HALF_LINE, 4)}[kind]
-    line = F.col("line")
-    year = F.lit(None).cast("string") if kind == "scenario" else F.regexp_extract(line, pattern, 2)
-    period = F.regexp_extract(line, HALF_LINE, 3) if kind == "half" else F.lit(ANNUAL if kind == "annual" else None).cast("string")
-    label = F.regexp_extract(line, pattern, 2) if kind == "scenario" else F.lit(None).cast("string")
-    return lines.filter(line.rlike(pattern)).select(
-        "doc_id", "line_no", "line", year.alias("year"), period.alias("period"), label.alias("label"), F.regexp_extract(line, pattern, 1).alias("prefix"),
-        F.regexp_extract(line, pattern, first).alias("value_text"), F.regexp_extract(line, pattern, first + 1).alias("unit"), F.regexp_extract(line, pattern, first + 2).alias("trailing"), cell_won(line, pattern, first).alias("won"),
-    )
+    none = F.lit(None).cast("string")
+    year = none if kind == "scenario" else F.col(f"{kind}.year")
+    period = F.col("half.period") if kind == "half" else F.lit(ANNUAL if kind == "annual" else None).cast("string")
+    label = F.col("scenario.label") if kind == "scenario" else none
+    x = parsed(lines).filter(F.col(kind).isNotNull())
+    return x.select("doc_id", "line_no", "line", year.alias("year"), period.alias("period"), label.alias("label"), *[F.col(f"{kind}.{c}").alias(c) for c in _CELL])
 
 
 def headers(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, line, year, is_annual (the header line holds the value itself), is_section (a scenario-analysis
     title) of the forecast headers that are concrete: no further header within nine lines before a scenario line."""
-    x = lines.withColumns({"year": leading_year(F.col("line"), HEADER), "is_annual": F.col("line").rlike(ANNUAL_LINE), "_scenario": F.col("line").rlike(SCENARIO_LINE)})
+    x = parsed(lines).withColumns({"year": F.col("head_year"), "is_annual": F.col("annual").isNotNull(), "_scenario": F.col("scenario").isNotNull()})
     ahead = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(1, 9)
     next_header = F.min(F.when(F.col("year").isNotNull() & ~F.col("_scenario"), F.col("line_no"))).over(ahead)
     next_scenario = F.min(F.when(F.col("_scenario"), F.col("line_no"))).over(ahead)
     nested = ~F.col("is_annual") & next_header.isNotNull() & (next_scenario.isNull() | (next_header < next_scenario))
     x = x.withColumn("_nested", nested).filter("year is not null and not _nested")
-    return x.select("doc_id", "line_no", "line", "year", "is_annual", (F.col("line").contains("시나리오 분석") & ~F.col("is_annual")).alias("is_section"))
+    return x.select("doc_id", "line_no", "line", "year", "is_annual", F.col("is_title").alias("is_section"))
 
 
 def _blocks(heads: DataFrame, lines: DataFrame) -> DataFrame:
@@ -41,9 +67,11 @@ def _blocks(heads: DataFrame, lines: DataFrame) -> DataFrame:
     The block ends at its third label or at text that is no list item after the first hit; a repeated label counts with
     its last line.
     """
-    cells = value_lines(lines, "scenario").select("doc_id", "line_no", F.struct("line_no", "label", "prefix", "value_text", "unit", "trailing", "won", "line").alias("cell"))
-    near = lines.select("doc_id", "line_no", F.col("line").alias("_line")).join(cells, ["doc_id", "line_no"], "left")
-    joined = heads.join(near, "doc_id").filter(f"line_no between header_line + 1 and header_line + {REACH}")
+    cell = F.when(F.col("scenario").isNotNull(), F.struct("line_no", F.col("scenario.label").alias("label"), *[F.col(f"scenario.{c}").alias(c) for c in _CELL], "line"))
+    near = parsed(lines).select("doc_id", "line_no", F.col("line").alias("_line"), cell.alias("cell"))
+    # A header asks for the numbers of its next lines, so that it meets these only and not its whole document.
+    asks = heads.withColumn("line_no", F.explode(F.sequence(F.col("header_line") + 1, F.col("header_line") + REACH)))
+    joined = asks.join(near, ["doc_id", "line_no"])
     keys = heads.columns
     order = Window.partitionBy("doc_id", "header_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     past = Window.partitionBy("doc_id", "header_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,15 +85,14 @@ def _blocks(heads: DataFrame, lines: DataFrame) -> DataFrame:
 def scenario_blocks(lines: DataFrame) -> DataFrame:
     """doc_id, header_line, year, up, mid, down (cells) of the concrete headers with all three labels."""
     heads = headers(lines).filter("not is_section").select("doc_id", F.col("line_no").alias("header_line"), "year")
-    return _blocks(heads, lines).filter("up is not null and mid is not null and down is not null").persist()
+    return _blocks(heads, lines).filter("up is not null and mid is not null and down is not null")
 
 
 def period_blocks(lines: DataFrame) -> DataFrame:
     """doc_id, year, period (H1, H2, annual), header_line, up, mid, down: of each year and period the last full block."""
-    year = leading_year(F.col("line"), PERIOD_HEADER)
-    half = group(F.col("line"), PERIOD_HEADER, 2)
+    half = F.col("period_half")
     period = F.when(half == FIRST_HALF, "H1").when(half.isNotNull(), "H2").otherwise("annual")
-    heads = lines.withColumn("year", year).filter(F.col("year").isNotNull() & ~(F.col("line").contains("시나리오 분석") & ~F.col("line").rlike(ANNUAL_LINE)))
+    heads = parsed(lines).withColumn("year", F.col("period_year")).filter("year is not null and not is_title")
     heads = heads.select("doc_id", F.col("line_no").alias("header_line"), "year", period.alias("period"))
     full = _blocks(heads, lines).filter("up is not null and mid is not null and down is not null")
     return full.groupBy("doc_id", "year", "period").agg(F.max_by(F.struct("header_line", "up", "mid", "down"), "header_line").alias("b")).select("doc_id", "year", "period", "b.*")

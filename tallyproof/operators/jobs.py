@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tallyproof.functions.facts import LINE_END
 
 
 def stage_history(events: DataFrame) -> DataFrame:
@@ -34,29 +36,49 @@ def verdict_lookup(requests: DataFrame, verdicts: DataFrame, now, days: int = 7)
     return requests.join(newest, "cache_key", "left").withColumn("hit", F.col("payload").isNotNull())
 
 
+def first_object(text: Column) -> Column:
+    """The first balanced ``{…}`` of a text, braces inside strings not counted; null if none ends. A fold over strings,
+    braces and the rest."""
+    tokens = F.regexp_extract_all(text, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"?|[{}]|[^{}"]++'), F.lit(0))
+
+    def step(a: Column, t: Column) -> Column:
+        depth = a["depth"] + F.when(t == "{", 1).when((t == "}") & (a["depth"] > 0), -1).otherwise(0)
+        opens, closes = (t == "{") & (a["depth"] == 0), (t == "}") & (a["depth"] == 1)
+        end = F.when(a["end"] > 0, a["end"]).when(closes, a["at"] + 1).otherwise(0)
+        return F.struct((a["at"] + F.length(t)).alias("at"), depth.alias("depth"), F.when(opens & (a["end"] == 0), a["at"]).otherwise(a["start"]).alias("start"), end.alias("end"))
+
+    found = F.aggregate(tokens, F.expr("struct(0 as at, 0 as depth, 0 as start, 0 as end)"), step)
+    return F.when(found["end"] > 0, F.substring(text, found["start"] + 1, found["end"] - found["start"]))
+
+
 def response_contract(raw: DataFrame, schema: str, required: list[str]) -> DataFrame:
     """raw (id, raw) with parsed (struct) and status: ok, or rejected for text without a whole object or with a
-    required field missing or of another type. Fences and text around the object are dropped, stray backslashes
-    doubled."""
-    body = F.regexp_extract("raw", r"(?s)(\{.*\})", 1)
-    clean = F.regexp_replace(body, r'(?<!\\)((?:\\\\)*)\\(?!["\\/bfnrtu])', r"$1\\\\")
-    x = raw.withColumn("parsed", F.from_json(F.nullif(clean, F.lit("")), schema, {"mode": "PERMISSIVE"}))
-    whole = F.lit(True)
+    required field missing or of another type. Of several objects the first counts; fences and text around it are
+    dropped, and so are backslashes that escape nothing JSON knows."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("raw", F.lit(""))), r"(?iU)^```(?:json)?\s*", ""), r"(?U)\s*```$", "")
+    clean = F.regexp_replace(F.col("_object"), r'\\(?!["\\/bfnrt]|u[0-9a-fA-F]{4})(?<!\\\\)', "")
+    x = raw.withColumn("_object", first_object(text))
+    x = x.withColumn("parsed", F.coalesce(F.from_json("_object", schema, {"mode": "PERMISSIVE"}), F.from_json(clean, schema, {"mode": "PERMISSIVE"})))
+    good = F.lit(True)
     for name in required:
-        whole = whole & F.col(f"parsed.{name}").isNotNull()
-    return x.withColumn("status", F.when(whole, "ok").otherwise("rejected"))
+        good = good & F.col(f"parsed.{name}").isNotNull()
+    again = F.when(good, F.col("parsed")).otherwise(F.from_json(clean, schema, {"mode": "PERMISSIVE"}))
+    return x.withColumn("parsed", again).withColumn("status", F.when(good, "ok").otherwise("rejected")).drop("_object")
 
 
 def splice_guard(proposals: DataFrame) -> DataFrame:
-    """proposals (text, original, suggested) with occurrences and accepted: one occurrence, at least half the length,
-    the same number of lines and the same line shapes (fence, heading, table, list)."""
-    t, o, s = F.col("text"), F.col("original"), F.col("suggested")
+    """proposals (text, original, suggested) with occurrences and accepted: the original is there once and differs from
+    the suggestion, which has at least half its length, as many line ends, and as many fences, headings, lines with
+    pipes and list items. Null texts count as empty; an empty original is never accepted."""
+    t, o, s = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "original", "suggested"))
     n = F.when(F.length(o) > 0, ((F.length(t) - F.length(F.replace(t, o, F.lit("")))) / F.length(o)).cast("int")).otherwise(0)
 
-    def shapes(c):
-        return F.transform(F.split(c, "\n", -1), lambda x: F.regexp_extract(x, r"^\s*(```|#{1,6}(?=\s)|\||[-*+](?=\s)|\d+\.(?=\s))", 1))
+    def shape(c: Column) -> Column:
+        lines = F.split(c, LINE_END, -1)
+        many = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+        return F.array((F.length(c) - F.length(F.replace(c, F.lit("```"), F.lit("")))).cast("int"), many(r"(?U)^\s*#"), many(r"\|"), many(r"(?U)^\s*[-+*]\s+"), F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))))
 
-    same = (F.length(s) >= F.length(o) / 2) & (shapes(o) == shapes(s))
+    same = (s != "") & (o != s) & (F.length(s) >= F.greatest(F.lit(1), F.floor(F.length(o) * 0.5))) & (shape(o) == shape(s))
     return proposals.withColumn("occurrences", n).withColumn("accepted", (F.col("occurrences") == 1) & same)
 
 

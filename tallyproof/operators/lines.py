@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Line ends as a text reader splits them, CRLF first.
-LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+from tallyproof.functions.facts import LINE_END, trimmed
 
 
 def intake(docs: DataFrame) -> DataFrame:
@@ -32,32 +31,64 @@ def reassemble(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def line_context(lines: DataFrame) -> DataFrame:
-    """lines with in_fence (inside a code fence, its marks included) and active_year (the last year named so far)."""
+    """lines with in_fence (inside a code fence, its marks included) and active_year: the year of the last line so far,
+    outside fences, that names an operating profit and a forecast."""
     so_far = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fence = F.trim("line").startswith("```")
-    year = F.nullif(F.regexp_extract("line", "(20[0-9]{2})년", 1), F.lit(""))
+    fence = F.ltrim("line").startswith("```")
     marks = F.sum(fence.cast("int")).over(so_far)
-    return lines.withColumns({"in_fence": fence | (marks % 2 == 1), "active_year": F.last(year, ignorenulls=True).over(so_far)})
+    x = lines.withColumn("in_fence", fence | (marks % 2 == 1))
+    naming = ~F.col("in_fence") & F.col("line").contains("영업이익") & F.col("line").contains("전망")
+    year = F.when(naming, F.nullif(F.regexp_extract("line", "20[0-9]{2}", 0), F.lit("")))
+    return x.withColumn("active_year", F.last(year, ignorenulls=True).over(so_far))
 
 
-def chunk_documents(lines: DataFrame) -> DataFrame:
-    """doc_id, chunk_no, kind (paragraph or table_row), section, text.
+def chunk_documents(lines: DataFrame, most: int = 20_000) -> DataFrame:
+    """doc_id, chunk_no, kind (paragraph or table_row), section, text, raw_text.
 
-    A heading opens a section; a table row is a chunk of its own; other lines without a blank one between them are a
-    paragraph.
+    Headings (# or numbered) open a section and make no chunk; before the first it is ``root``. Rows of pipes without
+    other lines between them are a table: the first one names the columns, rules are skipped, every further row is a
+    chunk ``column: cell | …``. Other lines without a blank one between them are a paragraph; one of more than ``most``
+    characters is cut at line ends. raw_text is the text as it stands in the document.
     """
     so_far = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    clean = F.trim(F.regexp_replace("line", r"(?U)\s", " "))
-    heading = F.nullif(F.regexp_extract("line", r"^\s*#{1,6}\s+(.*\S)\s*$", 1), F.lit(""))
-    x = lines.withColumns({"_clean": clean, "_heading": heading, "_row": clean.startswith("|")})
-    x = x.withColumns({"section": F.coalesce(F.last("_heading", ignorenulls=True).over(so_far), F.lit("")), "_text": (F.col("_clean") != "") & F.col("_heading").isNull()})
-    before = Window.partitionBy("doc_id").orderBy("line_no")
-    joins = F.col("_text") & ~F.col("_row") & F.coalesce(F.lag(F.col("_text") & ~F.col("_row")).over(before), F.lit(False))
-    x = x.withColumn("_run", F.sum((~joins).cast("int")).over(so_far)).filter("_text")
-    x = x.filter(~F.col("_clean").rlike(r"^\|[\s:|-]+\|?$"))
-    chunks = x.groupBy("doc_id", "_run").agg(
-        F.max(F.when(F.col("_row"), "table_row").otherwise("paragraph")).alias("kind"),
-        F.first("section").alias("section"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "_clean"))), lambda s: s["_clean"]), " ").alias("text"),
-    )
-    return chunks.withColumn("chunk_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("_run"))).select("doc_id", "chunk_no", "kind", "section", "text")
+    clean = trimmed(F.col("line"))
+    heading = F.col("_clean").startswith("#") | F.col("_clean").rlike(r"^[0-9]+(?:\.[0-9]+)*\.")
+    titled = F.regexp_replace("_clean", r"(?U)^[#\s]+", "")
+    title = F.coalesce(F.nullif(trimmed(F.regexp_replace(titled, r"(?U)^[0-9]+(?:\.[0-9]+)*\.\s*", "")), F.lit("")), titled)
+    x = lines.withColumn("_clean", clean)
+    x = x.withColumn("_kind", F.when(F.col("_clean") == "", "blank").when(heading, "heading").when(F.col("_clean").startswith("|"), "table_row").otherwise("paragraph"))
+    x = x.withColumn("section", F.coalesce(F.last(F.when(F.col("_kind") == "heading", title), ignorenulls=True).over(so_far), F.lit("root")))
+    # A run goes on while the kind stays the same.
+    start = ~F.col("_kind").eqNullSafe(F.lag("_kind").over(Window.partitionBy("doc_id").orderBy("line_no")))
+    x = x.withColumn("_run", F.sum(start.cast("int")).over(so_far)).filter("_kind in ('table_row', 'paragraph')")
+    cells = F.transform(F.split(F.regexp_replace("_clean", r"^\|+|\|+$", ""), r"\|", -1), trimmed)
+    x = x.withColumn("_cells", F.when(F.col("_kind") == "table_row", cells))
+    real = (F.size("_cells") > 1) & ~F.forall("_cells", lambda c: c.rlike("^:?-+:?$"))
+    x = x.withColumn("_real", real)
+    in_run = Window.partitionBy("doc_id", "_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.struct("line_no", F.col("_cells").alias("names"))
+    x = x.withColumn("_head", F.first(F.when(F.col("_real"), first), ignorenulls=True).over(in_run))
+    rows = x.filter("_kind = 'table_row' and _real and line_no > _head.line_no")
+    pairs = F.filter(F.arrays_zip(F.col("_head.names").alias("h"), F.col("_cells").alias("c")), lambda p: (F.coalesce(p["h"], F.lit("")) != "") & (F.coalesce(p["c"], F.lit("")) != ""))
+    said = F.array_join(F.transform(pairs, lambda p: F.concat(p["h"], F.lit(": "), p["c"])), " | ")
+    rows = rows.select("doc_id", "line_no", F.lit(0).alias("_part"), F.lit("table_row").alias("kind"), "section", F.when(said == "", F.col("_clean")).otherwise(said).alias("text"), F.col("line").alias("raw_text"))
+
+    runs = x.filter("_kind = 'paragraph'").groupBy("doc_id", "_run").agg(F.first("section").alias("section"), F.array_sort(F.collect_list(F.struct("line_no", "_clean", "line"))).alias("_lines"))
+    whole = F.struct(F.array_join("_lines._clean", "\n").alias("text"), F.array_join("_lines.line", "\n").alias("raw_text"))
+    none = F.expr("struct(cast(null as string) as text, cast(null as string) as raw_text, 0 as n, cast(array() as array<struct<text: string, raw_text: string>>) as out)")
+
+    def add(a: Column, s: Column) -> Column:
+        n = F.length(s["_clean"])
+        full = a["text"].isNotNull() & (a["n"] + n > most)
+        opened = a["text"].isNull() | full
+        return F.struct(
+            F.when(opened, s["_clean"]).otherwise(F.concat(a["text"], F.lit("\n"), s["_clean"])).alias("text"), F.when(opened, s["line"]).otherwise(F.concat(a["raw_text"], F.lit("\n"), s["line"])).alias("raw_text"),
+            (F.when(opened, 0).otherwise(a["n"]) + n + 1).alias("n"), F.when(full, F.array_append(a["out"], F.struct(a["text"].alias("text"), a["raw_text"].alias("raw_text")))).otherwise(a["out"]).alias("out"),
+        )
+
+    cut = F.aggregate("_lines", none, add, lambda a: F.array_append(a["out"], F.struct(a["text"].alias("text"), a["raw_text"].alias("raw_text"))))
+    parts = F.when(F.length(whole["text"]) <= most, F.array(whole)).otherwise(cut)
+    paragraphs = runs.select("doc_id", F.col("_lines")[0]["line_no"].alias("line_no"), "section", F.posexplode(parts).alias("_part", "_p"))
+    paragraphs = paragraphs.select("doc_id", "line_no", "_part", F.lit("paragraph").alias("kind"), "section", F.col("_p.text").alias("text"), F.col("_p.raw_text").alias("raw_text"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "_part"))
+    return rows.unionByName(paragraphs).withColumn("chunk_no", number).select("doc_id", "chunk_no", "kind", "section", "text", "raw_text")

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyproof.functions import facts as fx
 from tallyproof.functions.amounts import ANNUAL, BLOCK_FACTORS, FACTORS, FIRST_HALF, rendered
 from tallyproof.operators.consensus import consensus_asof
+from tallyproof.operators.review import fits_context
 from tallyproof.operators.forecast import headers, identity_cells, period_blocks, scenario_blocks, value_lines
 
 NAMES = ("up", "mid", "down")
@@ -36,7 +38,7 @@ def annual_cells(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     heads = headers(lines).filter("is_annual").select("doc_id", "line_no", "year")
     blocked = scenario_blocks(lines).select("doc_id", F.col("header_line").alias("line_no"))
     cells = value_lines(lines, "annual").drop("year").join(heads, ["doc_id", "line_no"]).join(blocked, ["doc_id", "line_no"], "left_anti")
-    return consensus_asof(cells, blocks).persist()
+    return consensus_asof(cells, blocks)
 
 
 def companions(lines: DataFrame, annual: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def apply_changes(lines: DataFrame, changes: DataFrame) -> DataFrame:
     """lines with the changed ones replaced; of several changes of a line the one of the earliest header (smallest
     old line, then factor) holds."""
     one = changes.groupBy("doc_id", "line_no").agg(F.min_by("new_line", F.struct("old_line", "factor")).alias("_new"))
-    return lines.join(one, ["doc_id", "line_no"], "left").withColumn("line", F.coalesce("_new", "line")).drop("_new")
+    return lines.select("doc_id", "line_no", "line", "eol").join(one, ["doc_id", "line_no"], "left").withColumn("line", F.coalesce("_new", "line")).drop("_new")
 
 
 # ------------------------------------------------------------------ sums of halves
@@ -175,18 +177,58 @@ def arithmetic_guard(lines: DataFrame, changes: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ restatements
 
-MONEY = r"(?U)(?<![0-9.,])([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)(\s*)(조원|억원|조|억|원)"
-
-
-def restatement_repair(context: DataFrame, changes: DataFrame) -> DataFrame:
-    """doc_id, line_no, old_won, new_won, replacements: lines outside fences that name operating profit and repeat a
-    changed amount in any unit, with a compatible year; an old value with two new ones is left for review."""
-    maps = changes.groupBy("doc_id", "year", "old_won").agg(F.min("new_won").alias("new_won"), F.count_distinct("new_won").alias("_n")).filter("_n = 1").drop("_n")
-    named = F.nullif(F.regexp_extract("line", "(20[0-9]{2})년", 1), F.lit(""))
-    tokens = F.arrays_zip(F.regexp_extract_all("line", F.lit(MONEY), F.lit(1)).alias("v"), F.regexp_extract_all("line", F.lit(MONEY), F.lit(3)).alias("u"))
-    x = context.filter(F.col("line").contains("영업이익") & ~F.col("in_fence")).join(changes.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_anti")
-    x = x.select("doc_id", "line_no", F.coalesce(named, "active_year").alias("_year"), F.explode(tokens).alias("t"))
-    unit = F.when(F.col("t.u").isin("조원", "조"), 1e12).when(F.col("t.u").isin("억원", "억"), 1e8).otherwise(1.0)
-    x = x.withColumn("_won", F.regexp_replace("t.v", ",", "").cast("double") * unit)
-    hit = x.join(maps, "doc_id").filter("abs(_won - old_won) <= 1e-10 * greatest(1D, abs(old_won)) and (_year is null or _year = year)")
-    return hit.groupBy("doc_id", "line_no", "old_won", "new_won").agg(F.count("*").alias("replacements"))
+
+def restatement_matches(context: DataFrame, mappings: DataFrame) -> DataFrame:
+    """doc_id, line_no, line, mapping_no, old_won, new_won: lines outside fences that name operating profit, with each
+    mapping (doc_id, mapping_no, year, label, old_won, new_won) whose old value they repeat, in any unit, for its year and
+    scenario."""
+    lines = context.filter(F.col("line").contains("영업이익") & ~F.col("in_fence") & F.col("line").rlike(fx.MONEY)).select("doc_id", "line_no", "line", "active_year")
+    x = lines.join(mappings.select("doc_id", "mapping_no", "year", "label", "old_won", "new_won"), "doc_id")
+    x = x.filter(fits_context(F.col("year"), F.col("label"), F.col("line"), F.col("active_year")) & (fx.money_hits(F.col("line"), F.col("old_won")) > 0))
+    return x.select("doc_id", "line_no", "line", "mapping_no", "old_won", "new_won")
+
+
+def restatement_values(matches: DataFrame) -> DataFrame:
+    """doc_id, line_no, line, old_won, new_won, mapping_nos, status of each old value in a line: apply, or review where its
+    mappings disagree on the new one (null then)."""
+    x = matches.groupBy("doc_id", "line_no", "line", "old_won").agg(F.array_sort(F.collect_set("mapping_no")).alias("mapping_nos"), F.min("new_won").alias("_lo"), F.max("new_won").alias("_hi"))
+    one = F.col("_lo") == F.col("_hi")
+    return x.select("doc_id", "line_no", "line", "old_won", F.when(one, F.col("_lo")).alias("new_won"), "mapping_nos", F.when(one, "apply").otherwise("review").alias("status"))
+
+
+def restatement_repair(context: DataFrame, mappings: DataFrame) -> DataFrame:
+    """doc_id, line_no, old_won, new_won, replacements, old_line, new_line of the lines whose restated values are rewritten,
+    one row for each value; values are replaced in the order of their mappings, each in the line that the one before
+    left, so only matched tokens change and keep their unit, spacing and commas. old_line and new_line are the whole
+    line before and after all of them."""
+    values = restatement_values(restatement_matches(context, mappings)).filter("status = 'apply'")
+    steps = values.groupBy("doc_id", "line_no", "line").agg(F.array_sort(F.collect_list(F.struct(F.col("mapping_nos")[0].alias("k"), F.col("old_won").alias("old"), F.col("new_won").alias("new")))).alias("_steps"))
+    start = F.struct(F.col("line").alias("text"), F.expr("cast(array() as array<struct<old: double, new: double, n: int>>)").alias("done"))
+
+    def apply(a: Column, s: Column) -> Column:
+        n = fx.money_hits(a["text"], s["old"])
+        return F.struct(fx.money_replaced(a["text"], s["old"], s["new"]).alias("text"), F.array_append(a["done"], F.struct(s["old"].alias("old"), s["new"].alias("new"), n.alias("n"))).alias("done"))
+
+    x = steps.withColumn("_r", F.aggregate("_steps", start, apply)).select("doc_id", "line_no", F.col("line").alias("old_line"), F.col("_r.text").alias("new_line"), F.explode("_r.done").alias("d"))
+    return x.filter("d.n > 0").select("doc_id", "line_no", F.col("d.old").alias("old_won"), F.col("d.new").alias("new_won"), F.col("d.n").cast("long").alias("replacements"), "old_line", "new_line")
+
+
+def apply_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, text, applied (array of ord) of texts (doc_id, text) after spans (doc_id, ord, original, suggested) in order: a
+    span is replaced where the text, as the spans before left it, holds it exactly once. Documents without a span pass
+    unchanged. A fold over one document's spans."""
+    listed = spans.filter("original <> '' and original <> suggested").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "original", "suggested"))).alias("_spans"))
+    start = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.expr("cast(array() as array<bigint>)").alias("done"))
+
+    def apply(a: Column, s: Column) -> Column:
+        once = F.length(a["text"]) - F.length(F.replace(a["text"], s["original"], F.lit(""))) == F.length(s["original"])
+        return F.struct(F.when(once, F.replace(a["text"], s["original"], s["suggested"])).otherwise(a["text"]).alias("text"), F.when(once, F.array_append(a["done"], s["ord"].cast("long"))).otherwise(a["done"]).alias("done"))
+
+    x = texts.join(listed, "doc_id", "left").withColumn("_r", F.aggregate(F.coalesce("_spans", F.expr("cast(array() as array<struct<ord: bigint, original: string, suggested: string>>)")), start, apply))
+    return x.select("doc_id", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.col("_r.text")).alias("text"), F.col("_r.done").alias("applied"))
+
+
+def applied_changes(changes: DataFrame, restated: DataFrame) -> DataFrame:
+    """doc_id, kind (scale or restatement), line_no, old_won, new_won, new_line: all that the stages changed."""
+    a = changes.select("doc_id", F.lit("scale").alias("kind"), "line_no", "old_won", "new_won", "new_line")
+    return a.unionByName(restated.select("doc_id", F.lit("restatement").alias("kind"), "line_no", "old_won", "new_won", "new_line"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyproof.operators import facts as fa, lines as ln
+from tallyproof.operators import facts as fa, graph as gr, lines as ln
 from tallyproof.plans.registry import query
+from tallyproof.sources.tables import stored
 
 #: A customer is a document, an order a chunk, a year a period; metrics take turns.
 ATOMS_SQL = """
@@ -83,27 +84,23 @@ def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("relation", F.element_at(names, (F.col("source") % 7 + 1).cast("int")))
 
 
-@query(f"""
-with recursive edges as ({_CHAIN}), steps as (select * from edges where relation in ('causes', 'derived_from', 'depends_on', 'supports')),
+_REACHED = f"""
+with recursive edges as ({_CHAIN}), steps as (select * from edges where relation not in ('same_metric', 'same_period')),
 reached(doc_id, seed, node, depth) as (
-  select doc_id, source, source, 0 from edges where source % 5 = 0
+  select doc_id, source, source, 0 from edges
   union all select r.doc_id, r.seed, s.target, r.depth + 1 from reached r join steps s on r.doc_id = s.doc_id and r.node = s.source where r.depth < 3)
-select doc_id, seed, node, min(depth)::int as depth from reached group by doc_id, seed, node""")
+select doc_id, seed, node, min(depth)::int as depth from reached group by doc_id, seed, node"""
+
+
+@query(_REACHED)
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _chain(spark, sf_dir)
-    seeds = edges.filter("source % 5 = 0").select("doc_id", F.col("source").alias("seed"))
-    return fa.reachability(edges, seeds, 3)
+    edges = stored(_chain(spark, sf_dir))
+    return fa.reachability(edges, edges.select("doc_id", F.col("source").alias("seed")), 3)
 
 
-@query(f"""
-with recursive edges as ({_CHAIN}), steps as (select * from edges where relation in ('causes', 'derived_from', 'depends_on', 'supports')),
-reached(doc_id, seed, node, depth) as (
-  select doc_id, source, source, 0 from edges
-  union all select r.doc_id, r.seed, s.target, r.depth + 1 from reached r join steps s on r.doc_id = s.doc_id and r.node = s.source where r.depth < 3)
-select doc_id, seed, node, min(depth)::int as depth from reached group by doc_id, seed, node""")
+@query(_REACHED)
 def reachability_every_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _chain(spark, sf_dir)
-    return fa.reachability(edges, edges.select("doc_id", F.col("source").alias("seed")), 3)
+    return reachability(spark, sf_dir)
 
 
 @query(f"""with e as ({_CHAIN}) select doc_id, source, target, relation, max(confidence) as confidence from (
@@ -117,25 +114,60 @@ def edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fa.edge_union(e.withColumn("confidence", F.lit(0.9)), again)
 
 
-_PAIRS = """
-with v as (select vec_id // 50 as doc_id, vec_id as ord, vec_id // 5 as chunk_no, label as metric, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as vec from embeddings),
-pairs as (select a.doc_id, a.ord as source, b.ord as target, abs(a.chunk_no - b.chunk_no) as near, a.metric = b.metric as same, list_dot_product(a.vec, b.vec) as similarity
-  from v a join v b on a.doc_id = b.doc_id and a.ord < b.ord)"""
+#: Vectors as atoms of documents of 50, in chunks of five; their labels are metrics. Thresholds fit these vectors.
+_GROUPS = """
+with recursive v as (select vec_id // 50 as doc_id, vec_id as ord, vec_id // 5 as chunk_no, label::varchar as metric, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as vec from embeddings),
+near as (select a.doc_id, a.ord as a, b.ord as b, a.metric = b.metric as same, abs(a.chunk_no - b.chunk_no) as gap, list_dot_product(a.vec, b.vec) as similarity from v a join v b on a.doc_id = b.doc_id and a.ord <> b.ord),
+walk(doc_id, ord, rep) as (select doc_id, ord, ord from v union select w.doc_id, n.b, w.rep from walk w join near n on w.doc_id = n.doc_id and w.ord = n.a where n.same and n.similarity >= 0.4),
+groups as (select doc_id, ord as member, min(rep) as rep from walk group by doc_id, ord)"""
+
+_PAIRS = f"""{_GROUPS},
+pairs as (select n.doc_id, g.rep as source, h.rep as target, max(similarity) as similarity, bool_or(gap = 0) as same_chunk, bool_or(gap = 1) as neighbour_chunk, bool_or(same) as same_metric
+  from near n join groups g on n.doc_id = g.doc_id and n.a = g.member join groups h on n.doc_id = h.doc_id and n.b = h.member where g.rep < h.rep group by all),
+gated as (select *, list_concat(list_filter([case when same_chunk then 'same_chunk' end, case when neighbour_chunk then 'neighbour_chunk' end], lambda x: x is not null),
+  case when similarity >= 0.3 and same_metric then ['same_metric', 'embedding_gate'] when similarity >= 0.35 then ['strong_embedding_gate'] else [] end) as reasons from pairs)"""
+
+
+def _groups(v: DataFrame) -> DataFrame:
+    return stored(gr.near_duplicate_groups(v.withColumns({"polarity": F.lit(None).cast("string"), "signature": F.array().cast("array<string>")}), 0.4))
+
+
+def _member_pairs(v: DataFrame, groups: DataFrame) -> DataFrame:
+    return fa.member_pairs(v.withColumns({"period": F.lit(""), "subject": F.lit("")}), groups)
 
 
-@query(f"""{_PAIRS} select doc_id, source, target, round(similarity, 6) as similarity, case when near = 0 then 'same_chunk' when near = 1 then 'neighbour_chunk' when similarity >= 0.3 and same then 'shared_metric' else 'similar' end as reason
-from pairs where near <= 1 or (similarity >= 0.3 and same) or similarity >= 0.35""")
+@query(f"{_GROUPS} select doc_id, rep, member from groups")
+def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(_vectors(spark, sf_dir))
+
+
+@query(f"{_GROUPS} select doc_id, member as source, rep as target, unnest(['supports', 'same_metric']) as relation, 0.92::double as confidence from groups where rep <> member")
+def alias_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.alias_links(_groups(_vectors(spark, sf_dir)))
+
+
+@query(f"{_GROUPS} select doc_id, a as source, b as target, round(similarity, 6) as similarity from near where a < b")
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return _member_pairs(v, v.select("doc_id", F.col("ord").alias("rep"), F.col("ord").alias("member"))).select("doc_id", "source", "target", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"{_PAIRS} select doc_id, source, target, round(similarity, 6) as similarity, array_to_string(reasons, ',') as reasons from gated where len(reasons) > 0")
 def pair_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fa.pair_gate(_vectors(spark, sf_dir), 0.4, 0.3, 0.35).withColumn("similarity", F.round("similarity", 6))
+    v = _vectors(spark, sf_dir)
+    kept = fa.pair_gate(_member_pairs(v, _groups(v)), 0.3, 0.35)
+    return kept.withColumns({"similarity": F.round("similarity", 6), "reasons": F.array_join("reasons", ",")})
 
 
-@query(f"""{_PAIRS} select doc_id, count(*)::bigint as enumerated, (count(*) filter (near <= 1 or (similarity >= 0.3 and same) or similarity >= 0.35))::bigint as kept,
-  round(min(similarity), 6) as low, round(max(similarity), 6) as high from pairs group by doc_id""")
+@query(f"""{_PAIRS}, ranked as (select *, row_number() over (partition by doc_id order by similarity) - 1 as k, count(*) over (partition by doc_id) as n from gated)
+select g.doc_id, g.n * (g.n - 1) // 2 as enumerated, coalesce(p.n, 0)::bigint as representatives, coalesce(kept, 0)::bigint as kept, (coalesce(p.n, 0) - coalesce(kept, 0))::bigint as pruned, g.n - g.r as deduplicated, low, p50, p90, high
+from (select doc_id, count(*) as n, count(distinct rep) as r from groups group by doc_id) g left join (
+  select doc_id, any_value(n) as n, count(*) filter (len(reasons) > 0) as kept, round(max(similarity) filter (k = 0), 6) as low, round(max(similarity) filter (k = least(n - 1, round_even((n - 1) * 0.5, 0))), 6) as p50,
+    round(max(similarity) filter (k = least(n - 1, round_even((n - 1) * 0.9, 0))), 6) as p90, round(max(similarity), 6) as high from ranked group by doc_id) p on g.doc_id = p.doc_id""")
 def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    every = fa.pair_gate(v, 0.4, 0.3, -2.0)
-    kept = F.count_if(F.col("reason").isin("same_chunk", "neighbour_chunk", "shared_metric") | (F.col("similarity") >= 0.35))
-    return every.groupBy("doc_id").agg(F.count("*").alias("enumerated"), kept.alias("kept"), F.round(F.min("similarity"), 6).alias("low"), F.round(F.max("similarity"), 6).alias("high"))
+    groups = _groups(v)
+    return fa.pair_stats(stored(_member_pairs(v, groups)), groups, 0.3, 0.35).withColumns({c: F.round(c, 6) for c in ("low", "p50", "p90", "high")})
 
 
 @query(f"""with e as ({_CHAIN}) select distinct doc_id, s * 10 + i as source, t * 10 + j as target from
@@ -147,16 +179,37 @@ def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fa.alias_expand(e, members)
 
 
-@query("""
-select doc_id, n::int as chunk_no, 'paragraph' as kind, '' as section, md5(text) as digest from (
-  select doc_id, row_number() over (partition by doc_id) as n, trim(replace(text, chr(10), ' ')) as text from documents where text not like '%|%' and not regexp_matches(text, '(^|\n)\\s*#') and not regexp_matches(text, '\n\\s*\n') and not regexp_matches(text, '(^|\n)[ ]|[ ](\n|$)'))""")
+_LINES = r"""
+with raw as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+x as (select doc_id, n, line, regexp_replace(line, '^\s+|\s+$', '', 'g') as clean from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as n from raw)),
+kinds as (select *, case when clean = '' then 'blank' when clean like '#%' or regexp_matches(clean, '^[0-9]+(\.[0-9]+)*\.') then 'heading' when clean like '|%' then 'table_row' else 'paragraph' end as kind from x),
+titled as (select *, case when kind = 'heading' then regexp_replace(clean, '^[#\s]+', '') end as t1 from kinds),
+sections as (select *, coalesce(last_value(case when kind = 'heading' then coalesce(nullif(trim(regexp_replace(t1, '^[0-9]+(\.[0-9]+)*\.\s*', '')), ''), t1) end ignore nulls) over (partition by doc_id order by n), 'root') as section,
+  (kind is distinct from lag(kind) over (partition by doc_id order by n))::int as new from titled),
+runs as (select *, sum(new) over (partition by doc_id order by n) as run from sections where true),
+cells as (select *, case when kind = 'table_row' then list_transform(string_split(regexp_replace(clean, '^\|+|\|+$', '', 'g'), '|'), lambda c: trim(c)) end as c from runs where kind in ('table_row', 'paragraph')),
+reals as (select *, coalesce(len(c) > 1 and len(list_filter(c, lambda v: not regexp_full_match(v, ':?-+:?'))) > 0, false) as real from cells),
+heads as (select *, min(case when real then n end) over (partition by doc_id, run) as head from reals),
+rows_ as (select a.doc_id, a.n, 0 as part, 'table_row' as kind, a.section, a.clean, list_filter(list_zip(b.c, a.c), lambda p: coalesce(p[1], '') <> '' and coalesce(p[2], '') <> '') as p
+  from heads a join heads b on a.doc_id = b.doc_id and b.n = a.head where a.kind = 'table_row' and a.real and a.n > a.head),
+tables as (select doc_id, n, part, kind, section, case when len(p) = 0 then clean else array_to_string(list_transform(p, lambda q: q[1] || ': ' || q[2]), ' | ') end as text from rows_),
+paras as (select doc_id, run, n, section, clean, row_number() over (partition by doc_id, run order by n) as i, sum(length(clean) + 1) over (partition by doc_id, run) - 1 as total from runs where kind = 'paragraph'),
+cut(doc_id, run, i, seg, used) as (
+  select doc_id, run, 1::bigint, 0, length(clean) + 1 from paras where total > 20000 and i = 1
+  union all select p.doc_id, p.run, p.i, case when c.used + length(p.clean) > 20000 then c.seg + 1 else c.seg end, case when c.used + length(p.clean) > 20000 then 0 else c.used end + length(p.clean) + 1
+  from cut c join paras p on c.doc_id = p.doc_id and c.run = p.run and p.i = c.i + 1),
+texts as (select p.doc_id, min(min(p.n)) over (partition by p.doc_id, p.run) as n, coalesce(c.seg, 0) as part, 'paragraph' as kind, any_value(p.section) as section, string_agg(p.clean, chr(10) order by p.n) as text
+  from paras p left join cut c on p.doc_id = c.doc_id and p.run = c.run and p.i = c.i group by p.doc_id, p.run, coalesce(c.seg, 0))
+select doc_id, (row_number() over (partition by doc_id order by n, part))::int as chunk_no, kind, section, md5(text) as digest from (select * from tables union all select * from texts)""".replace("with raw", "with recursive raw")
+
+
+@query(_LINES)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(r"text not like '%|%' and not text rlike '(^|\n)\\s*#' and not text rlike '\n\\s*\n' and not text rlike '(^|\n)[ ]|[ ](\n|$)'")
+    """All documents, with their headings, table rows and blank lines."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return ln.chunk_documents(ln.doc_lines(docs)).select("doc_id", "chunk_no", "kind", "section", F.md5("text").alias("digest"))
 
 
-@query()
+@query(_LINES)
 def chunk_every_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, with headings, table rows and blank lines; tested against brute force."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return ln.chunk_documents(ln.doc_lines(docs)).select("doc_id", "chunk_no", "kind", "section", F.md5("text").alias("digest"))
+    return chunk_documents(spark, sf_dir)

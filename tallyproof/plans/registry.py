@@ -30,4 +30,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["annual_repair"](spark, sf_dir)
 
 
-from tallyproof.plans import facts, forecasts, jobs  # noqa: E402, F401  (they register their queries)
+from tallyproof.plans import atoms, facts, forecasts, graphs, jobs, reviews  # noqa: E402, F401  (they register their queries)
