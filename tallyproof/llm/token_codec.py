@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Blocks coded side by side; about 110 KB of model each.
-LANES = 1536
+#: Blocks coded side by side; about 65 KB of model each.
+LANES = 3072
 _TOTAL_BITS = 15
 _TOTAL = 1 << _TOTAL_BITS
 _SLACK = 64  # keeps the mixed frequencies below _TOTAL while weights drift by rounding
@@ -30,9 +30,9 @@ _RATE = np.float32(0.06)  # of the weights
 _RETURN = np.float32(0.002)  # what each update gives back to order 0, which alone foresees every nibble
 _LEAST = np.float32(1e-6)  # no weight falls below it, so that it can rise again
 _FULL = 240  # a row is halved beyond this count
-_ROWS1_BITS = 10  # order-1 rows of a nibble in a lane
+_ROWS1_BITS = 9  # order-1 rows of a nibble in a lane
 _ROWS0_BITS = 10  # order-0 rows of the third and later nibbles in a lane
-_SLOTS2_BITS = 12
+_SLOTS2_BITS = 11
 _LEVELS = 5
 
 _ONES = np.ones(16, dtype=np.float32)
