@@ -17,11 +17,14 @@ GAP = "[ \\t-\\r]"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Only where none is set (local
-    tests) is a temporary one made."""
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Only a local session (tests) gets a
+    temporary one; a cluster without the setting is an error."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

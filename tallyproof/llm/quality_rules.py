@@ -26,100 +26,127 @@ class LineRules:
     keep_percent: int = 50
 
 
-def _letters(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long")
-
-
-def _repeated_words(words: str) -> Column:
+def _repeated_words() -> Column:
     """Words inside three-word windows that the text holds twice or more.
 
-    Window hashes carry their position in the low bits (as many as the length needs), so one sort of
-    primitive longs brings equal windows together: n log n for the longest text, no shuffle.
+    Window hashes carry their position in the low bits (as many as the length needs), so one sort of primitive longs
+    brings equal windows together: n log n for the longest text, no shuffle. Where cut hashes agree and whole ones do
+    not, which a text of a million words may see, whole hashes and positions are sorted instead.
     """
+    spots = """
+        filter(_sorted, (x, j) -> coalesce(shiftright(get(_sorted, j - 1), _bits) = shiftright(x, _bits), false)
+                               or coalesce(shiftright(get(_sorted, j + 1), _bits) = shiftright(x, _bits), false))"""
+    at = "cast(x & (shiftleft(1L, _bits) - 1L) as int)"
+    before = "cast(get(_sorted, j - 1) & (shiftleft(1L, _bits) - 1L) as int)"
+    mixed = f"""
+        exists(transform(_sorted, (x, j) -> coalesce(shiftright(get(_sorted, j - 1), _bits) = shiftright(x, _bits), false)
+                                            and get(_hashes, {at}) <> get(_hashes, {before})), v -> v)"""
+    whole = """
+        transform(filter(_pairs, (x, j) -> coalesce(get(_pairs, j - 1).h = x.h, false) or coalesce(get(_pairs, j + 1).h = x.h, false)), x -> x.i)"""
+    exact = f"""
+        element_at(transform(array(array_sort(transform(_hashes, (h, i) -> named_struct('h', h, 'i', i)))), _pairs -> {whole}), 1)"""
     return F.expr(f"""
         aggregate(
-          array_sort(transform(
-            filter(_sorted, (x, j) -> coalesce(shiftright(get(_sorted, j - 1), _bits) = shiftright(x, _bits), false)
-                                   or coalesce(shiftright(get(_sorted, j + 1), _bits) = shiftright(x, _bits), false)),
-            x -> cast(x & (shiftleft(1L, _bits) - 1L) as int))),
+          array_sort(case when {mixed} then {exact} else transform({spots}, x -> {at}) end),
           named_struct('last', -3, 'n', 0),
           (a, x) -> named_struct('last', x, 'n', a.n + least(3, x - a.last)),
           a -> cast(a.n as long))""")
 
 
-def _sorted_windows() -> Column:
+def _window_hashes() -> Column:
     return F.expr("""
         case when size(_words) < 4 then cast(array() as array<bigint>) else
-          sort_array(transform(sequence(0, size(_words) - 3), i ->
-            shiftleft(shiftright(xxhash64(_words[i], _words[i + 1], _words[i + 2]), _bits), _bits) | cast(i as bigint))) end""")
+          transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) end""")
 
 
 def text_statistics(docs: DataFrame, cfg: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
-    Null and empty texts have no words: all counts are 0 and base_failed is true. Helper columns begin with
-    ``_`` and are dropped.
+    Null and empty texts have no words: all counts are 0 and base_failed is true. Columns of ``docs`` keep their names,
+    whatever these are, but for those named like results, which are replaced.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    with_words = docs.withColumn("_words", word_array(F.col(text)))
-    with_words = with_words.withColumn("_bits", F.expr("greatest(1, cast(ceil(log2(size(_words) + 1)) as int) + 1)"))
+    names = [n for n in docs.columns if n not in STATISTICS]
+    own = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
+    t = F.coalesce(F.col(f"c{names.index(text)}"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    return (
-        with_words.withColumn("_sorted", _sorted_windows())
-        .withColumn("_lines", lines)
-        .withColumns(
-            {
-                "n_words": F.size("_words").cast("long"),
-                "word_chars": _letters(t),
-                "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-                "n_repeat_words": _repeated_words("_words"),
-            }
-        )
-        .drop("_words", "_bits", "_sorted", "_lines")
-        .withColumn("base_failed", (F.col("n_words") < cfg.min_words) | (100 * F.col("n_repeat_words") > cfg.repeat_percent * F.col("n_words")))
-    )
+    x = own.withColumn("_words", word_array(t)).withColumns({"_hashes": _window_hashes(), "_bits": F.expr("greatest(1, cast(ceil(log2(size(_words) + 1)) as int) + 1)")})
+    x = x.withColumn("_sorted", F.expr("sort_array(transform(_hashes, (h, i) -> shiftleft(shiftright(h, _bits), _bits) | cast(i as bigint)))")).withColumn("_lines", lines)
+    out = x.select(
+        *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)],
+        F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.when(t.rlike("[#*$%&|<>]"), F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).otherwise(0).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), _repeated_words().alias("n_repeat_words"),
+    )
+    return out.withColumn("base_failed", (F.col("n_words") < cfg.min_words) | (100 * F.col("n_repeat_words") > cfg.repeat_percent * F.col("n_words")))
 
 
 def normalised_line(line: Column) -> Column:
     """Lower case, words joined by one space, digits as 0; empty if the line has no word."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), GAP + "+", " ")), "[0-9]", "0")
+    low = F.lower(line)
+    spaced = F.trim(F.when(low.rlike("[\\t-\\r]|  "), F.regexp_replace(low, GAP + "+", " ")).otherwise(low))
+    return F.when(spaced.rlike("[1-9]"), F.regexp_replace(spaced, "[1-9]", "0")).otherwise(spaced)
+
+
+def line_key(line: Column) -> Column:
+    """128 bits for a normalised line, as 10**10 lines share 64 too often."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(7)).alias("b"))
 
 
-def _row_key(host: str, text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(host), F.lit("\0")), F.coalesce(F.col(text), F.lit("")))
+def _document_key(host: Column, text: Column) -> Column:
+    whole = (F.coalesce(host, F.lit("\0")), F.coalesce(text, F.lit("")))
+    return F.struct(F.xxhash64(*whole).alias("a"), F.xxhash64(*whole, F.lit(7)).alias("b"))
 
 
 def document_lines(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """One row for each distinct normalised line of each distinct (host, text): host_key, doc_key, line_hash,
-    n_words_all (of all its repeats in all rows with that text, see copy_counts). Exact copies within a host are one
-    document."""
-    lines = (
-        docs.filter(F.col(text).isNotNull())
-        .select(
-            F.coalesce(F.col(host), F.lit("\0")).alias("host_key"),
-            _row_key(host, text).alias("doc_key"),
-            F.explode(F.split(F.col(text), "\n")).alias("line"),
-        )
-        .select("host_key", "doc_key", normalised_line(F.col("line")).alias("line"))
-        .filter("line <> ''")
-        .select("host_key", "doc_key", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", " ")).alias("w"))
-    )
+    """One row for each distinct normalised line of each distinct (host, text): host_key, doc_key, line_key, n_words (of
+    all its repeats in one such text). Exact copies within a host are one document.
+
+    Copies meet by a mark in each row's lines, whose count is the number of copies.
+    """
+    lines = F.filter(F.transform(F.split(F.col(text), "\n"), normalised_line), lambda x: x != "")
+    rows = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(host), F.lit("\0")).alias("host_key"), _document_key(F.col(host), F.col(text)).alias("doc_key"), F.explode(lines).alias("line"))
+    words = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    rows = rows.select("host_key", "doc_key", line_key(F.col("line")).alias("line_key"), words.alias("w"))
     # Repeats and copies meet here: the first grouping is by document too, so a common line has many keys.
-    return lines.groupBy("host_key", "line_hash", "doc_key").agg(F.sum("w").alias("n_words_all"), F.first("w").alias("w"))
+    return rows.groupBy("host_key", "line_key", "doc_key").agg(F.sum("w").alias("n_words_all"))
 
 
 def copy_counts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """doc_key, n_copies of each (host, text) held by more than one row. No text is shuffled."""
-    keys = docs.filter(F.col(text).isNotNull()).select(_row_key(host, text).alias("doc_key"))
+    keys = docs.filter(F.col(text).isNotNull()).select(_document_key(F.col(host), F.col(text)).alias("doc_key"))
     return keys.groupBy("doc_key").agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
 
 
 def frequent_lines(lines: DataFrame, cfg: LineRules = LineRules()) -> DataFrame:
-    """host_key, line_hash, n_docs of the lines above their host's limit."""
-    counted = lines.groupBy("host_key", "line_hash").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > cfg.min_documents)
-    hosts = lines.select("host_key", "doc_key").distinct().groupBy("host_key").agg(F.count("*").alias("host_docs"))
-    return counted.join(hosts, "host_key").filter(100 * F.col("n_docs") > cfg.share_percent * F.col("host_docs")).select("host_key", "line_hash", "n_docs")
+    """host_key, line_key, n_docs of the lines above their host's limit."""
+    counted = lines.groupBy("host_key", "line_key").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > cfg.min_documents)
+    hosts = lines.groupBy("host_key", "doc_key").agg(F.lit(1).alias("_one")).groupBy("host_key").agg(F.count("*").alias("host_docs"))
+    return counted.join(hosts, "host_key").filter(100 * F.col("n_docs") > cfg.share_percent * F.col("host_docs")).select("host_key", "line_key", "n_docs")
+
+
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+VERDICTS = ("n_line_words", "n_line_docs", "kept")
+
+
+def lost_words(docs: DataFrame, cfg: LineRules, host: str, text: str) -> DataFrame:
+    """doc_key, n_line_words, n_line_docs and line_keys (array) of the distinct texts that hold frequent lines. The lines
+    of all documents are written once, as keys, and read for the counts and for the join."""
+    lines = checkpointed(document_lines(docs, host, text))
+    hot = frequent_lines(lines, cfg)
+    lost = lines.join(hot, ["host_key", "line_key"]).groupBy("doc_key").agg(F.sum("n_words_all").alias("_lost"), F.max("n_docs").alias("n_line_docs"), F.collect_set("line_key").alias("line_keys"))
+    # Copies have the same lines, so the division leaves no rest.
+    copies = copy_counts(docs, host, text)
+    return checkpointed(lost.join(copies, "doc_key", "left").select("doc_key", F.expr("_lost div coalesce(n_copies, 1)").alias("n_line_words"), "n_line_docs", "line_keys"))
+
+
+def _judged(docs: DataFrame, cfg: LineRules, host: str, text: str) -> DataFrame:
+    """docs as a struct ``row`` beside the statistics, the verdict and the keys of its frequent lines."""
+    own = docs.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(docs.columns)]).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("host"))
+    lost = lost_words(own, cfg, "host", "text")
+    stated = text_statistics(own, cfg, "text").withColumn("doc_key", _document_key(F.col("host"), F.col("text"))).join(lost, "doc_key", "left")
+    stated = stated.withColumns({"n_line_words": F.coalesce("n_line_words", F.lit(0)).cast("long"), "n_line_docs": F.coalesce("n_line_docs", F.lit(0)).cast("long")})
+    stays = 100 * (F.col("n_words") - F.col("n_line_words")) >= cfg.keep_percent * F.col("n_words")
+    return stated.withColumn("kept", ~F.col("base_failed") & stays)
 
 
 def judge_documents(docs: DataFrame, cfg: LineRules = LineRules(), host: str = "source", text: str = "text") -> DataFrame:
@@ -127,47 +154,23 @@ def judge_documents(docs: DataFrame, cfg: LineRules = LineRules(), host: str = "
     the most frequent one) and kept.
 
     Null host: one host of its own. Null or empty text: no lines, base_failed, not kept. Repeated rows get the
-    same judgement each. Columns of ``docs`` named like results are replaced; names beginning with ``_`` are ours.
+    same judgement each. Columns of ``docs`` named like results are replaced; all others stay, whatever their names.
     """
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "n_line_docs", "kept"]
-    docs = docs.drop(*results)
-    lines = document_lines(docs, host, text)
-    hot = frequent_lines(lines, cfg)
-    lost = (
-        lines.join(hot, ["host_key", "line_hash"])
-        .groupBy("doc_key")
-        .agg(F.sum("n_words_all").alias("_lost"), F.max("n_docs").alias("_line_docs"))
-        # Copies have the same lines, so the division leaves no rest.
-        .join(copy_counts(docs, host, text), "doc_key", "left")
-        .select(F.col("doc_key").alias("_key"), F.expr("_lost div coalesce(n_copies, 1)").alias("_lost"), "_line_docs")
-    )
-    judged = text_statistics(docs, cfg, text).withColumn("_key", _row_key(host, text)).join(lost, "_key", "left")
-    stays = 100 * (F.col("n_words") - F.col("n_line_words")) >= cfg.keep_percent * F.col("n_words")
-    return (
-        judged.withColumn("n_line_words", F.coalesce("_lost", F.lit(0)).cast("long"))
-        .withColumn("n_line_docs", F.coalesce("_line_docs", F.lit(0)).cast("long"))
-        .withColumn("kept", ~F.col("base_failed") & stays)
-        .drop("_key", "_lost", "_line_docs")
-    )
+    results = (*STATISTICS, *VERDICTS)
+    names = docs.columns
+    own = [F.col(f"row.c{i}").alias(n) for i, n in enumerate(names) if n not in results]
+    return _judged(docs, cfg, host, text).select(*own, *results)
 
 
 def remove_frequent_lines(docs: DataFrame, cfg: LineRules = LineRules(), host: str = "source", text: str = "text") -> DataFrame:
     """The documents that are kept, frequent lines taken out of their texts, with the columns of ``docs``.
 
-    A text without a frequent line is returned byte for byte.
+    A text without a frequent line is returned byte for byte. Null and empty texts go; repeated rows are judged each.
     """
-    hot = checkpointed(frequent_lines(document_lines(docs, host, text), cfg))
-    own = docs.withColumn("_key", _row_key(host, text))
-    judged = judge_documents(docs.select(host, text), cfg, host, text).withColumn("_key", _row_key(host, text))
+    names = docs.columns
     # Written first: a filter on kept would be pushed below the statistics and compute them anew for each condition.
-    kept = checkpointed(judged.select("_key", "kept", (F.col("n_line_words") > 0).alias("_touched")).distinct()).filter("kept").drop("kept")
-    own = own.join(kept, "_key")
-    touched = own.filter("_touched").select("_key", F.coalesce(F.col(host), F.lit("\0")).alias("host_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
-    pieces = touched.select("_key", "host_key", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).withColumn("line_hash", F.xxhash64(normalised_line(F.col("_line"))))
-    cleaned = (
-        pieces.join(hot, ["host_key", "line_hash"], "left_anti")
-        .groupBy("_key")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]), "\n").alias("_clean"))
-    )
-    out = own.join(cleaned, "_key", "left").withColumn(text, F.when(F.col("_touched"), F.coalesce("_clean", F.lit(""))).otherwise(F.col(text)))
-    return out.select(*docs.columns)
+    judged = checkpointed(_judged(docs, cfg, host, text).select("row", "kept", "line_keys")).filter("kept")
+    t = F.col(f"row.c{names.index(text)}")
+    rest = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~F.array_contains("line_keys", line_key(normalised_line(x)))), "\n")
+    clean = F.when(F.col("line_keys").isNotNull(), rest).otherwise(t)
+    return judged.select(*[(clean if n == text else F.col(f"row.c{i}")).alias(n) for i, n in enumerate(names)])
