@@ -2,8 +2,8 @@
 
 Method: Rabin-Karp hashes of every window of words; windows are counted over the corpus and repeated ones merge into
 maximal removal intervals. The rolling hashes also cut windows into segments (see ``winnow``), so that a window whose
-segment key occurs once is known to be single without travelling; the others are counted by two independent 64-bit
-hashes in the shuffle.
+segment key occurs once is known to be single without travelling; all others are counted by Spark, as a grouped sum over
+two independent 64-bit hashes, each batch adding what it holds.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from tallyproof.llm.common import RollingHash, checkpointed, mixed, word_bounds, word_hashes
 from tallyproof.llm.winnow import ANSWER, ANSWER_SCHEMA, ASK, ASK_SCHEMA, COMPARE, CROWDED, REPEATED, Documents, Questions, Sizes, answer, answers_of, ask_rows, batched, covered, cut
 
 _SECOND_RADIX = 0xC2B2AE3D27D4EB4F
+_COUNT = "batch long, one long, two long, n long"
+_COUNT_SCHEMA = pa.schema([(n, pa.int64()) for n in ("batch", "one", "two", "n")])
 
 
 @dataclass(frozen=True)
@@ -83,27 +86,30 @@ def remove_repeated_windows(docs: DataFrame, cfg: WordWindows = WordWindows()) -
     def reply(table: pa.Table) -> pa.Table:
         return _table(answer(table, ordered=False, crowd=cfg.sizes.crowd), ANSWER_SCHEMA)
 
-    def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+    def count_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The distinct windows of the batch that are to be counted, and how often it holds each."""
         if not left.num_rows or not right.num_rows:
-            return _table([], ASK_SCHEMA)
+            return _table([], _COUNT_SCHEMA)
         b = _Batch(left, cfg, buckets)
-        counted = b.judge_segments(answers_of(right)[0])[1]
-        _, one, two = b.windows(counted)
-        return _table(ask_rows(left.column("batch")[0].as_py(), 1, Questions(one, two, buckets), one, two, None), ASK_SCHEMA)
+        _, one, two = b.windows(b.judge_segments(answers_of(right)[0])[1])
+        pairs, n = np.unique(np.stack([one, two]), axis=1, return_counts=True)
+        batch = np.full(len(n), left.column("batch")[0].as_py(), dtype=np.int64)
+        return pa.table([pa.array(batch), pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64)), pa.array(n.astype(np.int64))], schema=_COUNT_SCHEMA)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         b = _Batch(left, cfg, buckets) if left.num_rows else None
         flags = np.zeros(len(b.word_start) if b else 0, dtype=bool)
-        answers = answers_of(right)
+        answers = answers_of(right.filter(pc.equal(right.column("kind"), 0)))
         if b and 0 in answers:
             repeated, counted = b.judge_segments(answers[0])
             s, n = b.segments, b.segments.counts[repeated]
             flags[np.repeat(s.starts[repeated] - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
             if counted.any():
                 starts, one, two = b.windows(counted)
-                q = Questions(one, two, buckets)
-                codes = q.gather(answers[1])[q.of_item]
-                flags[starts[(codes & REPEATED > 0) | (q.asked[q.of_item] > 1)]] = True
+                many = right.filter(pc.equal(right.column("kind"), 1))
+                found = np.stack([many.column(n).to_numpy().view(np.uint64) for n in ("one", "two")], axis=1)
+                own = np.stack([one, two], axis=1)
+                flags[starts[np.isin(np.ascontiguousarray(own).view("V16").ravel(), np.ascontiguousarray(found).view("V16").ravel())]] = True
         gone = covered(flags, cfg.words)
         out: dict[str, list] = {n: [] for n in ("doc_id", "n_words", "n_removed", "kept_sha256", "n_intervals", "kept")}
         for i, doc in enumerate(b.docs.ids if b else []):
@@ -116,7 +122,9 @@ def remove_repeated_windows(docs: DataFrame, cfg: WordWindows = WordWindows()) -
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_intervals", pa.int64()), ("kept", pa.string())]))
 
     answers = checkpointed(parts.groupBy("batch").applyInArrow(ask, ASK).groupBy("bucket").applyInArrow(reply, ANSWER))
-    windows = parts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask_windows, ASK)
-    every = answers.unionByName(windows.groupBy("bucket").applyInArrow(reply, ANSWER))
+    windows = checkpointed(parts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(count_windows, _COUNT))
+    repeated = windows.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").select("one", "two")
+    again = windows.join(repeated, ["one", "two"]).select("batch", F.lit(None).cast("long").alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("codes"), "one", "two")
+    every = answers.withColumns({"one": F.lit(None).cast("long"), "two": F.lit(None).cast("long")}).unionByName(again)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_intervals long, kept string"
     return parts.groupBy("batch").cogroup(every.groupBy("batch")).applyInArrow(finish, schema)
