@@ -1,13 +1,15 @@
 """Personal data: base patterns, and further spans by weak supervision. Built-in functions only.
 
-Method: candidate spans get votes (+1, 0, -1) of four labelers: the base regular expression, a gazetteer, the words
-before the span, and a structural check. Expectation-maximisation over the counts of vote patterns estimates each
-labeler's reliability for each kind of data; a naive Bayes classifier on the votes and the span's shape is then
-trained on the resulting probabilities and decides on candidates outside the base. The counts come from all
-documents; their cells are few by construction (three votes each, some shapes), so the fit itself is arithmetic on a
-small table in the driver.
-
-Patterns here keep to possessive repeats and anchored starts, so that no text makes them quadratic or recursive.
+Method: candidate spans are the base matches, matches of the base patterns that fail their check (a card number with a
+typing error, say), and matches of wider patterns (spelled out, bracketed, without a plus). Five labelers vote on each
+(+1, 0, -1): its form, a gazetteer, the words before it, a structural check, and the company of other personal data in
+the document. Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability for each
+kind of data; a naive Bayes classifier on the votes and the span's shape is then trained on the resulting probabilities
+and decides on candidates outside the base. The counts come from all documents; their cells are few by construction
+(five votes of three values, 24 shapes), so the fit itself is arithmetic on a small table in the driver.
+
+Patterns here keep to possessive repeats and anchored starts, so that no text makes them quadratic or recursive. The
+wider ones take names of at most 64 and labels of at most 63 characters, as mail addresses do.
 """
 
 from __future__ import annotations
@@ -29,13 +31,16 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Wider patterns for candidates outside the base.
+_DOT = r"(?:\x20?[(\[][dD][oO][tT][)\]]\x20?|\x20[dD][oO][tT]\x20|\.)"
+_SPREAD_DOT = r"(?:\x20?[(\[]\.[)\]]\x20?|\x20?[(\[][dD][oO][tT][)\]]\x20?|\x20\.\x20|\x20[dD][oO][tT]\x20)"
 WIDER = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:\x20?[(\[][aA][tT][)\]]\x20?|\x20[aA][tT]\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]{{1,63}}+(?:(?:\x20?[(\[][dD][oO][tT][)\]]\x20?|\x20[dD][oO][tT]\x20|\.)[A-Za-z0-9-]{{1,63}}+){{1,8}}+",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?:\x20?[(\[][aA][tT][)\]]\x20?|\x20[aA][tT]\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+){{1,8}}+",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:{_SPREAD_DOT}[0-9]{{1,3}}){{3}}(?![0-9.])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20.-]{1,2}[0-9]{4}){2}[\x20.-]{1,2}[0-9]{1,4}(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 #: Texts without these letters hold no span of the kind: each is a part that BASE and WIDER cannot do without.
-_HINT = {"email": "@|[(\\[][aA][tT][)\\]]|\\x20[aA][tT]\\x20", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20.-]{0,2}[0-9]", "phone": "\\+[0-9]|[0-9]{2}"}
+_HINT = {"email": "@|[(\\[][aA][tT][)\\]]|\\x20[aA][tT]\\x20", "ip": "[0-9](?:\\.|\\x20?[(\\[]|\\x20\\.|\\x20[dD][oO][tT])", "card": "[0-9][\\x20.-]{0,2}[0-9]", "phone": "\\+[0-9]|[0-9]{2}"}
 
 #: Top-level domains, reserved address starts, words that go with each kind, words that speak against.
 _DOMAINS = "com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|uk|us|ch|at|it|nl|be|ca|au|jp|cn|in|br|mx"
@@ -104,9 +109,23 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.coalesce(found, F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)"))
 
 
+_NONE = "cast(array() as array<struct<start:int,end:int,match:string>>)"
+
+
+def _failed_spans(text: Column, kind: str) -> Column:
+    """Matches of the base pattern that fail its check but are not far from it."""
+    n = lambda m: F.length(_digits(m["match"]))
+    near = {"card": lambda m: n(m).between(12, 19), "phone": lambda m: n(m).between(7, 17), "ip": lambda m: n(m) <= 12}.get(kind)
+    if near is None:
+        return F.expr(_NONE)
+    return F.filter(matches(text, BASE[kind]), lambda m: ~well_formed(kind, m["match"]) & near(m))
+
+
 def _wider_spans(text: Column, kind: str) -> Column:
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
-    return F.coalesce(F.when(text.rlike(_HINT[kind]), matches(text, WIDER[kind])), nothing) if kind in WIDER else nothing
+    """Candidates outside the base: failed matches and, where they touch none of these, wider ones."""
+    failed = _failed_spans(text, kind)
+    wider = F.filter(matches(text, WIDER[kind]), lambda s: ~_overlaps(s, failed))
+    return F.coalesce(F.when(text.rlike(_HINT[kind]), F.concat(failed, wider)), F.expr(_NONE))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -133,10 +152,22 @@ def _check(kind: str, match: Column) -> Column:
     return _vote(right, ~right)
 
 
-def _cell(kind: str, is_base: bool, span: Column, text: Column, cfg: WeakLabels) -> Column:
-    """The votes and the shape of a span as one short string, ``kind|regex|gazetteer|context|check|length|separators``."""
+def _form(kind: str, match: Column) -> Column:
+    """Whether the span is written as such data mostly is."""
+    if kind == "email":
+        return _vote(match.contains("@") & ~match.contains(" "), F.lit(False))
+    if kind == "ip":
+        return _vote(match.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.lit(False))
+    if kind == "card":
+        usual = F.length(_digits(match)).isin(13, 15, 16)
+        return _vote(usual, ~usual)
+    return _vote(match.startswith("+"), F.lit(False))
+
+
+def _cell(kind: str, span: Column, text: Column, company: Column, cfg: WeakLabels) -> Column:
+    """The votes and the shape of a span as one short string, ``kind|form|gazetteer|context|check|company|length|separators``."""
     before = F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - cfg.before), F.least(F.lit(cfg.before), span["start"]))
-    votes = (F.lit(1 if is_base else -1), _gazetteer(kind, span["match"]), _vote(before.rlike(_WORDS[kind]), before.rlike(_AGAINST)), _check(kind, span["match"]))
+    votes = (_form(kind, span["match"]), _gazetteer(kind, span["match"]), _vote(before.rlike(_WORDS[kind]), before.rlike(_AGAINST)), _check(kind, span["match"]), company)
     shape = (F.least(F.lit(5), F.floor(F.length(span["match"]) / 6)), F.least(F.lit(3), F.length(F.regexp_replace(span["match"], r"[^\x20().-]", ""))))
     return F.concat_ws("|", F.lit(kind), *[x.cast("string") for x in votes + shape])
 
@@ -145,44 +176,52 @@ def _overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
 
-def _with_spans(docs: DataFrame, text: str) -> DataFrame:
-    """docs with _text, _base_<kind>, _base_all and _more_<kind>: wider candidates that touch no base span."""
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumns({f"_base_{k}": base_spans(F.col("_text"), k) for k in KINDS})
-    out = out.withColumn("_base_all", F.concat(*[F.transform(f"_base_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
-    return out.withColumns({f"_more_{k}": F.filter(_wider_spans(F.col("_text"), k), lambda s: ~_overlaps(s, F.col("_base_all"))) for k in KINDS})
+def _with_spans(text: DataFrame) -> DataFrame:
+    """text (row, text) with base_<kind>, base_all and more_<kind>: wider candidates that touch no base span."""
+    out = text.withColumns({f"base_{k}": base_spans(F.col("text"), k) for k in KINDS})
+    out = out.withColumn("base_all", F.concat(*[F.transform(f"base_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    return out.withColumns({f"more_{k}": F.filter(_wider_spans(F.col("text"), k), lambda s: ~_overlaps(s, F.col("base_all"))) for k in KINDS})
+
+
+def _company(own: int) -> Column:
+    """+1 beside other base spans of the document, else -1; own: how many of them are the span itself."""
+    return F.when(F.size("base_all") > own, 1).otherwise(-1)
 
 
 def _cells(kind: str, prefix: str, cfg: WeakLabels) -> Column:
-    return F.transform(f"{prefix}_{kind}", lambda s: _cell(kind, prefix == "_base", s, F.col("_text"), cfg))
+    return F.transform(f"{prefix}_{kind}", lambda s: _cell(kind, s, F.col("text"), _company(1 if prefix == "base" else 0), cfg))
 
 
 def cell_counts(docs: DataFrame, text: str = "text", cfg: WeakLabels = WeakLabels()) -> dict[str, int]:
-    """Candidates of all documents in each cell; at most 4 kinds x 3**4 votes x 24 shapes."""
-    spans = _with_spans(docs.select(text), text)
-    cells = F.concat(*[_cells(k, p, cfg) for k in KINDS for p in ("_base", "_more")])
+    """Candidates of all documents in each cell; at most 4 kinds x 3**5 votes x 24 shapes."""
+    spans = _with_spans(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")))
+    cells = F.concat(*[_cells(k, p, cfg) for k in KINDS for p in ("base", "more")])
     counted = spans.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
     return {r.cell: r.n for r in counted.collect()}
 
 
+LABELERS = 5
+
+
 def estimate_reliabilities(patterns: dict[tuple[int, ...], float], rounds: int) -> tuple[float, list[float], dict[tuple[int, ...], float]]:
     """Expectation-maximisation of the share of true spans and each labeler's accuracy from vote-pattern counts.
 
     Returns share, accuracies, and the probability of a true span for each pattern. Starts from accuracies of 0.8, so
-    that votes mean what they say; a little prior weight keeps empty cells defined.
+    that votes mean what they say; a little prior weight keeps empty cells defined. The share stays within 0.1 and 0.9:
+    where nearly all candidates are true, a prior near one would outvote all labelers together.
     """
-    share, right = 0.5, [0.8] * 4
+    share, right = 0.5, [0.8] * LABELERS
     chance: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         for votes in patterns:
             odds = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, right))
             chance[votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         total = sum(patterns.values())
-        share = min(0.99, max(0.01, (1 + sum(n * chance[v] for v, n in patterns.items())) / (total + 2)))
-        for j in range(4):
+        share = min(0.9, max(0.1, (1 + sum(n * chance[v] for v, n in patterns.items())) / (total + 2)))
+        for j in range(LABELERS):
             voted = sum(n for v, n in patterns.items() if v[j])
             agreed = sum(n * (chance[v] if v[j] > 0 else 1 - chance[v]) for v, n in patterns.items() if v[j])
-            right[j] = min(0.98, max(0.55, (agreed + 4) / (voted + 5)))
+            right[j] = min(0.98, max(0.5, (agreed + 4) / (voted + 5)))
     return share, right, chance
 
 
@@ -195,20 +234,19 @@ def accepted_cells(counts: dict[str, int], cfg: WeakLabels = WeakLabels()) -> li
             continue
         patterns: dict[tuple[int, ...], float] = {}
         for c, n in cells.items():
-            patterns[c[:4]] = patterns.get(c[:4], 0) + n
+            patterns[c[:LABELERS]] = patterns.get(c[:LABELERS], 0) + n
         chance = estimate_reliabilities(patterns, cfg.rounds)[2]
-        weights = {label: sum(n * (p if label else 1 - p) for c, n in cells.items() for p in [chance[c[:4]]]) for label in (0, 1)}
+        weights = {label: sum(n * (p if label else 1 - p) for c, n in cells.items() for p in [chance[c[:LABELERS]]]) for label in (0, 1)}
         seen: dict[tuple[int, int, int], float] = {}
         for c, n in cells.items():
             for j, v in enumerate(c):
                 for label in (0, 1):
-                    p = chance[c[:4]]
+                    p = chance[c[:LABELERS]]
                     seen[label, j, v] = seen.get((label, j, v), 0) + n * (p if label else 1 - p)
-        sizes = (3, 3, 3, 3, 6, 4)
+        sizes = (3,) * LABELERS + (6, 4)
         for c in cells:
             odds = math.log((weights[1] + 1) / (weights[0] + 1))
-            # The base pattern's own vote defines the base; the classifier judges by the rest.
-            for j, v in list(enumerate(c))[1:]:
+            for j, v in enumerate(c):
                 odds += math.log((seen[1, j, v] + 0.5) / (weights[1] + 0.5 * sizes[j])) - math.log((seen[0, j, v] + 0.5) / (weights[0] + 0.5 * sizes[j]))
             if 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))) >= cfg.accept:
                 out.append("|".join([kind, *map(str, c)]))
@@ -218,8 +256,8 @@ def accepted_cells(counts: dict[str, int], cfg: WeakLabels = WeakLabels()) -> li
 def _taken(kind: str, cells: list[str], cfg: WeakLabels) -> Column:
     """The wider candidates in accepted cells."""
     if not cells:
-        return F.slice(f"_more_{kind}", 1, 0)
-    return F.filter(f"_more_{kind}", lambda s: _cell(kind, False, s, F.col("_text"), cfg).isin(cells))
+        return F.slice(f"more_{kind}", 1, 0)
+    return F.filter(f"more_{kind}", lambda s: _cell(kind, s, F.col("text"), _company(0), cfg).isin(cells))
 
 
 def _numbered(kind: str, spans: Column) -> Column:
@@ -238,17 +276,16 @@ def find_personal_data(docs: DataFrame, text: str = "text", cfg: WeakLabels = We
 
     Null and empty texts have no spans. Overlaps between kinds of the base stay, as each kind is scanned alone; added
     spans never touch a base span. Repeated rows are treated each. Columns of ``docs`` named like results are
-    replaced; names beginning with ``_`` are ours.
+    replaced; all others stay, whatever their names.
     """
     results = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = [n for n in docs.columns if n not in results]
     taken = accepted_cells(cell_counts(docs, text, cfg), cfg)
-    found = _with_spans(docs.drop(*results), text)
-    for k in KINDS:
-        found = found.withColumn(f"_added_{k}", _taken(k, taken, cfg))
-    out = found.withColumns({f"n_{k}": F.size(f"_base_{k}").cast("long") for k in KINDS}).withColumns(
-        {
-            "base_sha256": F.sha2(_listed({k: F.col(f"_base_{k}") for k in KINDS}), 256),
-            "spans": _listed({k: F.concat(f"_base_{k}", f"_added_{k}") for k in KINDS}),
-        }
+    own = docs.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    found = _with_spans(own).withColumns({f"added_{k}": _taken(k, [c for c in taken if c.startswith(k + "|")], cfg) for k in KINDS})
+    return found.select(
+        *[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)],
+        *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(_listed({k: F.col(f"base_{k}") for k in KINDS}), 256).alias("base_sha256"),
+        _listed({k: F.concat(f"base_{k}", f"added_{k}") for k in KINDS}).alias("spans"),
     )
-    return out.drop("_text", "_base_all", *(f"_{p}_{k}" for p in ("base", "more", "added") for k in KINDS))

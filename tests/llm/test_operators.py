@@ -226,7 +226,7 @@ def test_personal_data_hints_hide_no_span(spark):
     docs = _docs(spark, list(enumerate(texts)))
     got = {r.doc_id: (r.n_phone, r.base_sha256) for r in find_personal_data(docs).collect()}
     assert got == {k: (n, hashlib.sha256(spans.encode()).hexdigest()) for k, n, spans in [(0, 1, "phone:5:23"), (1, 1, "phone:0:18"), (2, 0, "")]}
-    assert sum(n for cell, n in cell_counts(docs).items() if cell.startswith("email|-1|")) == 1
+    assert sum(n for cell, n in cell_counts(docs).items() if cell.startswith("email|0|")) == 1
 
 
 def test_decontamination(spark):
