@@ -163,6 +163,20 @@ def op2_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (
+  select distinct doc_id, md5(array_to_string(ws[i:i + 4], ' ')) as g from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+walk(doc_id, seen) as (select doc_id, doc_id from n union select w.doc_id, l.b from walk w join links l on w.seen = l.a)
+select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, coalesce(min(k.seen), w.doc_id) as component_id
+from w left join n using (doc_id) left join walk k on k.doc_id = w.doc_id group by w.doc_id
+"""
+
+
 def op3_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyproof.llm.tokens import token_counts
 
@@ -253,6 +267,7 @@ QUERIES = {
     )
 }
 ORACLES = {
+    "op2_universe_partition": OP2_SQL,
     "op5_splitting_tree_mix": _op5_sql(),
     "op6_rolling_windows": OP6_SQL,
     "op7_line_frequency_rules": OP7_SQL,
