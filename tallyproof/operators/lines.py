@@ -92,3 +92,18 @@ def chunk_documents(lines: DataFrame, most: int = 20_000) -> DataFrame:
     paragraphs = paragraphs.select("doc_id", "line_no", "_part", F.lit("paragraph").alias("kind"), "section", F.col("_p.text").alias("text"), F.col("_p.raw_text").alias("raw_text"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "_part"))
     return rows.unionByName(paragraphs).withColumn("chunk_no", number).select("doc_id", "chunk_no", "kind", "section", "text", "raw_text")
+
+
+#: The columns of an export table, after a row number and a month.
+EXPORT_COLUMNS = ("dram", "nand", "dram_kg", "nand_kg")
+
+
+def export_rows(lines: DataFrame) -> DataFrame:
+    """doc_id, period, line_no, dram, nand, dram_kg, nand_kg of the rows of export tables set in a text by white space; of
+    a month's rows the last one in the document counts."""
+    number = r"([0-9,]+)"
+    pattern = rf"(?U)^\s*[0-9]+\s+(20[0-9]{{2}}-[0-9]{{2}})\s+{number}\s+{number}\s+{number}\s+{number}\s*$"
+    value = lambda i: F.replace(F.regexp_extract("line", pattern, i), F.lit(","), F.lit("")).try_cast("bigint")
+    x = lines.filter(F.col("line").rlike(pattern)).select("doc_id", "line_no", F.regexp_extract("line", pattern, 1).alias("period"), *[value(i).alias(n) for i, n in enumerate(EXPORT_COLUMNS, 2)])
+    last = x.groupBy("doc_id", "period").agg(F.max_by(F.struct("line_no", *EXPORT_COLUMNS), "line_no").alias("r"))
+    return last.select("doc_id", "period", "r.*")

@@ -131,3 +131,15 @@ def literal_rows_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, atom_id, place::int as place from (select *, row_number() over (partition by doc_id order by case when unit_type in ('causal_driver', 'forecast_or_opinion') then 0 else 1 end, ord) as place from atoms)"""))
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.priority_order(atoms_of(spark, sf_dir)).select("doc_id", "atom_id", "place")
+
+
+_SHIPPED = """select o_custkey as doc_id, o_orderkey as n, year(o_orderdate) * 100 + month(o_orderdate) as ym, cast(floor(o_totalprice) as bigint) as v, row_number() over (partition by o_custkey order by o_orderkey) as place from orders"""
+
+
+@query(f"""select doc_id, (ym // 100)::varchar || '-' || lpad((ym % 100)::varchar, 2, '0') as period, (max(place) + 1)::int as line_no, arg_max(v, place) as dram, arg_max(v + 1, place) as nand, arg_max(n, place) as dram_kg, 7::bigint as nand_kg from ({_SHIPPED}) group by doc_id, ym""")
+def embedded_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as rows of an export table below a title; a month with several orders has several rows."""
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    row = "concat('  ', place, ' ', floor(ym / 100), '-', lpad(ym % 100, 2, '0'), '  ', format_number(v, 0), ' ', v + 1, '\t', n, ' 7 ')"
+    docs = spark.sql(f"select doc_id, concat('기간  DRAM_금액 NAND_금액\\n', array_join(array_sort(collect_list(struct(place, {row} as r))).r, '\\n')) as text from ({_SHIPPED}) group by doc_id")
+    return ln.export_rows(ln.doc_lines(docs)).select("doc_id", "period", "line_no", "dram", "nand", "dram_kg", "nand_kg")

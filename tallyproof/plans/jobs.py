@@ -60,11 +60,11 @@ def response_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", "status", F.col("parsed.k").alias("k"))
 
 
-@query("""select doc_id, (case when n = 1 then 1 else n end)::int as occurrences, n = 1 and doc_id % 3 <> 0 as accepted from (
-  select doc_id, ((length(text) - length(replace(text, o, ''))) // length(o))::int as n from (select doc_id, text, string_split(text, chr(10))[1] as o from documents where text is not null) where length(o) > 0)""")
+@query("""select doc_id, n::int as occurrences, n = 1 and doc_id % 3 <> 0 as accepted from (
+  select doc_id, case when length(o) > 0 then (length(text) - length(replace(text, o, ''))) // length(o) else 0 end as n from (select doc_id, coalesce(text, '') as text, coalesce(string_split(text, chr(10))[1], '') as o from documents))""")
 def splice_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each document is to be replaced by itself with a mark, or, for a third, by a heading."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").withColumn("original", F.split("text", "\n")[0]).filter("length(original) > 0")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("original", F.split("text", "\n")[0])
     d = d.withColumn("suggested", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## "), F.col("original"))).otherwise(F.concat(F.col("original"), F.lit("!"))))
     return jb.splice_guard(d).select("doc_id", "occurrences", "accepted")
 

@@ -21,10 +21,10 @@ def _arrived(stream: DataFrame, mode: str) -> DataFrame:
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/rows/n={batch_id}")
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/rows/arrived_batch={batch_id}")
 
     stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/rows").drop("n")
+    return spark.read.parquet(f"{path}/rows").drop("arrived_batch")
 
 
 def _stream(df: DataFrame) -> DataFrame:
@@ -41,9 +41,9 @@ def _stream(df: DataFrame) -> DataFrame:
         select *, (event_type is distinct from lag(event_type) over w or lag(event_id) over w is null)::int as new from events window w as (partition by user_id order by ts, event_id)))
     group by user_id, run)) where completed is not null""")
 def stream_stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closed stages, from events that arrive in one batch; the last stage of a job stays in the state."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.col("props").alias("message"))
-    return _arrived(st.stage_progress(_stream(e.coalesce(1))), "append").drop("_batch")
+    """The closed stages, from events that arrive in one batch."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.col("props").alias("message"))
+    return _arrived(st.stage_progress(_stream(e.coalesce(1)), 24 * 365), "append").filter("completed is not null").select("job_id", "run", "stage", F.col("started").cast("timestamp_ntz").alias("started"), "message", F.col("completed").cast("timestamp_ntz").alias("completed"))
 
 
 @query("select sha256(concat('rules', chr(0), coalesce(text, ''))) as text_sha, count(*) > 0 as seen from documents group by 1")
@@ -63,9 +63,9 @@ def stream_latest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select date_trunc('hour', ts) as hour, event_type as kind, count(*) as n from events group by 1, 2")
 def stream_hourly_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as corrections; hours still open at the end come from the last update."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").alias("at"), F.col("event_type").alias("kind"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"))
     rows = _arrived(st.hourly_corrections(_stream(e), "10000 hours"), "update")
-    return rows.groupBy("hour", "kind").agg(F.max_by("n", "_batch").alias("n"))
+    return rows.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour"), "kind").agg(F.max_by("n", "_batch").alias("n"))
 
 
 @query(with_views(_ANNUAL))

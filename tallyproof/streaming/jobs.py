@@ -31,11 +31,11 @@ _PROGRESS = "job_id long, run int, stage string, started timestamp, message stri
 _STATE = "run int, stage string, started timestamp, message string"
 
 
-def stage_progress(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def stage_progress(events: DataFrame, idle_hours: int = 1) -> DataFrame:
     """job_id, run, stage, started, message, completed of the stages of a stream of events (job_id, ts, seq, stage,
-    message): a stage is sent when the next one of its job closes it, and, still open, once its job has been idle for
-    ``idle_ms`` of processing time, when its state goes. A repeated stage updates its message. Events of one job are
-    taken in order of time within a batch."""
+    message): a stage is sent when the next one of its job closes it, and, still open (completed is null), once its job has
+    been idle for ``idle_hours`` of event time, when its state goes. A repeated stage updates its message. Events of one
+    job are taken in order of time within a batch."""
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = ["job_id", "run", "stage", "started", "message", "completed"]
@@ -54,10 +54,12 @@ def stage_progress(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
                 done.append((key[0], run, stage, started, message, e.ts))
             run, stage, started, message = run + 1, e.stage, e.ts, e.message
         state.update((run, stage, pd.Timestamp(started).to_pydatetime(), message))
-        state.setTimeoutDuration(idle_ms)
+        last = pd.Timestamp(e.ts).tz_localize("UTC") if pd.Timestamp(e.ts).tzinfo is None else pd.Timestamp(e.ts)
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + idle_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=names)
 
-    return events.groupBy("job_id").applyInPandasWithState(follow, _PROGRESS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", f"{idle_hours} hours")
+    return timed.groupBy("job_id").applyInPandasWithState(follow, _PROGRESS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_values(values: DataFrame) -> DataFrame:

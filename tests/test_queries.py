@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from tallyproof.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["value_conflicts", "chain_edges", "reachability", "pair_gate", "stage_history", "verdict_lookup", "response_contract", "splice_guard", "consensus_entries"]
+FAST = ["table_atoms", "merge_atoms", "relation_edges", "conflict_arbitration", "greedy_packing", "correction_routing", "premise_options", "pin_assignment", "restatement_repair", "unrepaired_years", "value_conflicts", "chain_edges", "reachability", "pair_gate", "stage_history", "verdict_lookup", "response_contract", "splice_guard", "consensus_entries"]
 
 
 def _rows(rows):

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tallyproof.operators import consensus as con, forecast as fc, lines as ln, repair as rp
+from tallyproof.operators import consensus as con, forecast as fc, lines as ln, repair as rp, review as rv
 
 BOOK = "## 2026년 최근 컨센서스 전망치 분석\n| 날짜 | 매출 (원) | 영업이익 (원) |\n|---|---|---|\n| 2026-06-30 | 9 | {0} |\n| 2026-05-30 | 9 | 1 |\n\n"
 CASES = "### 2026년 영업이익 전망\n- 상방: {0}조원\n- 중간: {1}조원\n- 하방: {2}조원\n"
@@ -73,31 +73,76 @@ def test_signed_sum_holds_and_broken_sum_does_not(spark):
 def test_restatement_outside_fences_only(spark):
     text = BOOK.format("3.5e13") + CASES.format("4,000", "3,500", "3,000") + "\n2026년 영업이익은 3,500조원이다.\n2026년 매출은 3,500조원이다.\n```\n영업이익 3,500조원\n```\n"
     lines, blocks = _run(spark, text)
-    found = rp.restatement_repair(ln.line_context(lines), rp.scenario_repair(lines, blocks)).collect()
-    assert [(r.old_won, r.new_won) for r in found] == [(3.5e15, 3.5e13)]
+    changes = rp.scenario_repair(lines, blocks)
+    context = ln.line_context(rp.apply_changes(lines, changes))
+    found = rp.restatement_repair(context, rv.scale_mappings(changes)).collect()
+    assert [(r.old_won, r.new_won, r.new_line) for r in found] == [(3.5e15, 3.5e13, "2026년 영업이익은 35조원이다.")]
+
+
+def test_restated_values_keep_unit_and_commas(spark):
+    lines = ln.doc_lines(spark.createDataFrame([(1, "2026년 영업이익 전망\n영업이익은 12,000 억원(1.2조원)이다. 매출은 12,000억원.\n2027년 영업이익 12,000억원")], "doc_id long, text string"))
+    maps = spark.createDataFrame([(1, 1, "2026", "연간", 1.2e12, 1.2e11), (1, 2, "2027", "연간", 1.2e12, 1.2e11), (1, 3, "2027", "상방", 1.2e12, 5e11)], "doc_id long, mapping_no int, year string, label string, old_won double, new_won double")
+    got = {r.line_no: (r.replacements, r.new_line) for r in rp.restatement_repair(ln.line_context(lines), maps).collect()}
+    assert got == {2: (3, "영업이익은 1,200 억원(0.12조원)이다. 매출은 1,200억원.")}
+    values = rp.restatement_values(rp.restatement_matches(ln.line_context(lines), maps)).filter("line_no = 3").collect()
+    assert [(r.status, r.mapping_nos, r.new_won) for r in values] == [("review", [2, 3], None)]
+
+
+def test_year_comes_from_forecast_lines_only(spark):
+    text = "2025년 매출 전망\n2026년 영업이익 전망\n2024년 매출\n```\n2030년 영업이익 전망\n```\n영업이익"
+    got = [(r.active_year, r.in_fence) for r in ln.line_context(ln.doc_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))).orderBy("line_no").collect()]
+    assert got == [(None, False), ("2026", False), ("2026", False), ("2026", True), ("2026", True), ("2026", True), ("2026", False)]
+
+
+def test_spans_apply_where_they_stand_once(spark):
+    texts = spark.createDataFrame([(1, "a b a c"), (2, "x"), (3, None)], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, 1, "a", "z"), (1, 2, "b a", "b q"), (1, 3, "a", "z"), (1, 4, "nothing", "y")], "doc_id long, ord long, original string, suggested string")
+    assert {r.doc_id: (r.text, r.applied) for r in rp.apply_spans(texts, spans).collect()} == {1: ("z b q c", [2, 3]), 2: ("x", []), 3: (None, [])}
 
 
 def test_every_document_is_chunked_against_brute_force(spark, tmp_path):
     from tallyproof.plans import registry
 
-    texts = ["one\ntwo\n\nthree", "# A\nx\n| a | b |\n|---|:-:|\n| 1 | 2 |\ny\nz\n ## B c \n\n edge \n#no heading", "\n\n", "a | b\n#\n# \nq\r\nr", "", None, "| x |\n\n| y |\nlast"]
+    long = "\n".join(f"{'w' * 900} {i}" for i in range(60))
+    texts = ["one\n two \n\nthree", "# A\nx\n| a | b |\n|---|:-:|\n| 1 | 2 |\n|  | 3 |\ny\nz\n ## B c \n\n edge \n#no heading", "\n\n", "a | b\n#\n# \nq\r\nr\n2.1. Two\nt\n3.\nu", "", None, "| x |\n\n| y | k |\nlast\n| p | q |\n| - | |\n| 5 |\n| 6 | 7 | 8 |", long]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = set()
     for doc, text in enumerate(texts):
-        section, open_chunk, chunks = "", False, []
-        for line in re.split(r"\r\n|\n", text or ""):
-            clean, heading = re.sub(r"\s", " ", line).strip(" "), re.match(r"\s*#{1,6}\s+(.*\S)\s*$", line)
-            if heading or not clean:
-                section, open_chunk = heading.group(1) if heading else section, False
-            elif clean.startswith("|"):
-                open_chunk = False
-                if not re.match(r"\|[\s:|-]+\|?$", clean):
-                    chunks.append(["table_row", section, clean])
-            elif open_chunk:
-                chunks[-1][2] += " " + clean
+        section, header, chunks, para = "root", None, [], []
+
+        def close():
+            if sum(map(len, para)) + len(para) - 1 <= 20_000:
+                parts = [para] if para else []
             else:
-                chunks.append(["paragraph", section, clean])
-                open_chunk = True
+                parts, used = [[]], 0
+                for p in para:
+                    if parts[-1] and used + len(p) > 20_000:
+                        parts, used = [*parts, []], 0
+                    parts[-1].append(p)
+                    used += len(p) + 1
+            chunks.extend(["paragraph", section, "\n".join(p)] for p in parts)
+
+        for line in [*re.split(r"\r\n|\n", text or ""), ""]:
+            clean = line.strip()
+            title, row = clean.startswith("#") or re.match(r"\d+(\.\d+)*\.", clean), clean.startswith("|")
+            if not clean or title or row:
+                close()
+                para = []
+            if row:
+                cells = [c.strip() for c in clean.strip("|").split("|")]
+                if len(cells) > 1 and not all(re.fullmatch(":?-+:?", c) for c in cells):
+                    if header is None:
+                        header = cells
+                    else:
+                        pairs = [f"{h}: {c}" for h, c in zip(header, cells) if h and c]
+                        chunks.append(["table_row", section, " | ".join(pairs) or clean])
+                continue
+            header = None
+            if title:
+                bare = re.sub(r"^[#\s]+", "", clean)
+                section = re.sub(r"^\d+(\.\d+)*\.\s*", "", bare).strip() or bare
+            elif clean:
+                para.append(clean)
         want |= {(doc, n, kind, head, hashlib.md5(c.encode()).hexdigest()) for n, (kind, head, c) in enumerate(chunks, 1)}
-    got = registry.QUERIES["chunk_every_document"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["chunk_documents"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
