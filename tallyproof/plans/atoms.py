@@ -133,7 +133,7 @@ def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.priority_order(atoms_of(spark, sf_dir)).select("doc_id", "atom_id", "place")
 
 
-_SHIPPED = """select o_custkey as doc_id, o_orderkey as n, year(o_orderdate) * 100 + month(o_orderdate) as ym, cast(floor(o_totalprice) as bigint) as v, row_number() over (partition by o_custkey order by o_orderkey) as place from orders"""
+_SHIPPED = """select o_custkey as doc_id, o_orderkey as n, (year(o_orderdate) + 10) * 100 + month(o_orderdate) as ym, cast(floor(o_totalprice) as bigint) as v, row_number() over (partition by o_custkey order by o_orderkey) as place from orders"""
 
 
 @query(f"""select doc_id, (ym // 100)::varchar || '-' || lpad((ym % 100)::varchar, 2, '0') as period, (max(place) + 1)::int as line_no, arg_max(v, place) as dram, arg_max(v + 1, place) as nand, arg_max(n, place) as dram_kg, 7::bigint as nand_kg from ({_SHIPPED}) group by doc_id, ym""")
