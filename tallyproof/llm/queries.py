@@ -251,6 +251,77 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op11_bit_plane_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallyproof.llm.hard_negatives import mine_hard_negatives
+
+    vectors = read(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+         list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::bigint as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank,
+       id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
+def op12_packed_term_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.source_audit import audit_sources
+
+    return audit_sources(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents),
+groups as (select distinct lang, source from d),
+counted as (select lang, source, doc, term, count(*) as n from (select lang, source, doc, unnest(ts) as term from d) group by all),
+kept as (select lang, term from counted group by lang, term having count(distinct doc) >= 10),
+sparse as (select lang, source, term, sum(n)::hugeint as c from counted semi join kept using (lang, term) group by all),
+vocabulary as (select lang, count(*)::hugeint as v from kept group by lang),
+own as (
+  select lang, source, term, coalesce(c, 0) as c, sum(coalesce(c, 0)) over (partition by lang, source) as n, v
+  from groups join kept using (lang) join vocabulary using (lang) left join sparse using (lang, source, term)),
+p as (select lang, source, term, c, 1 + (1000000000 * (c + 2)) // (n + 2 * v) as p from own),
+whole as (
+  select lang, term, 1 + (1000000000 * (c + 2)) // (sum(c) over (partition by lang) + 2 * v) as q
+  from (select lang, term, sum(c)::hugeint as c from sparse group by all) join vocabulary using (lang)),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join p x on x.lang = a.lang and x.source = a.source
+  left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+terms as (
+  select lang, source, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from p join whole using (lang, term) where c > 0 and p > q)
+select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms qualify rank <= 10
+"""
+
+
+def op13_trie_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyproof.llm.simhash import fingerprint_components
+
+    return fingerprint_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -264,6 +335,9 @@ QUERIES = {
         op8_host_reputation,
         op9_weak_supervision,
         op10_benchmark_automaton,
+        op11_bit_plane_negatives,
+        op12_packed_term_audit,
+        op13_trie_fingerprints,
     )
 }
 ORACLES = {
@@ -273,4 +347,6 @@ ORACLES = {
     "op7_line_frequency_rules": OP7_SQL,
     "op8_host_reputation": _op8_sql(),
     "op10_benchmark_automaton": OP10_SQL,
+    "op11_bit_plane_negatives": OP11_SQL,
+    "op12_packed_term_audit": OP12_SQL,
 }
