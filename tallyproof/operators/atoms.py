@@ -122,7 +122,7 @@ def merge_atoms(atoms: DataFrame) -> DataFrame:
     return x.withColumn("atom_id", F.concat(F.lit("a"), F.lpad(number.cast("string"), F.greatest(F.lit(3), F.length(number.cast("string"))), F.lit("0"))))
 
 
-#: Longest text of a field.
+#: The longest text of a field.
 LIMITS = {"statement": 1000, "source_quote": 1000, "subject": 200, "metric": 160, "value": 120, "unit": 80, "period": 120, "section": 200, "unit_type": 80, "extraction_rule": 120}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyproof.functions.amounts import ANALYSIS, ANNUAL, ANNUAL_LINE, FIRST_HALF, HALF_LINE, HEADER, LABELS, OUTLOOK, PERIOD_HEADER, SCENARIO, SCENARIO_LINE, cell_won, group, leading_year
+from tallyproof.functions.amounts import ANNUAL, ANNUAL_LINE, FIRST_HALF, HALF_LINE, HEADER, LABELS, OUTLOOK, PERIOD_HEADER, SCENARIO_LINE, SECTION_TITLE, cell_won, group, leading_year
 
 REACH = 15
 
@@ -35,7 +35,7 @@ def parsed(lines: DataFrame) -> DataFrame:
         "annual": on(_value(line, ANNUAL_LINE, 3, year=F.regexp_extract(line, ANNUAL_LINE, 2))),
         "half": on(_value(line, HALF_LINE, 4, year=F.regexp_extract(line, HALF_LINE, 2), period=F.regexp_extract(line, HALF_LINE, 3))),
     })
-    return x.withColumn("is_title", F.col("line").contains(f"{SCENARIO} {ANALYSIS}") & F.col("annual").isNull()).drop("_outlook")
+    return x.withColumn("is_title", F.col("line").contains(SECTION_TITLE) & F.col("annual").isNull()).drop("_outlook")
 
 
 def value_lines(lines: DataFrame, kind: str) -> DataFrame:

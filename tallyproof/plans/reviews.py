@@ -83,11 +83,19 @@ def target_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.target_span(x).select("doc_id", F.md5("span").alias("span"))
 
 
-@query(with_facts("""
+def _tenths(x: str) -> str:
+    """DuckDB's expression for a positive double, one or more, rounded half to even at its exact binary value, which is a
+    whole number of 2**-52."""
+    twice = f"(({x} * 4503599627370496)::hugeint * 20 + 4503599627370496)"
+    return f"(({twice} // 9007199254740992) - case when {twice} % 9007199254740992 = 0 then {twice} // 9007199254740992 % 2 else 0 end)::double / 10.0"
+
+
+@query(with_facts(f"""
 , m as (select a.doc_id, a.atom_id, f.year, f.rev, f.op, (f.m10 + 20) / 10.0::double as new, abs(f.op::double / f.rev * 100.0 - f.m10 / 10.0) <= 0.15 as exact from atoms a join figures f on a.doc_id = f.doc_id and a.year = f.year where what = 'margin'),
-o as (select *, round_even(new / 100.0 * rev, 1) as new_op, round_even(op / (new / 100.0), 1) as new_rev from m where exact),
-p as (select doc_id, atom_id, 'profit' as role, op::double as old_value, new_op as new_value, year || '년 영업이익은 ' || format('{:,}', round_even(new_op, 0)::bigint) || '억원이다.' as suggested from o where abs(new_op / rev * 100.0 - new) <= 0.15
-      union all select doc_id, atom_id, 'revenue', rev, new_rev, year || '년 매출액은 ' || format('{:,}', round_even(new_rev, 0)::bigint) || '억원이다.' from o where new_rev > 0 and abs(op / new_rev * 100.0 - new) <= 0.15)
+t as (select *, new / 100.0 * rev as x_op, op / (new / 100.0) as x_rev from m where exact),
+o as (select *, {_tenths('x_op')} as new_op, {_tenths('x_rev')} as new_rev from t),
+p as (select doc_id, atom_id, 'profit' as role, op::double as old_value, new_op as new_value, year || '년 영업이익은 ' || format('{{:,}}', round_even(new_op, 0)::bigint) || '억원이다.' as suggested from o where abs(new_op / rev * 100.0 - new) <= 0.15
+      union all select doc_id, atom_id, 'revenue', rev, new_rev, year || '년 매출액은 ' || format('{{:,}}', round_even(new_rev, 0)::bigint) || '억원이다.' from o where new_rev > 0 and abs(op / new_rev * 100.0 - new) <= 0.15)
 select doc_id, atom_id, role, old_value, new_value, round(abs(new_value - old_value) / old_value, 9) as rel_change, suggested, (row_number() over (partition by doc_id, atom_id order by abs(new_value - old_value) / old_value, role))::int as rank, count(*) over (partition by doc_id, atom_id) >= 2 as underdetermined from p""").replace(")\n\n, m as", "),\nm as"))
 def premise_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every margin corrected by two points, with the premises that the text's own sentences or table state."""

@@ -113,3 +113,16 @@ def test_component_batches_against_plain_python(spark):
     got = gr.component_batches(c, spark.createDataFrame(edges, "doc_id long, source string, target string"), known, 3).collect()
     for doc in range(6):
         assert sorted((r.component, r.batch_no, r.atom_id, r.place, r.role) for r in got if r.doc_id == doc) == want[doc]
+
+
+def test_tenths_round_the_exact_value(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyproof.functions import facts as fx
+
+    rng = random.Random(7)
+    values = [130.35, 14.850000000000001, 430.34999999999997, 0.25, 0.75, -0.25, -2.35, 0.0, 1e18, 14.85] + [rng.randrange(1, 10**6) / 20 for _ in range(500)] + [rng.uniform(-1e4, 1e4) for _ in range(200)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", fx.to_tenths(F.col("x")).alias("y")).collect()
+    assert [(r.x, r.y) for r in got] == [(v, round(v, 1)) for v in values]
