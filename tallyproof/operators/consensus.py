@@ -120,10 +120,11 @@ def latest_consensus(all_blocks: DataFrame) -> DataFrame:
     return good.groupBy("doc_id").agg(F.max_by("latest.amount_won", "block_no").alias("amount_won"), F.max_by("latest.entry_date", "block_no").alias("entry_date"))
 
 
-def consensus_asof(targets: DataFrame, all_blocks: DataFrame) -> DataFrame:
+def consensus_asof(targets: DataFrame, all_blocks: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """targets (doc_id, line_no, year) with consensus_won, consensus_date, consensus_line: an as-of join with fallbacks.
 
-    The latest preceding good block of the same year; none, if every preceding good block names a year; else the last
+    The value that a document's request gives (overrides: doc_id, consensus_won; nulls do not count) holds for all its
+    lines, without date and line. Else the latest preceding good block of the same year; none, if every preceding good block names a year; else the last
     preceding good block; else the last block of the document without a year.
     """
     b = all_blocks.filter("latest is not null").select("doc_id", "block_no", F.col("heading_line").alias("_at"), F.col("forecast_year").alias("_year"), F.col("year_conflict").alias("_conflict"), F.struct("latest.amount_won", "latest.entry_date", "heading_line").alias("_value"))
@@ -137,4 +138,10 @@ def consensus_asof(targets: DataFrame, all_blocks: DataFrame) -> DataFrame:
     )
     chosen = F.when(F.col("_same").isNotNull(), F.col("_same")).when((F.col("_n") > 0) & F.col("_all_named"), None).when(F.col("_n") > 0, F.col("_before")).otherwise(F.col("_unnamed"))
     found = tiers.withColumn("_v", chosen).select("doc_id", "line_no", "year", F.col("_v.amount_won").alias("consensus_won"), F.col("_v.entry_date").alias("consensus_date"), F.col("_v.heading_line").alias("consensus_line"))
-    return targets.join(found, ["doc_id", "line_no", "year"])
+    out = targets.join(found, ["doc_id", "line_no", "year"])
+    if overrides is None:
+        return out
+    given = overrides.filter("consensus_won is not null").groupBy("doc_id").agg(F.max("consensus_won").alias("_given"))
+    free = F.col("_given").isNull()
+    out = out.join(given, "doc_id", "left").withColumns({"consensus_won": F.coalesce("_given", "consensus_won"), "consensus_date": F.when(free, F.col("consensus_date")), "consensus_line": F.when(free, F.col("consensus_line"))})
+    return out.drop("_given")

@@ -10,7 +10,7 @@ from tallyproof.functions import facts as fx
 from tallyproof.functions.amounts import ANNUAL, BLOCK_FACTORS, FACTORS, FIRST_HALF, rendered
 from tallyproof.operators.consensus import consensus_asof
 from tallyproof.operators.review import fits_context
-from tallyproof.operators.forecast import headers, identity_cells, period_blocks, scenario_blocks, value_lines
+from tallyproof.operators.forecast import headers, identity_cells, parsed, period_blocks, scenario_blocks, value_lines
 
 NAMES = ("up", "mid", "down")
 
@@ -33,12 +33,12 @@ def scale_decisions(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_d", scale_decision(F.col("won"), F.col("consensus_won"))).select(*cells.columns, "_d.factor", "_d.residual", "_d.ratio")
 
 
-def annual_cells(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+def annual_cells(lines: DataFrame, blocks: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Annual value lines that are headers of their own, without a scenario block below, with their consensus."""
     heads = headers(lines).filter("is_annual").select("doc_id", "line_no", "year")
     blocked = scenario_blocks(lines).select("doc_id", F.col("header_line").alias("line_no"))
     cells = value_lines(lines, "annual").drop("year").join(heads, ["doc_id", "line_no"]).join(blocked, ["doc_id", "line_no"], "left_anti")
-    return consensus_asof(cells, blocks)
+    return consensus_asof(cells, blocks, overrides)
 
 
 def companions(lines: DataFrame, annual: DataFrame) -> DataFrame:
@@ -59,10 +59,10 @@ def _changed(cell: str, factor: Column, label: Column) -> Column:
     return F.struct(label.alias("label"), F.col(f"{cell}.line_no").alias("line_no"), factor.alias("factor"), F.col(f"{cell}.won").alias("old_won"), new.alias("new_won"), F.col(f"{cell}.line").alias("old_line"), line.alias("new_line"))
 
 
-def annual_repair(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+def annual_repair(lines: DataFrame, blocks: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """changes (doc_id, year, label, line_no, factor, old_won, new_won, old_line, new_line, residual) of annual values
     and of the half-year lines that go with them."""
-    cells = annual_cells(lines, blocks).withColumn("_d", scale_decision(F.col("won"), F.col("consensus_won"))).filter("_d is not null")
+    cells = annual_cells(lines, blocks, overrides).withColumn("_d", scale_decision(F.col("won"), F.col("consensus_won"))).filter("_d is not null")
     own = cells.withColumn("cell", F.struct("line_no", "prefix", "value_text", "unit", "trailing", "won", "line"))
     halves = companions(lines, cells).select("doc_id", "year", "line_no", "c1", "c2")
     x = own.select("doc_id", "year", "line_no", "cell", "_d").join(halves, ["doc_id", "year", "line_no"], "left")
@@ -79,16 +79,26 @@ def annual_reviews(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     return cells.withColumn("reason_code", reason).filter("reason_code is not null").select("doc_id", "line_no", "year", "reason_code")
 
 
-def scenario_repair(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """changes of scenario blocks: every cell decidable (a ratio of 0.35 to 2.8 is fine), order kept before and after."""
-    x = consensus_asof(scenario_blocks(lines).withColumn("line_no", F.col("header_line")), blocks).filter("consensus_won is not null")
+_ALL_DECIDED = "_f_up is not null and _f_mid is not null and _f_down is not null"
+_ORDERED = "up.won >= mid.won and mid.won >= down.won"
+_ORDERED_AFTER = "up.won * _f_up >= mid.won * _f_mid and mid.won * _f_mid >= down.won * _f_down"
+
+
+def _case_factors(x: DataFrame) -> DataFrame:
+    """x with the factor of each case, 1 where it is fine, null where the consensus does not decide."""
     c = F.col("consensus_won")
     for n in NAMES:
         v = F.col(f"{n}.won")
         fine = ((v < 0) == (c < 0)) & (F.abs(v) / F.abs(c)).between(0.35, 2.8)
         x = x.withColumn(f"_f_{n}", F.coalesce(scale_decision(v, c)["factor"], F.when(fine, 1.0)))
-    x = x.filter("_f_up is not null and _f_mid is not null and _f_down is not null")
-    x = x.filter("up.won >= mid.won and mid.won >= down.won and up.won * _f_up >= mid.won * _f_mid and mid.won * _f_mid >= down.won * _f_down")
+    return x
+
+
+def scenario_repair(lines: DataFrame, blocks: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """changes of scenario blocks: every cell decidable (a ratio of 0.35 to 2.8 is fine), order kept before and after."""
+    x = consensus_asof(scenario_blocks(lines).withColumn("line_no", F.col("header_line")), blocks, overrides).filter("consensus_won is not null")
+    c = F.col("consensus_won")
+    x = _case_factors(x).filter(f"{_ALL_DECIDED} and {_ORDERED} and {_ORDERED_AFTER}")
     residual = F.abs(F.col("mid.won") * F.col("_f_mid") - c) / F.abs(c)
     changes = F.array_compact(F.array(*[F.when(F.col(f"_f_{n}") != 1.0, _changed(n, F.col(f"_f_{n}"), F.col(f"{n}.label"))) for n in NAMES]))
     return x.select("doc_id", "year", residual.alias("residual"), F.explode(changes).alias("c")).select("doc_id", "year", "c.*", "residual")
@@ -104,6 +114,12 @@ def apply_changes(lines: DataFrame, changes: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ sums of halves
 
 
+def reparsed(lines: DataFrame, changes: DataFrame) -> DataFrame:
+    """Parsed lines with the changed ones replaced and parsed again; the others pass as they are."""
+    new = apply_changes(lines.join(changes.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi"), changes)
+    return lines.join(changes.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_anti").unionByName(parsed(new).select(lines.columns))
+
+
 def identity_wide(lines: DataFrame) -> DataFrame:
     """doc_id, year and h1, h2, annual (structs of header_line, up, mid, down) of the years with all three blocks."""
     b = period_blocks(lines).withColumn("b", F.struct("header_line", "up", "mid", "down"))
@@ -119,18 +135,36 @@ def _won(block: str, name: str) -> Column:
     return F.col(f"{block}.{name}.won")
 
 
-def invariant_gate(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Years whose sum is off by twenty percent or more and whose annual block its consensus holds in place."""
+def invariant_states(lines: DataFrame, blocks: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """The years of identity_wide with baseline (largest error of the sum), consensus_won and state: fine; order (the sum is
+    right, but cases are not in order); no_consensus; not_anchored (the consensus does not hold the annual block in place);
+    or gated: off by twenty percent or more, and to be repaired."""
     x = identity_wide(lines)
-    x = x.withColumn("baseline", F.greatest(*[_error(_won("annual", n), _won("h1", n), _won("h2", n)) for n in NAMES])).filter("baseline >= 0.2")
-    x = consensus_asof(x.withColumn("line_no", F.col("annual.header_line")), blocks).drop("line_no")
+    x = x.withColumn("baseline", F.greatest(*[_error(_won("annual", n), _won("h1", n), _won("h2", n)) for n in NAMES]))
+    x = consensus_asof(x.withColumn("line_no", F.col("annual.header_line")), blocks, overrides).drop("line_no")
     c, mid = F.col("consensus_won"), F.col("annual.mid.won")
-    return x.filter(c.isNotNull() & ((mid < 0) == (c < 0)) & (F.abs(mid) / F.greatest(F.lit(1.0), F.abs(c))).between(0.35, 2.8))
+    ordered = reduce(lambda p, q: p & q, [(_won(b, "up") >= _won(b, "mid")) & (_won(b, "mid") >= _won(b, "down")) for b in ("h1", "h2", "annual")])
+    held = ((mid < 0) == (c < 0)) & (F.abs(mid) / F.greatest(F.lit(1.0), F.abs(c))).between(0.35, 2.8)
+    small = F.col("baseline") < 0.2
+    return x.withColumn("state", F.when(small & ordered, "fine").when(small, "order").when(c.isNull(), "no_consensus").when(held, "gated").otherwise("not_anchored"))
+
+
+def invariant_gate(lines: DataFrame, blocks: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Years whose sum is off by twenty percent or more and whose annual block its consensus holds in place."""
+    return invariant_states(lines, blocks, overrides).filter("state = 'gated'")
+
+
+def _new_case(block: str, n: str, factor: Column) -> Column:
+    """The change of one case of a half's block."""
+    return F.struct(F.lit(block.upper()).alias("period"), _changed(f"{block}.{n}", factor, F.col(f"{block}.{n}.label")).alias("c"))
+
+
+_IDENTITY = ("doc_id", "year", "p.period", "p.c.*", "residual")
 
 
 def invariant_cell_repair(gated: DataFrame) -> DataFrame:
-    """doc_id, year, period, label, factor, new_won: single cells that the sum alone identifies, one for each broken
-    label, whose repair restores order and sum."""
+    """doc_id, year, period, label, line_no, factor, old_won, new_won, old_line, new_line, residual: single cells that the sum
+    alone identifies, one for each broken label, whose repair restores order and sum."""
     x = gated
     for n in NAMES:
         a, h1, h2 = (_won(b, n) for b in ("annual", "h1", "h2"))
@@ -145,13 +179,14 @@ def invariant_cell_repair(gated: DataFrame) -> DataFrame:
     ordered = [(new(b, "up") >= new(b, "mid")) & (new(b, "mid") >= new(b, "down")) for b in ("h1", "h2", "annual")]
     errors = F.greatest(*[_error(new("annual", n), new("h1", n), new("h2", n)) for n in NAMES])
     x = x.filter(reduce(lambda p, q: p & q, [F.col(f"_ok_{n}") for n in NAMES] + ordered) & (errors <= 0.02))
-    rows = F.array_compact(F.array(*[F.when(F.col(f"_{b}_{n}").isNotNull(), F.struct(F.lit(b.upper()).alias("period"), F.col(f"{b}.{n}.label").alias("label"), F.col(f"_{b}_{n}").alias("factor"), new(b, n).alias("new_won"))) for b in ("h1", "h2") for n in NAMES]))
-    return x.select("doc_id", "year", F.explode(rows).alias("c")).select("doc_id", "year", "c.*")
+    rows = F.array_compact(F.array(*[F.when(F.col(f"_{b}_{n}").isNotNull(), _new_case(b, n, F.col(f"_{b}_{n}"))) for b in ("h1", "h2") for n in NAMES]))
+    return x.select("doc_id", "year", errors.alias("residual"), F.explode(rows).alias("p")).select(*_IDENTITY)
 
 
 def invariant_block_repair(gated: DataFrame, by_cell: DataFrame) -> DataFrame:
-    """doc_id, year, period, label, factor, new_won: the unique best pair of factors for the halves, annual held at 1,
-    tried where no single-cell repair exists. The 48 pairs are an array in the row, not a join."""
+    """The columns of invariant_cell_repair: the cases of the halves by the unique best pair of factors, annual held at 1, tried
+    where no single-cell repair exists; no repair where the two best pairs cost the same. The 48 pairs are an array in the
+    row, not a join."""
     pairs = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2")) for a in BLOCK_FACTORS for b in BLOCK_FACTORS if (a, b) != (1.0, 1.0)])
     x = gated.join(by_cell.select("doc_id", "year").distinct(), ["doc_id", "year"], "left_anti").withColumn("f", F.explode(pairs))
     worst = F.greatest(*[_error(_won("annual", n), _won("h1", n) * F.col("f.f1"), _won("h2", n) * F.col("f.f2")) for n in NAMES])
@@ -162,8 +197,8 @@ def invariant_block_repair(gated: DataFrame, by_cell: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "year").orderBy("cost", "f.f1", "f.f2")
     ranked = ranked.withColumns({"rank": F.row_number().over(order), "runner_up": F.lead("cost").over(order)})
     best = ranked.filter("rank = 1 and worst <= 0.02 and not coalesce(abs(runner_up - cost) <= 1e-9, false)")
-    rows = F.flatten(F.array(*[F.when(F.col(f) != 1.0, F.array(*[F.struct(F.lit(b.upper()).alias("period"), F.col(f"{b}.{n}.label").alias("label"), F.col(f).alias("factor"), (_won(b, n) * F.col(f)).alias("new_won")) for n in NAMES])).otherwise(F.slice(F.array(*[F.struct(F.lit("").alias("period"), F.lit("").alias("label"), F.lit(0.0).alias("factor"), F.lit(0.0).alias("new_won"))]), 1, 0)) for b, f in (("h1", "f.f1"), ("h2", "f.f2"))]))
-    return best.select("doc_id", "year", F.explode(rows).alias("c")).select("doc_id", "year", "c.*")
+    rows = F.array_compact(F.array(*[F.when(F.col(f) != 1.0, _new_case(b, n, F.col(f))) for b, f in (("h1", "f.f1"), ("h2", "f.f2")) for n in NAMES]))
+    return best.select("doc_id", "year", F.col("worst").alias("residual"), F.explode(rows).alias("p")).select(*_IDENTITY)
 
 
 def arithmetic_guard(lines: DataFrame, changes: DataFrame) -> DataFrame:
@@ -201,8 +236,12 @@ def restatement_repair(context: DataFrame, mappings: DataFrame) -> DataFrame:
     one row for each value; values are replaced in the order of their mappings, each in the line that the one before
     left, so only matched tokens change and keep their unit, spacing and commas. old_line and new_line are the whole
     line before and after all of them."""
-    values = restatement_values(restatement_matches(context, mappings)).filter("status = 'apply'")
-    steps = values.groupBy("doc_id", "line_no", "line").agg(F.array_sort(F.collect_list(F.struct(F.col("mapping_nos")[0].alias("k"), F.col("old_won").alias("old"), F.col("new_won").alias("new")))).alias("_steps"))
+    return restated_lines(restatement_values(restatement_matches(context, mappings)))
+
+
+def restated_lines(values: DataFrame) -> DataFrame:
+    """restatement_repair from the values (restatement_values) found."""
+    steps = values.filter("status = 'apply'").groupBy("doc_id", "line_no", "line").agg(F.array_sort(F.collect_list(F.struct(F.col("mapping_nos")[0].alias("k"), F.col("old_won").alias("old"), F.col("new_won").alias("new")))).alias("_steps"))
     start = F.struct(F.col("line").alias("text"), F.expr("cast(array() as array<struct<old: double, new: double, n: int>>)").alias("done"))
 
     def apply(a: Column, s: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallyproof.operators import consensus as con, forecast as fc, lines as ln, repair as rp, review as rv
+from tallyproof.operators import consensus as con, forecast as fc, lines as ln, repair as rp, review as rv, runs
 from tallyproof.plans.registry import query
-from tallyproof.sources.reports import CASES_SQL, EVERY_CASE_SQL, case_reports, reports, with_views
-from tallyproof.sources.tables import stored
+from tallyproof.sources.reports import case_reports, reports, titled_cases, with_views
+from tallyproof.sources.sinks import publish, published
+from tallyproof.sources.tables import job_tables, shared_folder, stored
 
 #: Where a section stands in its report: 18 lines and a blank one, one more with scenarios.
 _PLACE = """(select doc_id, year, err, 1 + (row_number() over (partition by doc_id order by year) - 1) * (case when doc_id % 2 = 1 then 19 else 20 end) as h,
@@ -131,6 +134,15 @@ def consensus_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return con.consensus_asof(heads.unionByName(later), _blocks(lines)).select("doc_id", _whole(), "consensus_won")
 
 
+@query(with_views("""select doc_id, year::int as year, case when doc_id % 3 = 0 then doc_id * 1e9 else annual end::double as consensus_won, doc_id % 3 = 0 as from_request from book"""))
+def consensus_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third report's request gives its own value, which holds before all tiers."""
+    lines = _lines(spark, sf_dir)
+    given = lines.select("doc_id").distinct().select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") * 1e9).alias("consensus_won"))
+    x = con.consensus_asof(fc.headers(lines).select("doc_id", "line_no", "year"), _blocks(lines), given)
+    return x.select("doc_id", _whole(), "consensus_won", F.col("consensus_line").isNull().alias("from_request"))
+
+
 @query(with_views("""select doc_id, year::int as year, p as period, (case p when '상반기' then h1_written when '하반기' then h2_written else annual_written end)::double as won
 from written, (select unnest(['상반기', '하반기', '연간']) as p) where doc_id % 2 = 1"""))
 def forecast_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,18 +292,25 @@ def applied_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.applied_changes(changes, _restated(lines, changes)).drop("line_no")
 
 
-@query(with_views(f"""
-select w.doc_id, count(*)::bigint as n_lines, coalesce(any_value(n), 0)::bigint as n_new from {_PLACE} w left join (
-  select doc_id, count(distinct new_line) as n from (select doc_id, {_LINE_OF} || new_won::decimal(38, 0)::varchar || '원' as new_line from ({_EVERY_CHANGE}) union all select doc_id, '결론: ' || year || '년 영업이익은 ' || new_won::decimal(38, 0)::varchar || '원 수준이다.' from ({_RESTATED})) group by doc_id) c on w.doc_id = c.doc_id group by w.doc_id""".replace("count(*)::bigint as n_lines", "(sum(case when w.doc_id % 2 = 1 then 19 else 20 end) - 1)::bigint as n_lines")))
+#: The corrected text itself, rendered from the figures: repaired values in place of the written ones.
+_CORRECTED = """select doc_id, string_agg(section, chr(10) order by year) as text from (
+  select w.doc_id, w.year, '## ' || w.year || '년 최근 컨센서스 전망치 분석' || chr(10) ||
+    case when w.doc_id % 3 = 0 then '| 날짜 | 금액 (원) | 금액 (억원) |' || chr(10) || '|---|---|---|' else '| 날짜 | 영업이익 (원) |' || chr(10) || '|---|---|' end || chr(10) || t.said || chr(10) || chr(10) ||
+    case when w.doc_id % 2 = 1 then '- ' || w.year || '년 상반기 전망: ' || case when err = 0 then h1 else h1_written end || '원' || chr(10) || '- ' || w.year || '년 하반기 전망: ' || case when err = 0 then h2 else h2_written end || '원' || chr(10)
+        || '- ' || w.year || '년 영업이익 전망: ' || value || '원' || chr(10)
+      else '### ' || w.year || '년 영업이익 전망' || chr(10) || '- 상방: ' || case when err in (0, 1, 2, 6) then annual // 10 * 11 else up_written end || '원' || chr(10) || '- 중간: ' || value || '원' || chr(10)
+        || '- 하방: ' || case when err in (0, 1, 2, 6) then annual // 10 * 9 else down_written end || '원' || chr(10) end ||
+    chr(10) || '결론: ' || w.year || '년 영업이익은 ' || value || '원 수준이다.' || chr(10) || '```' || chr(10) || w.year || '년 영업이익 ' || annual || '원' || chr(10) || '```' || chr(10) as section
+  from (select *, case when doc_id % 2 = 1 and err > 5 then annual_written when doc_id % 2 = 0 and err not in (0, 1, 2, 6) then mid_written else annual end as value from written) w
+  join (select doc_id, year, string_agg(line, chr(10) order by case when doc_id % 2 = 1 then -m else m end) as said from (
+      select doc_id, year, m, '| ' || year || '-0' || m || '-28 | ' || amount_won || case when doc_id % 3 = 0 then ' | ' || (((amount_won + 50) // 100)::decimal(38, 6) / 1000000)::decimal(38, 6)::varchar else '' end || ' |' as line from consensus) group by doc_id, year) t
+    on t.doc_id = w.doc_id and t.year = w.year) group by doc_id"""
+
+
+@query(with_views(f"select doc_id, md5(case when doc_id % 5 = 0 then replace(text, chr(10), chr(13) || chr(10)) else text end) as digest from ({_CORRECTED})"))
 def corrected_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corrected texts, read again: their lines, and how many differ from the original's."""
-    lines = _lines(spark, sf_dir)
-    changes = _changes(lines)
-    every = rp.applied_changes(changes, _restated(lines, changes)).select("doc_id", "line_no", F.col("new_line"), F.lit("").alias("old_line"), F.lit(1.0).alias("factor"))
-    texts = stored(ln.reassemble(rp.apply_changes(lines, every)))
-    again = ln.doc_lines(texts)
-    new = again.join(lines.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.count_distinct("line").alias("n_new"))
-    return again.groupBy("doc_id").agg(F.count("*").alias("n_lines")).join(new, "doc_id", "left").na.fill(0, ["n_new"])
+    """Digests of the corrected texts."""
+    return runs.repair_run(reports(spark, sf_dir))["corrected"].select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("""select doc_id, case when len(l) > 1 and n1 = 1 then md5(replace(text, o, o || '!')) else md5(coalesce(text, '')) end as digest from (
@@ -333,37 +352,183 @@ def unchecked_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header years without a value: those whose annual line has lost its digits."""
     damaged = F.when((F.col("doc_id") * 31 + F.regexp_extract("line", "(20[0-9]{2})년", 1).try_cast("bigint")) % 11 % 2 == 0, F.regexp_replace("line", "(영업이익 전망: )-?[0-9]+원", "$1미정")).otherwise(F.col("line"))
     lines = stored(fc.parsed(ln.doc_lines(reports(spark, sf_dir)).withColumn("line", damaged)))
-    years = fc.headers(lines).select("doc_id", "year").distinct()
-    checked = fc.value_lines(lines, "annual").select("doc_id", "year").unionByName(fc.scenario_blocks(lines).select("doc_id", "year"))
-    return years.join(checked, ["doc_id", "year"], "left_anti").select("doc_id", _whole())
+    checked = runs.header_states(lines, _blocks(lines)).filter("checked")
+    return runs.unparsed_years(lines, checked).select("doc_id", _whole())
+
+
+# ------------------------------------------------------------------ sums of halves
+
 
+def _ratio(a: str, b: str) -> str:
+    return f"greatest(abs({a}), abs({b})) / greatest(1.0, least(abs({a}), abs({b})))"
 
-def _gated(spark: SparkSession, sf_dir: str, cases: str = CASES_SQL) -> DataFrame:
-    lines = stored(fc.parsed(ln.doc_lines(case_reports(spark, sf_dir, cases))))
+
+def _off(a: str, p: str, q: str) -> str:
+    return f"abs({a} - {p} - {q}) / greatest(1.0, abs({a}), abs({p} + {q}))"
+
+
+def _falls(*x: str) -> str:
+    return f"{x[0]} >= {x[1]} and {x[1]} >= {x[2]}"
+
+
+#: Brute force over the figures of the case reports: each year's sums, the single cells they point at, then every pair of
+#: factors for the halves. a, p, q: cases (up, mid, down) of the year and its halves as written.
+_SUMS = f"""
+wide as (
+  select doc_id, year, [annual // 10 * 11, annual, annual // 10 * 9]::double[] as a,
+         [h1 // 10 * 11 * case when err >= 9 then 10 else 1 end, h1 * case when err = 10 then 10 else 1 end, h1 // 10 * 9 * case when err = 10 then 10 else 1 end]::double[] as p,
+         [h2 // 10 * 11 * case when err = 10 then 10 else 1 end, h2 * case when err = 10 then 10 else 1 end, h2 // 10 * 9 * case when err = 10 then 10 else 1 end]::double[] as q from book),
+gated as (select * from wide where greatest({', '.join(_off(f'a[{n}]', f'p[{n}]', f'q[{n}]') for n in (1, 2, 3))}) >= 0.2),
+labels as (select *, a[n] as an, p[n] as pn, q[n] as qn, {_off('a[n]', 'p[n]', 'q[n]')} > 0.02 as broken from gated, (select unnest([1, 2, 3]) as n)),
+asked as (select doc_id, year, n, k, case k when 1 then pn else qn end as v, case k when 1 then an - qn else an - pn end as t from labels, (select unnest([1, 2]) as k) where broken),
+tried as (select *, row_number() over (partition by doc_id, year, n, k order by abs(v * f - t), i) as place
+  from asked, (select unnest([0.001, 0.01, 0.1, 10.0, 100.0, 1000.0]::double[]) as f, unnest([1, 2, 3, 4, 5, 6]) as i) where v <> 0 and t <> 0 and (v < 0) = (t < 0) and {_ratio('v', 't')} >= 5),
+found as (select doc_id, year, n, k, v, f from tried where place = 1 and abs(v * f - t) / abs(t) <= 0.02),
+mended as (
+  select doc_id, year, n, any_value(an) as an, any_value(broken) as broken, count(k) as hits, coalesce(max(v * f) filter (k = 1), any_value(pn)) as np, coalesce(max(v * f) filter (k = 2), any_value(qn)) as nq
+  from labels left join found using (doc_id, year, n) group by doc_id, year, n),
+one as (
+  select doc_id, year from (select doc_id, year, bool_and(not broken or hits = 1) as sure, list(np order by n) as np, list(nq order by n) as nq, list(an order by n) as an from mended group by doc_id, year)
+  where sure and {_falls('np[1]', 'np[2]', 'np[3]')} and {_falls('nq[1]', 'nq[2]', 'nq[3]')} and {_falls('an[1]', 'an[2]', 'an[3]')} and greatest({', '.join(_off(f'an[{n}]', f'np[{n}]', f'nq[{n}]') for n in (1, 2, 3))}) <= 0.02),
+cells as (select doc_id, year, k, n, f, v as old_won, v * f as new_won, 'identity_cell' as stage from found semi join one using (doc_id, year)),
+scaled as (
+  select *, worst + 0.001 * ((f1 <> 1)::int + (f2 <> 1)::int) as cost from (
+    select *, greatest({', '.join(_off(f'a[{n}]', f'(p[{n}] * f1)', f'(q[{n}] * f2)') for n in (1, 2, 3))}) as worst
+    from gated anti join one using (doc_id, year), (select unnest([0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]::double[]) as f1), (select unnest([0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]::double[]) as f2)
+    where not (f1 = 1 and f2 = 1) and {_falls('p[1] * f1', 'p[2] * f1', 'p[3] * f1')} and {_falls('q[1] * f2', 'q[2] * f2', 'q[3] * f2')} and {_falls('a[1]', 'a[2]', 'a[3]')})),
+ranked as (select *, row_number() over w as place, lead(cost) over w as next_cost from scaled window w as (partition by doc_id, year order by cost, f1, f2)),
+pairs as (select * from ranked where place = 1 and worst <= 0.02 and not coalesce(abs(next_cost - cost) <= 1e-9, false)),
+blocks as (
+  select doc_id, year, k, n, case k when 1 then f1 else f2 end as f, case k when 1 then p[n] else q[n] end as old_won, case k when 1 then p[n] * f1 else q[n] * f2 end as new_won, 'identity_block' as stage
+  from pairs, (select unnest([1, 2]) as k), (select unnest([1, 2, 3]) as n) where case k when 1 then f1 else f2 end <> 1),
+identity as (select * from cells union all select * from blocks)"""
+
+
+def _by_sums(sql: str) -> str:
+    return with_views("~" + sql).replace(")\n~", f"),{_SUMS}\n")
+
+
+_CASE = "doc_id, year::int as year, 'H' || k as period, ['상방', '중간', '하방'][n] as label, f as factor"
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = stored(fc.parsed(ln.doc_lines(case_reports(spark, sf_dir))))
     return stored(rp.invariant_gate(lines, _blocks(lines)))
 
 
-@query(with_views(f"select doc_id, year::int as year, 'H1' as period, '상방' as label, 0.1::double as factor, (h1 // 10 * 110)::double * 0.1 as new_won from ({CASES_SQL}) where err = 9 and h1 * 99 >= 2.2 * (annual + 9 * h1) and abs(annual * 11 // 10 - h1 * 11 - h2 * 11 // 10) >= 0.2 * greatest(annual * 11 // 10, h1 * 11 + h2 * 11 // 10)"))
+def _case_columns(x: DataFrame) -> DataFrame:
+    return x.select("doc_id", _whole(), "period", "label", "factor", F.round("new_won", 0).alias("new_won"))
+
+
+@query(_by_sums(f"select {_CASE}, round(new_won, 0) as new_won from cells"))
 def invariant_cell_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.invariant_cell_repair(_gated(spark, sf_dir)).select("doc_id", _whole(), "period", "label", "factor", F.round("new_won", 0).alias("new_won"))
+    """Every year, those with several possible repairs included."""
+    return _case_columns(rp.invariant_cell_repair(_gated(spark, sf_dir)))
 
 
-@query(with_views(f"""select doc_id, year::int as year, p as period, label, 0.1::double as factor,
-  (case p when 'H1' then h1 else h2 end * 10 // 10 * case label when '상방' then 11 when '중간' then 10 else 9 end)::double * 0.1 as new_won
-from ({CASES_SQL}), (select unnest(['H1', 'H2']) as p), (select unnest(['상방', '중간', '하방']) as label) where err = 10"""))
+@query(_by_sums(f"select {_CASE}, round(new_won, 0) as new_won from blocks"))
 def invariant_block_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every year; where two pairs of factors cost the same there is no repair."""
     gated = _gated(spark, sf_dir)
-    return rp.invariant_block_repair(gated, rp.invariant_cell_repair(gated)).select("doc_id", _whole(), "period", "label", "factor", F.round("new_won", 0).alias("new_won"))
+    return _case_columns(rp.invariant_block_repair(gated, rp.invariant_cell_repair(gated)))
 
 
-@query()
+@query(_by_sums(f"select {_CASE}, round(new_won, 0) as new_won from cells"))
 def invariant_cell_repair_every_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ambiguous years included; tested against brute force."""
-    return rp.invariant_cell_repair(_gated(spark, sf_dir, EVERY_CASE_SQL)).select("doc_id", _whole(), "period", "label", "factor", F.round("new_won", 0).alias("new_won"))
+    """The same under its earlier name."""
+    return invariant_cell_repair(spark, sf_dir)
 
 
-@query()
+@query(_by_sums(f"select {_CASE}, round(new_won, 0) as new_won from blocks"))
 def invariant_block_repair_every_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ambiguous years included; tested against brute force."""
-    gated = _gated(spark, sf_dir, EVERY_CASE_SQL)
-    return rp.invariant_block_repair(gated, rp.invariant_cell_repair(gated)).select("doc_id", _whole(), "period", "label", "factor", F.round("new_won", 0).alias("new_won"))
+    """The same under its earlier name."""
+    return invariant_block_repair(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ whole runs
+
+#: Case reports stand beside the others under ids of their own.
+_CASES_FROM = 1_000_000_000
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = titled_cases(spark, sf_dir).select((F.col("doc_id") + _CASES_FROM).alias("doc_id"), "text")
+    return stored(reports(spark, sf_dir).select("doc_id", "text").unionByName(cases))
+
+
+_EVERY_STAGE = f"""select doc_id, 'consensus' as stage, year, label, factor, old_won, new_won from ({_EVERY_CHANGE})
+union all select doc_id, 'restatement', null, null, new_won / old_won, old_won, new_won from ({_RESTATED})
+union all select doc_id + {_CASES_FROM}, stage, year::int, ['상방', '중간', '하방'][n], f, old_won, new_won from identity"""
+
+#: Titles of case reports stand above any consensus: their item goes where the sum of halves repairs the year.
+_OPEN = f"""select doc_id, 'forecast' as stage, year::varchar as year, case when doc_id % 2 = 1 then case err when 7 then 'ratio' else 'sign' end else case err when 7 then 'undecided' else 'order' end end as reason_code from written where err in (7, 8)
+union all select doc_id + {_CASES_FROM}, 'forecast', year::varchar, 'no_consensus' from (select doc_id, min(year) as year from book group by doc_id) anti join identity using (doc_id, year)
+union all select doc_id + {_CASES_FROM}, 'half_year_sum', year::varchar, 'ambiguous' from gated anti join identity using (doc_id, year)"""
+
+
+@query(_by_sums(f"select doc_id, stage, year, label, factor, old_won, round(new_won, 0) as new_won from ({_EVERY_STAGE})"))
+def changes_of_all_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the consensus, the sums of halves and the restatements changed in a run over both kinds of reports."""
+    x = runs.repair_run(_corpus(spark, sf_dir))["changes"]
+    return x.select("doc_id", "stage", _whole(), "label", "factor", "old_won", F.round("new_won", 0).alias("new_won"))
+
+
+@query(_by_sums(f"select * from ({_OPEN})"))
+def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a run over both kinds of reports; items that the sum of halves settles are gone."""
+    return runs.repair_run(_corpus(spark, sf_dir))["review_items"].select("doc_id", "stage", "year", "reason_code")
+
+
+_TOTALS = f"""
+counts as (
+  select doc_id, checked, coalesce(corrections, 0) as corrections, coalesce(cells, 0) as cells, coalesce(restated, 0) as restated, coalesce(items, 0) as items
+  from (select doc_id, count(*) as checked from written group by doc_id union all select doc_id + {_CASES_FROM}, count(*) from book group by doc_id)
+  left join (select doc_id, count(distinct (stage, year, period)) filter (stage <> 'restatement') as corrections, count(*) filter (stage <> 'restatement') as cells, count(*) filter (stage = 'restatement') as restated
+             from (select doc_id, stage, year, null as period from ({_EVERY_STAGE}) where doc_id < {_CASES_FROM} union all select doc_id + {_CASES_FROM}, stage, year, k from identity) group by doc_id) using (doc_id)
+  left join (select doc_id, count(*) as items from ({_OPEN}) group by doc_id) using (doc_id))"""
+
+
+@query(_by_sums(f"""select source, lang, count(*) as docs, sum(checked)::bigint as blocks_checked, sum(corrections)::bigint as corrections, sum(cells)::bigint as cells_changed, sum(restated)::bigint as restated, sum(items)::bigint as review_items, count(*) filter (items > 0) as docs_in_review
+from (select *, 'desk' || (doc_id % 4)::varchar as source, case when doc_id % 3 = 0 then 'ko' else 'kr' end as lang from (with {_TOTALS.strip()} select * from counts)) group by rollup(source, lang)"""))
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks checked, corrections, cells and review items by source and language, with subtotals."""
+    corpus = _corpus(spark, sf_dir)
+    about = corpus.select("doc_id", F.concat(F.lit("desk"), F.col("doc_id") % 4).alias("source"), F.when(F.col("doc_id") % 3 == 0, "ko").otherwise("kr").alias("lang"))
+    return runs.corpus_stats(runs.repair_run(corpus)["run_stats"], about)
+
+
+@query(_by_sums(f"""select run_date, name, n::bigint as n, docs::bigint as docs from (select unnest(['2026-01-01', '2026-01-03']) as run_date), (
+  select 'changes' as name, count(*) as n, count(distinct doc_id) as docs from ({_EVERY_STAGE})
+  union all select 'review_items', count(*), count(distinct doc_id) from ({_OPEN})
+  union all select 'corrected', 2 * count(distinct doc_id), 2 * count(distinct doc_id) from book
+  union all select 'run_stats', 2 * count(distinct doc_id), 2 * count(distinct doc_id) from book)"""))
+def published_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's four tables written for two dates, for one of them twice; a further date is stopped after its first table
+    and a second attempt at it, too, and shows nothing."""
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    with job_tables(spark):
+        tables = runs.repair_run(_corpus(spark, sf_dir))
+        for date in ("2026-01-01", "2026-01-01", "2026-01-03"):
+            publish(tables, path, date)
+
+        class Stopped(Exception):
+            pass
+
+        def broken(name: str) -> DataFrame:
+            raise Stopped(name)
+
+        class Tables(dict):
+            def items(self):
+                yield "corrected", self["corrected"]
+                broken("changes")
+
+        for _ in range(2):
+            try:
+                publish(Tables(tables), path, "2026-01-02")
+            except Stopped:
+                continue
+    counts = [published(spark, path, n).groupBy("run_date").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).withColumn("name", F.lit(n)) for n in ("changes", "review_items", "corrected", "run_stats")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.select("run_date", "name", "n", "docs")

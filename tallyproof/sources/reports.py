@@ -76,21 +76,20 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text")))
 
 
-#: Reports of three-case blocks for both halves and the year. err 9: the first half's upper case times 10; 10: both
-#: halves times 10. Halves differ at most tenfold, so that each error has one repair.
-CASES_SQL = """
-select doc_id, year, h1, h2, annual, err from book where h1 <= 10 * h2 and h2 <= 10 * h1"""
-
-#: The same of every year, those with more than one repair included.
-EVERY_CASE_SQL = """
-select doc_id, year, h1, h2, annual, err from book"""
-
-
-def case_reports(spark: SparkSession, sf_dir: str, cases: str = CASES_SQL) -> DataFrame:
-    """doc_id, text: for each document and year a consensus line in prose and three blocks of three cases."""
+def case_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: for each document and year a consensus line in prose and three blocks of three cases. err 9: the
+    first half's upper case times 10; 10: both halves times 10. Years of very unlike halves have several repairs, or none."""
     views(spark, sf_dir)
     block = """concat('#### ', year, '년 {0} 전망\n- 상방: ', cast({1} / 10 as bigint) * 11 * case when err = 10 then {2} when err = 9 then {3} else 1 end, '원\n- 중간: ', {1} * case when err = 10 then {2} else 1 end,
         '원\n- 하방: ', cast({1} / 10 as bigint) * 9 * case when err = 10 then {2} else 1 end, '원\n\n')"""
     parts = ", ".join((block.format("상반기 영업이익", "h1", 10, 10), block.format("하반기 영업이익", "h2", 10, 1), block.format("연간 영업이익", "annual", 1, 1)))
-    rows = spark.sql(f"""select doc_id, year, concat('## ', year, '년 최근 컨센서스 전망치 분석\n', year, '년 6월 28일 ', annual, '원으로 모였다.\n\n', {parts}) as section from ({cases})""")
+    rows = spark.sql(f"""select doc_id, year, concat('## ', year, '년 최근 컨센서스 전망치 분석\n', year, '년 6월 28일 ', annual, '원으로 모였다.\n\n', {parts}) as section from book""")
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("year", "section"))), lambda s: s["section"]), "").alias("text"))
+
+
+def titled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case reports, each below a title of its first year that stands ahead of every consensus."""
+    texts = case_reports(spark, sf_dir)
+    first = spark.sql("select doc_id, min(year) as _y from book group by doc_id")
+    title = F.concat(F.lit("# "), F.col("_y"), F.lit("년 영업이익 전망 시나리오 분석\n" + "비고\n" * 10))
+    return texts.join(first, "doc_id").select("doc_id", F.concat(title, "text").alias("text"))

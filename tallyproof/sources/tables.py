@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,14 +25,42 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Paths of the tables that the current job has stored; none outside of one.
+_OWN: ContextVar[list[str] | None] = ContextVar("own_tables", default=None)
+
+
+@contextmanager
+def job_tables(spark: SparkSession) -> Iterator[None]:
+    """A job whose stored tables go when it ends, in success or failure. Results that read them must be written by then. A
+    job within a job leaves its tables to the outer one."""
+    if _OWN.get() is not None:
+        yield
+        return
+    mark = _OWN.set([])
+    try:
+        yield
+    finally:
+        for path in _OWN.get():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _OWN.reset(mark)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and lost executors recompute nothing
-    before it."""
+    before it. Inside job_tables the table is the job's own."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _OWN.get() is not None:
+        _OWN.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def append_partition(df: DataFrame, path: str, by: str) -> None:
+    """Write ``df`` into the partitions of ``path`` that it has rows of, in place of what they held."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def read_reports(spark: SparkSession, path: str, kind: str = "parquet", stream: bool = False) -> DataFrame:
     """Reports (doc_id, text, consensus_won) from a folder of Parquet tables, JSON lines, or whole text files (``text``:
     a file is a report, its path the doc_id). As a stream, files that arrive later are read too."""
