@@ -30,4 +30,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["annual_repair"](spark, sf_dir)
 
 
-from tallyproof.plans import atoms, exports, facts, forecasts, graphs, jobs, reviews, streams  # noqa: E402, F401  (they register their queries)
+from tallyproof.plans import atoms, contracts, exports, facts, forecasts, graphs, jobs, reviews, streams  # noqa: E402, F401  (they register their queries)
