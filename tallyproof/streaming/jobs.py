@@ -62,6 +62,64 @@ def stage_progress(events: DataFrame, idle_hours: int = 1) -> DataFrame:
     return timed.groupBy("job_id").applyInPandasWithState(follow, _PROGRESS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+_PENDING = "ts timestamp, seq long, stage string, message string"
+
+
+def ordered_progress(events: DataFrame, delay: str, idle_hours: int = 1) -> DataFrame:
+    """stage_progress for events that arrive late and over several batches: an event waits in a buffer until the watermark,
+    ``delay`` behind the latest time seen, has passed it, and is then taken in its place by (ts, seq); so stages come out as
+    the batch operator stage_history gives them. Events later than the delay are dropped. An open stage is sent, completed
+    null, when its job has been idle for ``idle_hours`` of event time, and its state goes. Needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass)."""
+    # Needs packages that the batch operators do without.
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    names = ["job_id", "run", "stage", "started", "message", "completed"]
+    millis = lambda t: int(pd.Timestamp(t).timestamp() * 1000) + 1  # noqa: E731  (the first whole one behind it)
+
+    class Progress(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.pending = handle.getListState("pending", _PENDING)
+            self.current = handle.getValueState("current", _STATE + ", last timestamp")
+
+        def handleInputRows(self, key, rows, timerValues):
+            new = [(r.ts.to_pydatetime(), int(r.seq), r.stage, r.message) for frame in rows for r in frame.itertuples(index=False)]
+            self.pending.appendList(new)
+            self.handle.registerTimer(millis(min(r[0] for r in new)))
+            yield pd.DataFrame([], columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            mark = timerValues.getCurrentWatermarkInMs()
+            waiting = sorted(self.pending.get(), key=lambda r: (r[0], r[1])) if self.pending.exists() else []
+            due = [r for r in waiting if millis(r[0]) <= mark]
+            run, stage, started, message, last = self.current.get() if self.current.exists() else (0, None, None, None, None)
+            done = []
+            for ts, _, name, said in due:
+                if stage is None and run == 0 or name != stage:
+                    if run:
+                        done.append((key[0], run, stage, started, message, ts))
+                    run, stage, started = run + 1, name, ts
+                message, last = said, ts
+            if due:
+                left = waiting[len(due) :]
+                self.pending.clear()
+                if left:
+                    self.pending.put(left)
+                    self.handle.registerTimer(millis(left[0][0]))
+                self.current.update((run, stage, started, message, last))
+                self.handle.registerTimer(millis(last) + idle_hours * 3_600_000)
+            if run and len(due) == len(waiting) and mark >= millis(last) + idle_hours * 3_600_000:
+                done.append((key[0], run, stage, started, message, pd.NaT))
+                self.current.clear()
+            yield pd.DataFrame(done, columns=names)
+
+        def close(self) -> None:
+            pass
+
+    return events.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(Progress(), _PROGRESS, "append", "eventTime")
+
+
 def latest_values(values: DataFrame) -> DataFrame:
     """entity, year, amount_won, entry_date: the latest value of a stream (entity, year, entry_date, line_no, amount_won), kept
     as it changes; for update mode."""
