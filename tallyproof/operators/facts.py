@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyproof.functions.facts import key_text
@@ -92,24 +94,119 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def member_pairs(atoms: DataFrame, groups: DataFrame) -> DataFrame:
+#: Atoms of a block of a document; a task holds two blocks and their pairs.
+TILE = 1024
+
+
+def tiled(rows: DataFrame, size: int = TILE) -> DataFrame:
+    """rows (doc_id, ord, ...) dealt to pairs of blocks of their document: ti, tj (ti <= tj) and side (0: of block ti, 1: of
+    tj). Any two atoms of a document meet in one tile, a block meets itself once; a document has as many blocks as its size
+    asks for, so no task gets a whole large one."""
+    blocks = rows.groupBy("doc_id").agg(F.expr(f"count(*) div {size} + 1").alias("_blocks"))
+    own = F.pmod(F.xxhash64("ord"), F.col("_blocks"))
+    to = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda k: F.struct(F.least(own, k).alias("ti"), F.greatest(own, k).alias("tj"), F.when(own <= k, 0).otherwise(1).alias("side")))
+    return rows.join(blocks, "doc_id").select(*rows.columns, F.explode(to).alias("_t")).select(*rows.columns, "_t.*")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the two blocks' rows, and which pairs count: each once."""
+    side = table.column("side").to_numpy()
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if table.column("ti")[0].as_py() == table.column("tj")[0].as_py():
+        return first, first, np.triu(np.ones((len(first), len(first)), dtype=bool), 1)
+    return first, second, np.ones((len(first), len(second)), dtype=bool)
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    vectors = table.column("vec").combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+
+
+def _codes(table: pa.Table, column: str) -> np.ndarray:
+    """A number for each distinct text of a column; 0 for the blank one."""
+    known = {"": 0}
+    return np.array([known.setdefault(v or "", len(known)) for v in table.column(column).to_pylist()], dtype=np.int64)
+
+
+_FLAGS = ("same_chunk", "neighbour_chunk", "same_metric", "same_period", "same_subject")
+
+
+def member_pairs(atoms: DataFrame, groups: DataFrame, least: float | None = None, size: int = TILE) -> DataFrame:
     """doc_id, source, target (representatives in document order), similarity (the best of their members) and what members
     share: same_chunk, neighbour_chunk, same_metric, same_period, same_subject, for all pairs of groups of a document.
 
-    atoms: doc_id, ord, chunk_no, metric, period, subject, vec; groups: doc_id, rep, member. Documents hold some hundred
-    atoms; the pairs of a document are what is asked for, and they are summed up before anything else is done with them.
+    atoms: doc_id, ord, chunk_no, metric, period, subject, vec (of one length, not null); groups: doc_id, rep, member. A
+    document's atoms are dealt to tiles of two blocks; a tile is one matrix product. least: two atoms that are groups of their
+    own, share nothing and are less similar are left out where they meet (a gate that asks for no less loses nothing).
     """
-    text = lambda c: key_text(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    text = lambda c: key_text(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c)
     place = atoms.filter("chunk_no is not null").groupBy("doc_id", "chunk_no").agg(F.min("ord").alias("_first")).withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("_first")))
     x = atoms.join(place.drop("_first"), ["doc_id", "chunk_no"], "left").join(groups.select("doc_id", "rep", F.col("member").alias("ord")), ["doc_id", "ord"])
-    x = x.select("doc_id", "rep", "_place", text("metric").alias("_m"), text("period").alias("_p"), text("subject").alias("_s"), "vec")
-    y = x.toDF("doc_id", *[f"{c}_r" for c in x.columns[1:]])
-    z = x.join(y, "doc_id").filter("rep < rep_r")
-    shared = lambda c: (F.col(c) != "") & (F.col(c) == F.col(f"{c}_r"))
-    gap = F.abs(F.col("_place") - F.col("_place_r"))
-    flags = {"same_chunk": gap == 0, "neighbour_chunk": gap == 1, "same_metric": shared("_m"), "same_period": shared("_p"), "same_subject": shared("_s")}
-    z = z.groupBy("doc_id", F.col("rep").alias("source"), F.col("rep_r").alias("target")).agg(F.max(cosine(F.col("vec"), F.col("vec_r"))).alias("similarity"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()])
-    return z
+    x = x.join(groups.groupBy("doc_id", "rep").agg((F.count("*") == 1).alias("alone")), ["doc_id", "rep"])
+    x = x.select("doc_id", "ord", "alone", F.col("rep").cast("long").alias("rep"), F.coalesce("_place", F.lit(-9)).alias("place"), text("metric"), text("period"), text("subject"), "vec")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        a, b, counts = _sides(table)
+        rep, spot, vec = table.column("rep").to_numpy(), table.column("place").to_numpy(), _matrix(table)
+        similarity = vec[a] @ vec[b].T
+        counts &= rep[a][:, None] != rep[b][None, :]
+        gap = np.abs(spot[a][:, None] - spot[b][None, :])
+        known = (spot[a][:, None] > 0) & (spot[b][None, :] > 0)
+        flags = [known & (gap == 0), known & (gap == 1)]
+        for c in ("metric", "period", "subject"):
+            codes = _codes(table, c)
+            flags.append((codes[a][:, None] == codes[b][None, :]) & (codes[a][:, None] > 0))
+        if least is not None:
+            alone = table.column("alone").to_numpy()
+            counts &= (similarity >= least) | np.any(flags, axis=0) | ~(alone[a][:, None] & alone[b][None, :])
+        i, j = np.nonzero(counts)
+        low, high = np.minimum(rep[a[i]], rep[b[j]]), np.maximum(rep[a[i]], rep[b[j]])
+        columns = [low, high, similarity[i, j], *(f[i, j] for f in flags)]
+        doc = table.column("doc_id").combine_chunks().take(pa.array(np.zeros(len(i), dtype=np.int64)))
+        return pa.table([doc, *(pa.array(c) for c in columns)], names=["doc_id", "source", "target", "similarity", *_FLAGS])
+
+    kind = atoms.schema["doc_id"].dataType.simpleString()
+    met = tiled(x, size).groupBy("doc_id", "ti", "tj").applyInArrow(pairs, f"doc_id {kind}, source long, target long, similarity double, " + ", ".join(f"{f} boolean" for f in _FLAGS))
+    return met.groupBy("doc_id", "source", "target").agg(F.max("similarity").alias("similarity"), *[F.bool_or(f).alias(f) for f in _FLAGS])
+
+
+def duplicate_links(atoms: DataFrame, duplicate: float, size: int = TILE) -> DataFrame:
+    """doc_id, a, b, blocked: links between atoms (doc_id, ord, metric, polarity, signature as texts, vec) with a cosine of at
+    least ``duplicate`` whose metrics and polarities agree or are blank and whose signatures are equal; of each tile as many
+    as its components need. Rows without a and b count in blocked the pairs that are similar enough and do not agree."""
+
+    def links(table: pa.Table) -> pa.Table:
+        a, b, counts = _sides(table)
+        vec, ord_ = _matrix(table), table.column("ord").to_numpy()
+        near = counts & (vec[a] @ vec[b].T >= duplicate)
+        agree = np.ones_like(near)
+        for c in ("metric", "polarity", "signature"):
+            codes = _codes(table, c)
+            x, y = codes[a][:, None], codes[b][None, :]
+            agree &= (x == y) | ((x == 0) | (y == 0) if c != "signature" else False)
+        i, j = np.nonzero(near & agree)
+        blocked = int((near & ~agree).sum())
+        # A tree of the links: each node points to a smaller one until nothing changes.
+        parent = np.arange(table.num_rows)
+        one, two, tree = a[i], b[j], []
+        while len(one):
+            p, q = parent[one], parent[two]
+            low, high = np.minimum(p, q), np.maximum(p, q)
+            apart = low != high
+            one, two, low, high = one[apart], two[apart], low[apart], high[apart]
+            at = np.unique(high, return_index=True)[1]
+            tree.append((one[at], two[at]))
+            parent[high[at]] = low[at]
+            while np.any(parent != parent[parent]):
+                parent = parent[parent]
+        ends = [np.concatenate(x) for x in zip(*tree)] if tree else [np.zeros(0, np.int64)] * 2
+        doc = table.column("doc_id").combine_chunks().take(pa.array(np.zeros(len(ends[0]) + 1, dtype=np.int64)))
+        columns = [pa.concat_arrays([pa.array(ord_[e], pa.int64()), pa.nulls(1, pa.int64())]) for e in ends]
+        return pa.table([doc, *columns, pa.array([0] * len(ends[0]) + [blocked], pa.int64())], names=["doc_id", "a", "b", "blocked"])
+
+    x = atoms.select("doc_id", F.col("ord").cast("long").alias("ord"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("metric", "polarity", "signature")], "vec")
+    kind = atoms.schema["doc_id"].dataType.simpleString()
+    return tiled(x, size).groupBy("doc_id", "ti", "tj").applyInArrow(links, f"doc_id {kind}, a long, b long, blocked long")
 
 
 def pair_reasons(shared: float, alone: float) -> Column:

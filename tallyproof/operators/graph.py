@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyproof.functions import facts as fx
 from tallyproof.functions.facts import KOREAN, Lexicon
 from tallyproof.operators.atoms import best_margin_pairs
-from tallyproof.operators.facts import CAUSAL, cosine
+from tallyproof.operators.facts import CAUSAL, TILE, duplicate_links
 from tallyproof.sources.tables import stored
 
 ALL_RELATIONS = (*CAUSAL, "same_metric", "same_period")
@@ -38,22 +38,28 @@ def number_signature(value: Column, unit: Column, period: Column, statement: Col
     return F.when(v != "", F.array(F.replace(v, F.lit(","), F.lit("")), fx.key_text(F.coalesce(unit, F.lit(""))), fx.key_text(F.coalesce(period, F.lit(""))))).otherwise(numbers)
 
 
-def near_duplicate_groups(atoms: DataFrame, duplicate: float = 0.92) -> DataFrame:
-    """doc_id, rep, member: groups of atoms (doc_id, ord, metric, signature, polarity, vec) linked by a cosine of at
-    least ``duplicate`` where metric, number signature and polarity agree or are blank; the first atom is the
-    representative. Atoms alone are groups too.
+def _duplicates(atoms: DataFrame, duplicate: float, size: int) -> DataFrame:
+    """duplicate_links of atoms whose signature is an array."""
+    clean = [fx.key_text(F.coalesce(c, F.lit(""))).alias(c) for c in ("metric", "polarity")]
+    signed = F.array_join("signature", "\x1f", "\x1e")
+    return duplicate_links(atoms.select("doc_id", "ord", *clean, signed.alias("signature"), "vec"), duplicate, size)
 
-    The number signature must be equal, so it is a join key beside the document.
-    """
-    x = atoms.select("doc_id", "ord", *[fx.key_text(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("metric", "polarity")], F.coalesce("signature", F.array().cast("array<string>")).alias("_s"), "vec")
-    y = x.select("doc_id", "_s", *[F.col(c).alias(f"{c}_r") for c in ("ord", "_metric", "_polarity", "vec")])
-    agree = [(F.col(f"_{c}") == "") | (F.col(f"_{c}_r") == "") | (F.col(f"_{c}") == F.col(f"_{c}_r")) for c in ("metric", "polarity")]
-    links = x.join(y, ["doc_id", "_s"]).filter((F.col("ord") < F.col("ord_r")) & agree[0] & agree[1] & (cosine(F.col("vec"), F.col("vec_r")) >= duplicate))
-    groups = components(links.select("doc_id", F.col("ord").alias("a"), F.col("ord_r").alias("b")))
-    named = x.select("doc_id", F.col("ord").alias("member")).join(groups.toDF("doc_id", "member", "rep"), ["doc_id", "member"], "left")
+
+def near_duplicate_groups(atoms: DataFrame, duplicate: float = 0.92, size: int = TILE) -> DataFrame:
+    """doc_id, rep, member: groups of atoms (doc_id, ord, metric, signature, polarity, vec) linked by a cosine of at
+    least ``duplicate`` where number signatures are equal and metric and polarity agree or are blank; the first atom is the
+    representative. Atoms alone are groups too. Links are found in tiles of two blocks of a document's atoms."""
+    links = _duplicates(atoms, duplicate, size).filter("a is not null").select("doc_id", "a", "b")
+    named = atoms.select("doc_id", F.col("ord").alias("member")).join(components(links).toDF("doc_id", "member", "rep"), ["doc_id", "member"], "left")
     return named.select("doc_id", F.coalesce("rep", "member").alias("rep"), "member")
 
 
+def blocked_duplicates(atoms: DataFrame, duplicate: float = 0.92, size: int = TILE) -> DataFrame:
+    """doc_id, blocked: how many pairs of a document's atoms are similar enough for near_duplicate_groups, but differ in
+    metric, polarity or numbers."""
+    return _duplicates(atoms, duplicate, size).groupBy("doc_id").agg(F.sum("blocked").alias("blocked"))
+
+
 def alias_links(groups: DataFrame) -> DataFrame:
     """Two edges, supports and same_metric, from each further member of a group to its representative."""
     x = groups.filter("rep <> member").select("doc_id", F.col("member").alias("source"), F.col("rep").alias("target"), F.explode(F.array(F.lit("supports"), F.lit("same_metric"))).alias("relation"))

@@ -132,8 +132,8 @@ def _groups(v: DataFrame) -> DataFrame:
     return stored(gr.near_duplicate_groups(v.withColumns({"polarity": F.lit(None).cast("string"), "signature": F.array().cast("array<string>")}), 0.4))
 
 
-def _member_pairs(v: DataFrame, groups: DataFrame) -> DataFrame:
-    return fa.member_pairs(v.withColumns({"period": F.lit(""), "subject": F.lit("")}), groups)
+def _member_pairs(v: DataFrame, groups: DataFrame, least: float | None = None) -> DataFrame:
+    return fa.member_pairs(v.withColumns({"period": F.lit(""), "subject": F.lit("")}), groups, least)
 
 
 @query(f"{_GROUPS} select doc_id, rep, member from groups")
@@ -141,6 +141,34 @@ def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(_vectors(spark, sf_dir))
 
 
+#: Atoms with numbers in their statements (one of three), a polarity that may be blank, and a metric that may be.
+_SIGNED = """
+with recursive v as (select vec_id // 50 as doc_id, vec_id as ord, vec_id % 3 as sign, case vec_id % 4 when 0 then '' when 1 then 'positive' when 2 then 'negative' else 'positive' end as polarity, case when vec_id % 5 = 0 then '' else label::varchar end as metric,
+  list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as vec from embeddings),
+near as (select a.doc_id, a.ord as a, b.ord as b, a.sign = b.sign and (a.metric = b.metric or a.metric = '' or b.metric = '') and (a.polarity = b.polarity or a.polarity = '' or b.polarity = '') as agree
+  from v a join v b on a.doc_id = b.doc_id and a.ord <> b.ord where list_dot_product(a.vec, b.vec) >= 0.25),
+walk(doc_id, ord, rep) as (select doc_id, ord, ord from v union select w.doc_id, n.b, w.rep from walk w join near n on w.doc_id = n.doc_id and w.ord = n.a where n.agree)"""
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("ord")
+    v = _vectors(spark, sf_dir).withColumn("metric", F.when(i % 5 == 0, "").otherwise(F.col("metric").cast("string")))
+    said = F.concat(F.lit("영업이익 "), i % 3, F.lit("조원"))
+    polarity = F.when(i % 4 == 0, F.lit(None)).when(i % 4 == 2, " Negative").otherwise("positive")
+    return v.withColumns({"polarity": polarity, "signature": gr.number_signature(F.lit(""), F.lit(""), F.lit(""), said)})
+
+
+@query(f"{_SIGNED} select doc_id, ord as member, min(rep) as rep from walk group by doc_id, ord")
+def signed_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups where numbers, metric and polarity keep similar atoms apart."""
+    return gr.near_duplicate_groups(_signed(spark, sf_dir), 0.25)
+
+
+@query(f"{_SIGNED} select doc_id, count(b)::bigint as blocked from (select distinct doc_id from v) left join (select * from near where a < b and not agree) using (doc_id) group by doc_id")
+def blocked_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.blocked_duplicates(_signed(spark, sf_dir), 0.25)
+
+
 @query(f"{_GROUPS} select doc_id, member as source, rep as target, unnest(['supports', 'same_metric']) as relation, 0.92::double as confidence from groups where rep <> member")
 def alias_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.alias_links(_groups(_vectors(spark, sf_dir)))
@@ -155,7 +183,7 @@ def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_PAIRS} select doc_id, source, target, round(similarity, 6) as similarity, array_to_string(reasons, ',') as reasons from gated where len(reasons) > 0")
 def pair_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    kept = fa.pair_gate(_member_pairs(v, _groups(v)), 0.3, 0.35)
+    kept = fa.pair_gate(_member_pairs(v, _groups(v), 0.3), 0.3, 0.35)
     return kept.withColumns({"similarity": F.round("similarity", 6), "reasons": F.array_join("reasons", ",")})
 
 
