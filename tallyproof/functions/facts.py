@@ -227,6 +227,12 @@ def money_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MONEY), F.lit(0))
 
 
+def value_step(won: Column) -> Column:
+    """A number for values of about one size: values that same_won takes as one are in the same step or in neighbouring
+    ones."""
+    return F.floor(F.signum(won) * F.log1p(F.abs(won)) / 1e-6)
+
+
 def money_hits(text: Column, old: Column) -> Column:
     """How many money tokens of ``text`` are worth ``old``."""
     return F.size(F.filter(money_tokens(text), lambda t: same_won(won_of(t), old)))

@@ -149,22 +149,50 @@ def related_context(edges: DataFrame, atoms: DataFrame, most: int = 12, chunks:
     return out.select("doc_id", "atom_id", F.coalesce("statements", F.array().cast("array<string>")).alias("statements"), F.coalesce("chunk_nos", F.array().cast("array<int>")).alias("chunk_nos"))
 
 
+#: Characters of the keys by which texts of one or two words are looked up.
+GRAM = 8
+
+
+def containing_chunks(asks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The asks (doc_id, atom_id, needle) with chunk_no: every chunk (doc_id, chunk_no, text) of the document that holds the
+    needle. Empty needles are in none.
+
+    A chunk that holds a needle has all its inner words as words; a needle without inner ones has runs of characters that
+    the chunk has too. These are the keys of an inverted index over the wanted ones only; each needle is asked by the key that
+    the fewest chunks of its document have, and only these chunks are searched.
+    """
+    words = F.split("needle", r"(?U)\s+", -1)
+    inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    width = F.least(F.length("needle"), F.lit(GRAM))
+    grams = lambda text, n: F.array_distinct(F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), n, F.lit("}))")), F.lit(1)))
+    a = asks.filter("needle <> ''").withColumn("_n", F.when(F.size(inner) == 0, width).otherwise(0))
+    a = stored(a.withColumn("_keys", F.when(F.col("_n") == 0, inner).otherwise(grams(F.col("needle"), F.col("_n")))))
+    wanted = a.select(*asks.columns, "_n", F.explode("_keys").alias("_key"))
+    widths = a.select("doc_id", "_n").distinct()
+    spoken = chunks.join(widths, "doc_id").select("doc_id", "chunk_no", "_n", F.explode(F.when(F.col("_n") == 0, F.array_distinct(F.split("text", r"(?U)\s+", -1))).otherwise(grams(F.col("text"), F.col("_n")))).alias("_key"))
+    index = stored(spoken.join(wanted.select("doc_id", "_n", "_key").distinct(), ["doc_id", "_n", "_key"], "left_semi"))
+    many = index.groupBy("doc_id", "_n", "_key").agg(F.count("*").alias("_many"))
+    rarest = wanted.join(many, ["doc_id", "_n", "_key"], "left").groupBy(*asks.columns, "_n").agg(F.min(F.struct(F.coalesce("_many", F.lit(0)).alias("m"), F.col("_key").alias("k"))).alias("_r"))
+    found = rarest.filter("_r.m > 0").withColumn("_key", F.col("_r.k")).join(index, ["doc_id", "_n", "_key"]).select(*asks.columns, "chunk_no")
+    return found.join(chunks, ["doc_id", "chunk_no"]).filter(F.col("text").contains(F.col("needle"))).select(*asks.columns, "chunk_no")
+
+
 def atom_anchor(atoms: DataFrame, chunks: DataFrame, least: int = 4) -> DataFrame:
     """doc_id, atom_id, chunk_no, tier of the chunk that holds an atom's quote: its own (0), else the first that does
     (1), else the first that holds the quote's longest number of ``least`` characters or more (2), else its own (3;
-    null where there is none). Only atoms that their own chunk does not hold meet the document's chunks."""
+    null where there is none). Only atoms that their own chunk does not hold are looked for in the document's others."""
     quote = F.coalesce(F.nullif(fx.trimmed(F.coalesce("source_quote", F.lit(""))), F.lit("")), F.col("statement"))
-    a = atoms.select("doc_id", "atom_id", "chunk_no", quote.alias("_q")).join(chunks.select("doc_id", "chunk_no", F.coalesce("raw_text", "text").alias("_own")), ["doc_id", "chunk_no"], "left")
+    c = chunks.select("doc_id", "chunk_no", F.coalesce("raw_text", "text").alias("text"))
+    a = atoms.select("doc_id", "atom_id", "chunk_no", quote.alias("_q")).join(c.withColumnRenamed("text", "_own"), ["doc_id", "chunk_no"], "left")
     held = F.coalesce(F.col("_own").contains(F.col("_q")), F.lit(False))
     tokens = fx.value_tokens(F.col("_q"))
     probe = F.element_at(F.array_sort(F.transform(tokens, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t")))), -1)
-    a = a.withColumns({"_held": held, "_probe": F.when(F.size(tokens) > 0, F.when(probe["n"] >= least, probe["t"]))})
-    lost = a.filter("not _held").select("doc_id", "atom_id", "_q", "_probe")
-    c = chunks.select("doc_id", F.col("chunk_no").alias("_at"), F.coalesce("raw_text", "text").alias("_t"))
-    tier = F.when(F.col("_t").contains(F.col("_q")), 1).when(F.col("_t").contains(F.col("_probe")), 2)
-    found = lost.join(c, "doc_id").withColumn("tier", tier).filter("tier is not null").groupBy("doc_id", "atom_id").agg(F.min(F.struct("tier", "_at")).alias("_f"))
+    a = stored(a.withColumns({"_held": held, "_probe": F.when(F.size(tokens) > 0, F.when(probe["n"] >= least, probe["t"])), "_here": F.col("_own").isNotNull()}).drop("_own"))
+    lost = a.filter("not _held")
+    asks = lost.select("doc_id", "atom_id", F.lit(1).alias("tier"), F.col("_q").alias("needle")).unionByName(lost.filter("_probe is not null").select("doc_id", "atom_id", F.lit(2).alias("tier"), F.col("_probe").alias("needle")))
+    found = containing_chunks(asks, c).groupBy("doc_id", "atom_id").agg(F.min(F.struct("tier", F.col("chunk_no").alias("_at"))).alias("_f"))
     x = a.join(found, ["doc_id", "atom_id"], "left")
-    return x.select("doc_id", "atom_id", F.when(F.col("_held"), F.col("chunk_no")).otherwise(F.coalesce("_f._at", F.when(F.col("_own").isNotNull(), F.col("chunk_no")))).alias("chunk_no"), F.when(F.col("_held"), 0).otherwise(F.coalesce("_f.tier", F.lit(3))).alias("tier"))
+    return x.select("doc_id", "atom_id", F.when(F.col("_held"), F.col("chunk_no")).otherwise(F.coalesce("_f._at", F.when(F.col("_here"), F.col("chunk_no")))).alias("chunk_no"), F.when(F.col("_held"), 0).otherwise(F.coalesce("_f.tier", F.lit(3))).alias("tier"))
 
 
 # ------------------------------------------------------------------ propagation

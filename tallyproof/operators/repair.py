@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyproof.functions import facts as fx
 from tallyproof.functions.amounts import ANNUAL, BLOCK_FACTORS, FACTORS, FIRST_HALF, rendered
 from tallyproof.operators.consensus import consensus_asof
-from tallyproof.operators.review import fits_context
+from tallyproof.operators.review import fits_context, with_value
 from tallyproof.operators.forecast import headers, identity_cells, parsed, period_blocks, scenario_blocks, value_lines
 
 NAMES = ("up", "mid", "down")
@@ -218,9 +218,9 @@ def restatement_matches(context: DataFrame, mappings: DataFrame) -> DataFrame:
     mapping (doc_id, mapping_no, year, label, old_won, new_won) whose old value they repeat, in any unit, for its year and
     scenario."""
     lines = context.filter(F.col("line").contains("영업이익") & ~F.col("in_fence") & F.col("line").rlike(fx.MONEY)).select("doc_id", "line_no", "line", "active_year")
-    x = lines.join(mappings.select("doc_id", "mapping_no", "year", "label", "old_won", "new_won"), "doc_id")
-    x = x.filter(fits_context(F.col("year"), F.col("label"), F.col("line"), F.col("active_year")) & (fx.money_hits(F.col("line"), F.col("old_won")) > 0))
-    return x.select("doc_id", "line_no", "line", "mapping_no", "old_won", "new_won")
+    x = with_value(lines, F.col("line"), mappings.select("doc_id", "mapping_no", "year", "label", "old_won", "new_won"))
+    x = x.filter(fits_context(F.col("year"), F.col("label"), F.col("line"), F.col("active_year")))
+    return x.select("doc_id", "line_no", "line", "mapping_no", "old_won", "new_won").distinct()
 
 
 def restatement_values(matches: DataFrame) -> DataFrame:

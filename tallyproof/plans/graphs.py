@@ -46,11 +46,21 @@ def directed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.directed_edges(e.unionByName(noise).unionByName(odd), atoms).select("doc_id", "source", "target", "relation", "confidence")
 
 
-@query(with_facts("""select doc_id, atom_id, (case when year % 2 = 1 then 1 else 0 end)::int as tier, chunk_no::int as chunk_no from atoms where chunk_no > 2"""))
+#: A table atom quotes its row with the column names put in, which no chunk holds as such: the first longest number of the
+#: row is looked for in all chunks as they stand.
+@query(with_facts("""
+, cells as (select doc_id, 1 as chunk_no, '매출액' as name, k, year, case when err <> 5 then rev || '억원' end as v from figures union all select doc_id, 2, '영업이익', k, year, case when err <> 5 then op || '억원' end from figures),
+said as (select doc_id, chunk_no, '| ' || any_value(name) || ' | ' || string_agg(coalesce(v, '-'), ' | ' order by k) || ' |' as raw, list_filter(flatten(list([year::varchar, v] order by k)), lambda x: x is not null) as tokens from cells group by doc_id, chunk_no),
+probes as (select doc_id, chunk_no as place, list_filter(tokens, lambda t: len(t) = list_max(list_transform(tokens, lambda u: len(u))))[1] as probe from said),
+raws as (select doc_id, chunk_no, raw from said union all
+  select doc_id, k + 2, year || '년 매출액은 ' || rev || '억원, 영업이익은 ' || op || '억원이다. ' || year || '년 영업이익률은 ' || m10 // 10 || '.' || m10 % 10 || '%이다.' || chr(10) || year || '년 환율 영향 때문에 매출액이 달라졌다.' || chr(10) || '  ' || year || '년 매출액은 개선될 전망이다.' from figures),
+found as (select doc_id, place, min(chunk_no) as spot from probes join raws using (doc_id) where contains(raw, probe) group by doc_id, place)
+select a.doc_id, a.atom_id, (case when a.chunk_no <= 2 then 2 when a.year % 2 = 1 then 1 else 0 end)::int as tier, (case when a.chunk_no <= 2 then spot else a.chunk_no end)::int as chunk_no
+from atoms a left join found f on f.doc_id = a.doc_id and f.place = a.chunk_no""").replace(")\n\n, cells as", "),\ncells as"))
 def atom_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence atoms; those of odd years have lost their chunk and point to the first one."""
+    """All atoms; those of odd years have lost their chunk and point to the first one."""
     chunks = chunks_of(spark, sf_dir)
-    atoms = stored(at.merge_atoms(at.mandatory_atoms(chunks))).filter("chunk_no > 2")
+    atoms = stored(at.merge_atoms(at.mandatory_atoms(chunks)))
     lost = F.substring("statement", 1, 4).cast("int") % 2 == 1
     return gr.atom_anchor(atoms.withColumn("chunk_no", F.when(lost, 1).otherwise(F.col("chunk_no"))), chunks).select("doc_id", "atom_id", "tier", "chunk_no")
 

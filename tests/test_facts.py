@@ -126,3 +126,31 @@ def test_tenths_round_the_exact_value(spark):
     values = [130.35, 14.850000000000001, 430.34999999999997, 0.25, 0.75, -0.25, -2.35, 0.0, 1e18, 14.85] + [rng.randrange(1, 10**6) / 20 for _ in range(500)] + [rng.uniform(-1e4, 1e4) for _ in range(200)]
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", fx.to_tenths(F.col("x")).alias("y")).collect()
     assert [(r.x, r.y) for r in got] == [(v, round(v, 1)) for v in values]
+
+
+def test_quotes_are_found_by_rare_keys(spark):
+    import random
+
+    from tallyproof.operators import graph as gr
+
+    rng = random.Random(3)
+    words = ["ab", "abc", "1,234억원", "5%", "매출액은", "x", "yz", "a b", "｡"]
+    chunks = [(d, k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for d in (1, 2) for k in range(1, 30)] + [(1, 40, None), (1, 41, "")]
+    asks = []
+    for i in range(300):
+        d, _, text = rng.choice(chunks[:-2])
+        a = rng.randint(0, len(text))
+        asks.append((d, i, rng.choice([text[a : a + rng.randint(0, 25)], "not there at all", "zz"])))
+    got = gr.containing_chunks(spark.createDataFrame(asks, "doc_id long, atom_id long, needle string"), spark.createDataFrame(chunks, "doc_id long, chunk_no int, text string")).collect()
+    want = [(d, i, n, k) for d, i, n in asks for e, k, t in chunks if n and d == e and t is not None and n in t]
+    assert sorted((r.doc_id, r.atom_id, r.needle, r.chunk_no) for r in got) == sorted(want) and len(want) > 300
+
+
+def test_values_meet_within_their_tolerance(spark):
+    from tallyproof.operators import review as rv
+
+    texts = [(1, 1, "영업이익 35조원과 350,000억원, 3조원"), (1, 2, "영업이익 -35조원"), (2, 1, "35조원"), (1, 3, "0.5원, 0원"), (1, 4, "없음")]
+    maps = [(1, 1, 35e12), (1, 2, 35e12 * (1 + 5e-11)), (1, 3, 35e12 * (1 + 5e-10)), (1, 4, -35e12), (1, 5, 0.5), (1, 6, 0.0), (2, 7, None)]
+    rows = spark.createDataFrame(texts, "doc_id long, line_no int, line string")
+    got = rv.with_value(rows, F.col("line"), spark.createDataFrame(maps, "doc_id long, mapping_no int, old_won double")).collect()
+    assert sorted((r.line_no, r.mapping_no) for r in got) == [(1, 1), (1, 1), (1, 2), (1, 2), (2, 4), (3, 5), (3, 6)]
