@@ -6,10 +6,12 @@ period, polarity, confidence, section, unit_type, extraction_rule, mandatory.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyproof.functions import facts as fx
 from tallyproof.functions.facts import KOREAN, Lexicon
+from tallyproof.operators.passes import ordered_pass
 
 _KEY = ("doc_id", "chunk_no")
 _RECORD = "struct<sentence:int,rule:int,at:int,statement:string,source_quote:string,metric:string,value:string,unit:string,period:string,unit_type:string,extraction_rule:string,confidence:double>"
@@ -144,18 +146,30 @@ def coerce_atoms(raw: DataFrame, lx: Lexicon = KOREAN) -> DataFrame:
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """doc_id, ord, atom_id: in order, the own id if it is free, else the first free number from the row's place (or from
-    the one after it, where the own id is taken). A fold over one document's rows."""
-    listed = rows.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")).cast("long")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_i", "ord", "_own"))).alias("_rows"))
-    named = lambda n: F.concat(F.lit("a"), F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0")))
-
-    def step(used: Column, r: Column) -> Column:
-        taken = F.array_contains(used, r["_own"])
-        start = r["_i"] + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0)
-        free = F.get(F.filter(F.transform(F.sequence(start, start + F.size(used)), named), lambda n: ~F.array_contains(used, n)), F.lit(0))
-        return F.array_append(used, F.when(r["_own"].isNotNull() & ~F.coalesce(taken, F.lit(False)), r["_own"]).otherwise(free))
-
-    ids = F.aggregate("_rows", F.array().cast("array<string>"), step)
-    return listed.select("doc_id", F.explode(F.arrays_zip(F.col("_rows.ord").alias("o"), ids.alias("a"))).alias("z")).select("doc_id", F.col("z.o").alias("ord"), F.col("z.a").alias("atom_id"))
+    the one after it, where the own id is taken)."""
+
+    def start():
+        used: set[str] = set()
+        onward: dict[int, int] = {}  # from a taken number to one that may be free
+        place = 0
+
+        def name(own: str | None) -> str:
+            nonlocal place
+            place += 1
+            if own is not None and own not in used:
+                used.add(own)
+                return own
+            n, seen = place + (own is not None), []
+            while f"a{n:03d}" in used:
+                seen.append(n)
+                n = onward.get(n, n + 1)
+            onward.update(dict.fromkeys(seen, n))
+            used.add(f"a{n:03d}")
+            return f"a{n:03d}"
+
+        return name
+
+    return ordered_pass(rows.select("doc_id", "ord", "_own"), ["doc_id"], ["ord"], ["_own"], start, "atom_id", "string", pa.string()).drop("_own")
 
 
 def seed_atoms(findings: DataFrame, most: int = 80, lx: Lexicon = KOREAN) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyproof.functions import facts as fx
 from tallyproof.functions.facts import KOREAN, Lexicon
 from tallyproof.operators.atoms import best_margin_pairs
 from tallyproof.operators.facts import CAUSAL, TILE, duplicate_links
+from tallyproof.operators.passes import ordered_pass
 from tallyproof.sources.tables import stored
 
 ALL_RELATIONS = (*CAUSAL, "same_metric", "same_period")
@@ -242,18 +244,22 @@ def priority_order(atoms: DataFrame, lx: Lexicon = KOREAN) -> DataFrame:
 
 def greedy_packing(items: DataFrame, group: list[str], order: list[str], size: str, most: int = 128, room: int = 24_000) -> DataFrame:
     """items with batch_no (from 1 in each group): items in order fill a batch until ``most`` of them are in it or the
-    next would pass ``room``; an item larger than that is a batch of its own. A fold over the sizes of one group."""
-    keyed = items.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_size")))).alias("_items"))
-    start = F.expr("struct(1 as batch, 0 as n, 0L as used, cast(array() as array<int>) as out)")
-
-    def add(a: Column, i: Column) -> Column:
-        new = (a["n"] > 0) & ((a["n"] >= most) | (a["used"] + i["_size"] > room))
-        batch = a["batch"] + new.cast("int")
-        return F.struct(batch.alias("batch"), (F.when(new, 0).otherwise(a["n"]) + 1).alias("n"), (F.when(new, F.lit(0).cast("long")).otherwise(a["used"]) + i["_size"]).alias("used"), F.array_append(a["out"], batch).alias("out"))
-
-    batches = F.aggregate("_items", start, add, lambda a: a["out"])
-    placed = keyed.select(*group, F.explode(F.arrays_zip(F.col("_items").alias("i"), batches.alias("b"))).alias("z")).select(*group, *[F.col(f"z.i.{c}").alias(c) for c in order], F.col("z.b").alias("batch_no"))
-    return items.join(placed, [*group, *order])
+    next would pass ``room``; an item larger than that is a batch of its own. A null size counts as nothing."""
+
+    def start():
+        batch, n, used = 1, 0, 0
+
+        def place(size: int | None) -> int:
+            nonlocal batch, n, used
+            size = int(size or 0)
+            if n and (n >= most or used + size > room):
+                batch, n, used = batch + 1, 0, 0
+            n, used = n + 1, used + size
+            return batch
+
+        return place
+
+    return ordered_pass(items, group, order, [size], start, "batch_no", "int", pa.int32())
 
 
 def batch_edges(edges: DataFrame, batches: DataFrame, most: int = 256) -> DataFrame:

@@ -154,3 +154,19 @@ def test_values_meet_within_their_tolerance(spark):
     rows = spark.createDataFrame(texts, "doc_id long, line_no int, line string")
     got = rv.with_value(rows, F.col("line"), spark.createDataFrame(maps, "doc_id long, mapping_no int, old_won double")).collect()
     assert sorted((r.line_no, r.mapping_no) for r in got) == [(1, 1), (1, 1), (1, 2), (1, 2), (2, 4), (3, 5), (3, 6)]
+
+
+def test_a_large_group_is_packed_and_numbered_in_one_pass(spark):
+    n = 300_000
+    items = spark.range(n).selectExpr("id div 299999 as doc_id", "id as ord", "id % 7 as size")
+    got = gr.greedy_packing(items, ["doc_id"], ["ord"], "size", 5, 12).groupBy("doc_id", "batch_no").agg(F.count("*").alias("n"), F.sum("size").alias("used"), F.min("ord").alias("first")).orderBy("doc_id", "batch_no").collect()
+    assert all(r.n <= 5 and r.used <= 12 for r in got) and sum(r.n for r in got) == n and got[-1].doc_id == 1 and got[-1].batch_no == 1
+    batch, count, used = 1, 0, 0
+    for i in range(1000):
+        if count and (count >= 5 or used + i % 7 > 12):
+            batch, count, used = batch + 1, 0, 0
+        count, used = count + 1, used + i % 7
+    assert max(r.batch_no for r in got if r.first < 1000 and r.doc_id == 0) == batch
+
+    named = at._numbered(spark.range(n).selectExpr("0L as doc_id", "id as ord", "case when id % 3 = 0 then concat('a', lpad(string(id div 2 + 1), greatest(3, length(string(id div 2 + 1))), '0')) end as _own"))
+    assert named.select("atom_id").distinct().count() == n
