@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyproof.operators import consensus as con, forecast as fc, lines as ln, repair as rp, review as rv, runs
 from tallyproof.plans.registry import query
-from tallyproof.sources.reports import case_reports, reports, titled_cases, with_views
+from tallyproof.sources.reports import case_reports, reports, titled_cases, undated_reports, with_views
 from tallyproof.sources.sinks import publish, published
 from tallyproof.sources.tables import job_tables, shared_folder, stored
 
@@ -119,6 +119,22 @@ def block_year_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return con.block_years(lines, _inside(lines)).select("doc_id", _whole("block_no"), F.col("forecast_year").cast("int").alias("year"), "year_source", "year_conflict")
 
 
+_UNDATED = "(select *, 10 * (row_number() over (partition by doc_id order by year) - 1) as above from written)"
+
+
+@query(with_views(f"select doc_id, year::int as year, (above + 2)::int as line_no, make_date(year::int, 1, 1) as entry_date, annual::double as amount_won, 'prose_consensus' as source from {_UNDATED}"))
+def undated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A consensus without dates counts for its heading's year."""
+    lines = stored(fc.parsed(ln.doc_lines(undated_reports(spark, sf_dir))))
+    return con.entries(lines, _inside(lines)).select("doc_id", F.year("entry_date").alias("year"), "line_no", "entry_date", "amount_won", "source")
+
+
+@query(with_views(f"select doc_id, year::int as year, (above + 6)::int as line_no from {_UNDATED}"))
+def concrete_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that a more concrete one follows are left out."""
+    return fc.headers(fc.parsed(ln.doc_lines(undated_reports(spark, sf_dir)))).select("doc_id", _whole(), "line_no")
+
+
 @query(with_views("select doc_id, arg_max(amount_won, year * 10 + m)::double as amount_won, max(make_date(year::int, m::int, 28)) as entry_date from consensus group by doc_id"))
 def latest_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return con.latest_consensus(_blocks(_lines(spark, sf_dir)))

@@ -93,3 +93,12 @@ def titled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = spark.sql("select doc_id, min(year) as _y from book group by doc_id")
     title = F.concat(F.lit("# "), F.col("_y"), F.lit("년 영업이익 전망 시나리오 분석\n" + "비고\n" * 10))
     return texts.join(first, "doc_id").select("doc_id", F.concat(title, "text").alias("text"))
+
+
+def undated_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: ten lines for each year, a consensus without any date, a heading that only leads to the concrete one two
+    lines below, and the three cases as written."""
+    views(spark, sf_dir)
+    rows = spark.sql("""select doc_id, year, concat('## ', year, '년 최근 컨센서스 전망치 분석\n', case when doc_id % 2 = 0 then '현재 ' else '' end, '컨센서스는 ', annual, '원\n\n### ', year, '년 영업이익 전망\n\n#### ', year, '년 연간 영업이익 전망\n- 상방: ', up_written,
+        '원\n- 중간: ', mid_written, '원\n- 하방: ', down_written, '원\n\n') as section from written""")
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("year", "section"))), lambda s: s["section"]), "").alias("text"))
