@@ -123,7 +123,7 @@ class _Model:
         self.rows0 = sum(sizes)
         self.order0 = np.zeros(lanes * self.rows0, dtype=np.complex128)  # 16 one-byte counts each
         sets = np.concatenate([_first_weights(d) for d in range(depth)])
-        self.weights = np.ascontiguousarray(np.broadcast_to(sets, (lanes, *sets.shape))).view(np.complex128).ravel()
+        self.weights = np.broadcast_to(sets, (lanes, *sets.shape)).copy().view(np.complex128).ravel()
         lane = np.arange(lanes, dtype=np.int64)
         self.lane0, self.lane_sets = lane * self.rows0, lane * len(sets)
         self.lane_slots = [lane << bits for bits in _SLOTS_BITS]
