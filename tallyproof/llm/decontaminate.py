@@ -39,7 +39,7 @@ def item_windows(items: list[tuple[object, str | None]], words: int) -> list[tup
     for item, text in items:
         w = normal_words(text)
         for i in range(max(1, len(w) - words + 1) if w else 0):
-            owners.setdefault(b" ".join(w[i : i + words]), set()).add(str(item))
+            owners.setdefault(b" ".join(w[i : i + words]), set()).update(() if item is None else (str(item),))
     return [(f" {k.decode('latin-1')} ", k.count(b" ") + 1, tuple(sorted(v))) for k, v in owners.items()]
 
 
@@ -119,7 +119,8 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, cfg: Windows = Windows
     _items (ids that occur).
 
     Null and empty texts have no words and no hits. An item shorter than a window is one window, an item without
-    words none. Repeated rows and items are scanned as they come; rows with equal item ids are one item.
+    words none. Repeated rows and items are scanned as they come; rows with equal item ids are one item. The windows of
+    an item with a null id hit words, but no item is named for them. Without items nothing is hit.
     """
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // cfg.block_bytes + 1
