@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyproof.llm.common import checkpointed, word_count
+from tallyproof.llm.common import checkpointed, total_bytes, word_count
 
 _CELLS = 4096
 
@@ -24,12 +24,14 @@ _CELLS = 4096
 @dataclass(frozen=True)
 class Mix:
     """weights: of the sources in code-point order, repeating, null last. most_copies: a target's cap as a multiple of
-    its source's size. levels: of the splitting tree; there are 2**levels shards. seed: names the permutation."""
+    its source's size. levels: of the splitting tree; there are 2**levels shards. seed: names the permutation. part_bytes: of
+    text behind one piece of a shard; a shard has as many pieces as the data needs."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     most_copies: int = 3
     levels: int = 4
     seed: str = "mix"
+    part_bytes: int = 64 << 20
 
 
 def _place(doc_id: Column, cfg: Mix) -> Column:
@@ -138,8 +140,8 @@ def mix(docs: DataFrame, cfg: Mix = Mix()) -> DataFrame:
 def mixed_documents(docs: DataFrame, cfg: Mix = Mix(), shard: str | None = None) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is drawn, with its columns (and its shard, if named).
 
-    The document at a cut is drawn in its last pass if at least half of it is taken. Rows lie by shard and within a
-    shard in the order of a hash of document and pass.
+    The document at a cut is drawn in its last pass if at least half of it is taken. Within a shard rows are ordered by a
+    hash of document and pass; a shard is cut into pieces along that order, so that no task holds a whole large one.
     """
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -149,6 +151,9 @@ def mixed_documents(docs: DataFrame, cfg: Mix = Mix(), shard: str | None = None)
     drawn = drawn.filter("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.posexplode(whole).alias("_pass", "_shard"))
     same = F.col(key).eqNullSafe(F.col("_doc")) & F.col(f"c{names.index('source')}").eqNullSafe(F.col("_source")) & (word_count(F.col(f"c{names.index('text')}")) == F.col("_size"))
     out = own.join(drawn, same)
-    out = out.repartition("_shard").sortWithinPartitions("_shard", F.md5(F.concat_ws(":", F.lit(cfg.seed), "_doc", "_pass")))
+    pieces = total_bytes(docs) // (cfg.part_bytes << cfg.levels) + 1
+    out = out.withColumn("_key", F.md5(F.concat_ws(":", F.lit(cfg.seed), "_doc", "_pass")))
+    out = out.withColumn("_piece", F.expr(f"cast(conv(substr(_key, 1, 6), 16, 10) as bigint) * {pieces} div {16**6}"))
+    out = out.repartition(pieces << cfg.levels, "_shard", "_piece").sortWithinPartitions("_shard", "_key")
     columns = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
     return out.select(*columns, *([F.col("_shard").alias(shard)] if shard else []))

@@ -175,3 +175,43 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert sorted((r.doc_id, r.ids_crc32) for r in got) == want
     starts = sorted((r.start, r.n_tokens) for r in got)
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_items_without_ids_hit_words_and_no_benchmark_hits_nothing(spark):
+    from tallyproof.llm.decontaminate import clean_documents, digest
+
+    docs = spark.createDataFrame([(1, "some words before a b c d e f g h i j and after"), (2, "None of it")], "doc_id long, text string")
+    items = [(None, "a b c d e f g h i j"), ("None", "none of it"), ("x", "a b c d e f g h i j k")]
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in digest(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {1: (10, 1, True), 2: (3, 1, True)}
+    none = spark.createDataFrame([], "item_id string, text string")
+    assert {(r.n_hit, r.n_items, r.contaminated) for r in digest(docs, none).collect()} == {(0, 0, False)} and clean_documents(docs, none).count() == 2
+
+
+def test_a_shard_is_cut_into_pieces(spark):
+    from tallyproof.llm.mixing import Mix, mixed_documents
+
+    docs = spark.createDataFrame([(i, f"text {i} " * 40, "abc"[i % 3]) for i in range(300)], DOCS)
+    rows = lambda cfg: sorted(map(tuple, mixed_documents(docs, cfg, "shard").collect()))
+    whole, cut = Mix(), Mix(part_bytes=300)
+    assert rows(cut) == rows(whole)
+    assert mixed_documents(docs, cut).rdd.getNumPartitions() > mixed_documents(docs, whole).rdd.getNumPartitions()
+
+
+def test_pipeline_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{j}" for j in range(80)), "h") for i in range(12)] + [(50, None, None), (51, "", "h")], DOCS)
+    for name, table in (("empty", docs.limit(0)), ("plain", docs), ("wide", docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES]))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    run = lambda name: sorted(tuple(r) for r in cp.run(spark, f"{tmp_path}/{name}").select("doc_id", "n_tokens", "ids_crc32").collect())
+    assert run("empty") == [] and run("plain") == run("wide") and run("plain")
+
+
+def test_a_single_block_is_coded(spark):
+    from tallyproof.llm.token_codec import decode_blocks, encode_blocks
+
+    for n in (0, 1, 5, 300):
+        ids = np.arange(n, dtype=np.uint32) % 7 * 1000
+        assert [x.tolist() for x in decode_blocks(encode_blocks([ids]), [n])] == [ids.tolist()]
