@@ -68,19 +68,8 @@ def test_substring_dedup_against_brute_force(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
 
 
-def test_jaccard_components_against_brute_force(spark):
-    from tallyproof.llm.jaccard_join import Shingles, jaccard_components
-    from tallyproof.llm.winnow import Sizes
-
-    rng = random.Random(3)
-    rows = [(1, None), (2, ""), (3, "A b"), (4, "a  B"), (5, "a b c d e"), (6, LONG)]
-    for i in range(12):
-        base = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice((6, 20, 90)))]
-        for _ in range(5):
-            copy = list(base)
-            for _ in range(rng.randint(0, 3)):
-                copy[rng.randrange(len(copy))] = "x" + str(rng.randint(0, 9))
-            rows.append((10 + len(rows), " ".join(copy)))
+def _linked(rows):
+    """doc_id -> (shingles, component) by comparing all pairs."""
     sets = {}
     for k, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
@@ -96,8 +85,43 @@ def test_jaccard_components_against_brute_force(spark):
         same = len(sets[a] & sets[b])
         if same and 100 * same >= 75 * len(sets[a] | sets[b]):
             root[max(find(a), find(b))] = min(find(a), find(b))
-    want = {k: (len(sets[k]), find(k)) for k in sets}
+    return {k: (len(sets[k]), find(k)) for k in sets}
+
+
+def test_jaccard_components_against_brute_force(spark):
+    from tallyproof.llm.jaccard_join import Shingles, jaccard_components
+    from tallyproof.llm.winnow import Sizes
+
+    rng = random.Random(3)
+    rows = [(1, None), (2, ""), (3, "A b"), (4, "a  B"), (5, "a b c d e"), (6, LONG)]
+    for i in range(12):
+        base = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice((6, 20, 90)))]
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = "x" + str(rng.randint(0, 9))
+            rows.append((10 + len(rows), " ".join(copy)))
     got = jaccard_components(_docs(spark, rows), Shingles(crowd=3, sizes=Sizes(3000, 30000))).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _linked(rows)
+
+
+@pytest.mark.parametrize("group,depth", [(256, 3), (3, 1), (3, 3)])
+def test_jaccard_components_of_one_passage_in_all_texts(spark, group, depth):
+    """Texts around passages that most of them share, few of them similar: groups that only further shingles or tiles split."""
+    from tallyproof.llm.jaccard_join import Shingles, jaccard_components
+    from tallyproof.llm.winnow import Sizes
+
+    rng = random.Random(5)
+    passage, other = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        own = [f"w{rng.randint(0, 40)}" for _ in range(rng.choice((0, 4, 8, 12, 20)))]
+        middle = rng.choice((passage, passage[:40] + other, passage[20:] + other, other + passage))
+        at = rng.choice((0, 0, len(own)))
+        rows.append((i + 1, " ".join([*own[:at], *middle, *own[at:]])))
+    want = _linked(rows)
+    assert 5 < len({c for _, c in want.values()}) < 55
+    got = jaccard_components(_docs(spark, rows), Shingles(crowd=2, group=group, depth=depth, sizes=Sizes(3000, 30000))).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
