@@ -9,9 +9,8 @@ whole sets.
 
 Segments that many documents share are skipped: a pair found through them only consists of two documents that have too
 few other segments, and these documents are joined by a prefix filter on their rarest shingles. The members of a group
-meet its leader first; what is still apart then meets in the group if it is small, is split by the next common shingle
-if it is large, and is dealt in tiles of two blocks where further shingles do not split it. Equal sets are one node
-throughout. Links inside a component that is known already
+meet its leader first; of what is still apart then, members outside the group's largest component meet the others, so
+that a large group of copies and few strangers makes few pairs. Equal sets are one node throughout. Links inside a component that is known already
 need no verification.
 """
 
@@ -36,15 +35,12 @@ _SALT = np.uint64(0xA0761D6478BD642F)
 @dataclass(frozen=True)
 class Shingles:
     """words: of a shingle; percent: least similarity. crowd: a signature of more nodes is left to the prefix filter.
-    spare: share of segments beyond the pigeonhole's need, so that common ones can be skipped. group, depth: a prefix group
-    of more open members is split by one more common shingle, up to depth of them, then dealt in blocks of that many."""
+    spare: share of segments beyond the pigeonhole's need, so that common ones can be skipped."""
 
     words: int = 5
     percent: int = 75
     crowd: int = 48
     spare: float = 0.35
-    group: int = 256
-    depth: int = 3
     sizes: Sizes = Sizes(bucket=12 << 20)
 
 
@@ -371,10 +367,10 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
 
 
-def _reach(cfg: Shingles, common: int = 1) -> str:
-    """Condition on places k, _ka of the last of some common tokens in nodes of n, _na shingles: if these are their first
-    common ones, they share no more than these and what follows in either, which must be enough."""
-    return f"100 * least(n, _na) >= {cfg.percent} * greatest(n, _na) and {100 + cfg.percent} * (least(n - k, _na - _ka) + {common}) >= {cfg.percent} * (n + _na)"
+def _reach(cfg: Shingles) -> str:
+    """Condition on places k, _ka of a common token in nodes of n, _na shingles: if it is their first common one, they
+    share no more than what follows it in either, which must be enough."""
+    return f"100 * least(n, _na) >= {cfg.percent} * greatest(n, _na) and {100 + cfg.percent} * (least(n - k, _na - _ka) + 1) >= {cfg.percent} * (n + _na)"
 
 
 def _leader_pairs(groups: DataFrame, cfg: Shingles) -> DataFrame:
@@ -385,59 +381,26 @@ def _leader_pairs(groups: DataFrame, cfg: Shingles) -> DataFrame:
     return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def _apart_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, node, n, k, component, members: the groups whose members are in more than one component."""
-    placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("members"))
-    return checkpointed(placed.join(open_.filter("_lo < _hi").select("token", "members"), "token"))
-
+def _open_pairs(groups: DataFrame, labels: DataFrame, cfg: Shingles) -> DataFrame:
+    """a, b: members of one token group that are still in different components and may be similar.
 
-def _tile_pairs(members: DataFrame, common: int, cfg: Shingles) -> DataFrame:
-    """a, b: members of one group in different components that may be similar if the group's tokens are the first ones that
-    they have in common.
-
-    The smaller node of a pair needs a shorter prefix than the larger one. A group is dealt into blocks of cfg.group
-    members; a task meets one block of smaller nodes and one of larger ones.
+    One of the two is outside the group's largest component. The smaller one needs a shorter prefix than the larger.
     """
-    blocks = f"cast((members - 1) div {cfg.group} + 1 as int)"
-    cut = members.withColumn("_blocks", F.expr(blocks)).withColumn("_own", F.expr("pmod(xxhash64(node), _blocks)"))
-    every = F.explode(F.expr("sequence(0, _blocks - 1)"))
-    short = f"k <= n - ({2 * cfg.percent} * n + {99 + cfg.percent}) div {100 + cfg.percent} + {common}"
-    small = cut.filter(short).select("token", F.col("_own").alias("_i"), every.alias("_j"), F.col("node").alias("a"), F.col("n").alias("_na"), F.col("k").alias("_ka"), F.col("component").alias("_ca"))
-    large = cut.select("token", every.alias("_i"), F.col("_own").alias("_j"), "node", "n", "k", "component")
-    met = small.join(large, ["token", "_i", "_j"]).filter(f"(_na < n or (_na = n and a < node)) and component <> _ca and {_reach(cfg, common)}")
+    placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = placed.groupBy("token", "component").agg(F.count("*").alias("_members"))
+    open_ = parts.groupBy("token").agg(F.max_by("component", F.struct("_members", "component")).alias("_largest"), F.count("*").alias("_parts")).filter("_parts > 1")
+    members = checkpointed(placed.join(open_.select("token", "_largest"), "token").withColumn("outside", F.expr("component <> _largest")))
+    short = members.filter(f"k <= n - ({2 * cfg.percent} * n + {99 + cfg.percent}) div {100 + cfg.percent} + 1")
+    small = short.select("token", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("k").alias("_ka"), F.col("component").alias("_ca"), F.col("outside").alias("_out"))
+    large = members.select("token", "node", "n", "k", "component", "outside")
+    both = small.filter("_out").join(large, "token").unionByName(small.filter("not _out").join(large.filter("outside"), "token"))
+    met = both.filter(f"(_na < n or (_na = n and a < node)) and component <> _ca and {_reach(cfg)}")
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def _open_pairs(tokens: DataFrame, labels: DataFrame, cfg: Shingles) -> DataFrame:
-    """a, b: nodes of one prefix group that are still in different components and may be similar.
-
-    Sets with c common shingles have the first l of these in their first n - c + l, so a large group is split by the
-    next common shingle of its members, which loses no pair.
-    """
-    groups = tokens.filter(_prefix(cfg, 1)).select("token", "node", "n", "k")
-    pairs = None
-    for common in range(1, cfg.depth + 1):
-        members = _apart_groups(groups, labels)
-        whole = members if common == cfg.depth else members.filter(F.col("members") <= cfg.group)
-        found = _tile_pairs(whole, common, cfg)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        crowded = members.filter(F.col("members") > cfg.group)
-        if common == cfg.depth or crowded.isEmpty():
-            break
-        further = tokens.filter(_prefix(cfg, common + 1)).select("node", F.col("token").alias("_next"), F.col("k").alias("_k"))
-        groups = crowded.join(further, "node").filter("_k > k").select(F.xxhash64("token", "_next").alias("token"), "node", "n", F.col("_k").alias("k"))
-    return pairs.distinct()
-
-
-def _prefix(cfg: Shingles, common: int) -> str:
-    """Condition on a token's place k: similar sets have their first ``common`` common tokens there."""
-    return f"k <= n - ceil({cfg.percent} * n / 100) + {common}"
-
-
 def _prefixes(texts: DataFrame, cfg: Shingles) -> DataFrame:
-    """token, node, n, k (place by rarity) of the rarest shingles of the nodes in ``texts``: as many that similar sets
-    have cfg.depth common ones there. Tokens that one node has are left out at the end, not before: they fill a prefix too."""
+    """token, node, n, k (place by rarity) of the rarest shingles of the nodes in ``texts``: as many that similar sets share one. Tokens that one
+    node has are left out at the end, not before: they fill a prefix too."""
     def explode(batches):
         for batch in batches:
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
@@ -447,7 +410,7 @@ def _prefixes(texts: DataFrame, cfg: Shingles) -> DataFrame:
     tokens = checkpointed(texts.mapInArrow(explode, "node long, n long, token long"))
     counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
     order = Window.partitionBy("node").orderBy("df", "token")
-    prefix = counted.withColumn("k", F.row_number().over(order)).filter(f"{_prefix(cfg, cfg.depth)} and df > 1")
+    prefix = counted.withColumn("k", F.row_number().over(order)).filter(f"k <= n - ceil({cfg.percent} * n / 100) + 1 and df > 1")
     return prefix.select("token", "node", "n", F.col("k").cast("long").alias("k"))
 
 
@@ -477,15 +440,15 @@ def jaccard_components(docs: DataFrame, cfg: Shingles = Shingles()) -> DataFrame
     # First one pair for each node, and each token group's members with its leader: a large group of copies becomes
     # a tree, not all its pairs.
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    tokens = None
+    crowded_groups = None
     if not crowd.isEmpty():
-        tokens = checkpointed(_prefixes(texts.join(crowd, "node"), cfg))
-        first = first.unionByName(_leader_pairs(tokens.filter(_prefix(cfg, 1)), cfg)).distinct()
+        crowded_groups = checkpointed(_prefixes(texts.join(crowd, "node"), cfg))
+        first = first.unionByName(_leader_pairs(crowded_groups, cfg)).distinct()
     first = checkpointed(first)
     labels = merged(None, checkpointed(verify(first, texts, cfg)))
     rest = _apart(pairs, labels)
-    if tokens is not None:
-        rest = rest.unionByName(_open_pairs(tokens, labels, cfg)).distinct()
+    if crowded_groups is not None:
+        rest = rest.unionByName(_open_pairs(crowded_groups, labels, cfg)).distinct()
     rest = checkpointed(rest.join(first, ["a", "b"], "left_anti"))
     labels = merged(labels, checkpointed(verify(rest, texts, cfg)))
 
