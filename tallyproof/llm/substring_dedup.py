@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tallyproof.llm.common import RollingHash, checkpointed, mixed, word_bounds, word_hashes
-from tallyproof.llm.winnow import ANSWER, ANSWER_SCHEMA, ASK, ASK_SCHEMA, COMPARE, CROWDED, REPEATED, Documents, Questions, Sizes, answer, answers_of, ask_rows, batched, covered, cut
+from tallyproof.llm.winnow import ASK, ASK_SCHEMA, COMPARE, CROWDED, REPEATED, Documents, Questions, Sizes, answered, answers_of, ask_rows, batched, covered, cut
 
 _SECOND_RADIX = 0xC2B2AE3D27D4EB4F
 _COUNT = "batch long, one long, two long, n long"
@@ -77,15 +77,12 @@ def remove_repeated_windows(docs: DataFrame, cfg: WordWindows = WordWindows()) -
     kept is the text of the words that stay, joined by one space. Null and empty texts have no words. Repeated rows
     are documents of their own, so their windows repeat. Other columns are ignored.
     """
-    parts, buckets = batched(docs, cfg.sizes)
+    parts, buckets, lot = batched(docs, cfg.sizes)
 
     def ask(table: pa.Table) -> pa.Table:
         b = _Batch(table, cfg, buckets)
         return _table(ask_rows(table.column("batch")[0].as_py(), 0, b.questions, b.segments.keys, b.contents, None), ASK_SCHEMA)
 
-    def reply(table: pa.Table) -> pa.Table:
-        return _table(answer(table, ordered=False, crowd=cfg.sizes.crowd), ANSWER_SCHEMA)
-
     def count_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         """The distinct windows of the batch that are to be counted, and how often it holds each."""
         if not left.num_rows or not right.num_rows:
@@ -121,7 +118,7 @@ def remove_repeated_windows(docs: DataFrame, cfg: WordWindows = WordWindows()) -
                 out[n].append(v)
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_intervals", pa.int64()), ("kept", pa.string())]))
 
-    answers = checkpointed(parts.groupBy("batch").applyInArrow(ask, ASK).groupBy("bucket").applyInArrow(reply, ANSWER))
+    answers = checkpointed(answered(parts.groupBy("batch").applyInArrow(ask, ASK), False, cfg.sizes.crowd, lot))
     windows = checkpointed(parts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(count_windows, _COUNT))
     repeated = windows.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").select("one", "two")
     again = windows.join(repeated, ["one", "two"]).select("batch", F.lit(None).cast("long").alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("codes"), "one", "two")

@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyproof.llm.common import BYTE_VALUE, RollingHash, mixed
-from tallyproof.llm.winnow import ANSWER, ANSWER_SCHEMA, ASK, ASK_SCHEMA, COMPARE, CROWDED, REPEATED, Documents, Questions, Sizes, answer, answers_of, ask_rows, batched, covered, cut
+from tallyproof.llm.common import BYTE_VALUE, RollingHash, checkpointed, mixed
+from tallyproof.llm.winnow import ANSWER, ANSWER_SCHEMA, ASK, ASK_SCHEMA, COMPARE, CROWDED, REPEATED, Documents, Questions, Sizes, answered, answers_of, ask_rows, batched, covered, cut
 
 _SECOND_RADIX = 0xC2B2AE3D27D4EB4F
 
@@ -211,15 +211,12 @@ def remove_repeated_strings(docs: DataFrame, cfg: Strings = Strings()) -> DataFr
     bytes. Null doc_ids come first; rows with equal doc_ids come in an order of their own that every run repeats.
     Other columns are ignored.
     """
-    parts, buckets = batched(docs, cfg.sizes)
+    parts, buckets, lot = batched(docs, cfg.sizes)
 
     def ask(table: pa.Table) -> pa.Table:
         b = _Batch(table, cfg, buckets)
         return _table(ask_rows(table.column("batch")[0].as_py(), 0, b.questions, b.segments.keys, b.contents, b.order), ASK_SCHEMA)
 
-    def reply(table: pa.Table) -> pa.Table:
-        return _table(answer(table, ordered=True, crowd=cfg.sizes.crowd), ANSWER_SCHEMA)
-
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _table([], ASK_SCHEMA)
@@ -232,9 +229,7 @@ def remove_repeated_strings(docs: DataFrame, cfg: Strings = Strings()) -> DataFr
         return _table(rows, ASK_SCHEMA)
 
     def compare(table: pa.Table) -> pa.Table:
-        kind = np.array(table.column("kind").to_pylist())
-        rows = order_segments(table.filter(pa.array(kind == 1)), cfg) + answer(table.filter(pa.array(kind == 2)), ordered=True, crowd=cfg.sizes.crowd)
-        return _table(rows, ANSWER_SCHEMA)
+        return _table(order_segments(table, cfg), ANSWER_SCHEMA)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         b = _Batch(left, cfg, buckets) if left.num_rows else None
@@ -266,8 +261,9 @@ def remove_repeated_strings(docs: DataFrame, cfg: Strings = Strings()) -> DataFr
                 out[n].append(v)
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
 
-    answers = parts.groupBy("batch").applyInArrow(ask, ASK).groupBy("bucket").applyInArrow(reply, ANSWER)
-    sent = parts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(send, ASK)
-    every = answers.unionByName(sent.groupBy("bucket").applyInArrow(compare, ANSWER))
+    answers = checkpointed(answered(parts.groupBy("batch").applyInArrow(ask, ASK), True, cfg.sizes.crowd, lot))
+    sent = checkpointed(parts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(send, ASK))
+    ordered = sent.filter("kind = 1").groupBy("bucket").applyInArrow(compare, ANSWER)
+    every = answers.unionByName(ordered).unionByName(answered(sent.filter("kind = 2"), True, cfg.sizes.crowd, lot))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return parts.groupBy("batch").cogroup(every.groupBy("batch")).applyInArrow(finish, schema)

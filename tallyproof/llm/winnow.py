@@ -5,13 +5,15 @@ least k-gram hash (the leftmost one) stands at the same place. Equal windows hav
 segments with equal keys, wherever they are. Each batch asks once for each distinct (key, content) it holds; the
 bucket of a key answers whether the content has occurred before and whether the key has other contents. Only the
 latter segments need their windows compared, which is a small part of a corpus. Questions travel as packed arrays: a
-common key or content is one entry a batch, so no bucket fills up with it.
+common key or content is one entry a batch. Batches are salted into lots; a lot asks its bucket once for each of its
+pairs, so that a key of every batch is one entry a lot there, and no task collects the batches of the corpus.
 
 A document's text is shuffled once, to its batch; the three passes over the batches share that exchange.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +27,12 @@ REPEATED, COMPARE, CROWDED = 1, 2, 4
 
 ASK = "batch long, bucket long, kind int, keys binary, contents binary, docs binary, sizes binary, bytes binary"
 ANSWER = "batch long, bucket long, kind int, codes binary"
+LOT = "bucket long, lot long, keys binary, contents binary, docs binary, many binary"
+LOT_ANSWER = "bucket long, lot long, codes binary"
 ASK_SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("keys", "contents", "docs", "sizes", "bytes"))])
 ANSWER_SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("codes", pa.binary())])
+LOT_SCHEMA = pa.schema([("bucket", pa.int64()), ("lot", pa.int64()), *((n, pa.binary()) for n in ("keys", "contents", "docs", "many"))])
+LOT_ANSWER_SCHEMA = pa.schema([("bucket", pa.int64()), ("lot", pa.int64()), ("codes", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -40,12 +46,14 @@ class Sizes:
     crowd: int = 3000
 
 
-def batched(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[DataFrame, int]:
-    """doc_id, text, batch; and the number of buckets. Batches are dealt by doc_id and text, so that neither a common
-    nor a null doc_id fills one."""
+def batched(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[DataFrame, int, int]:
+    """doc_id, text, batch; the number of buckets, and of batches in a lot. Batches are dealt by doc_id and text, so that
+    neither a common nor a null doc_id fills one. Lots grow with the batches to the power 2/3, their number to the power
+    1/3: a key of every batch is few entries in a lot, and fewer in its bucket, beside the others there."""
     n = total_bytes(docs)
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    return docs.select("doc_id", "text", F.pmod(key, F.lit(n // sizes.batch + 1)).alias("batch")), n // sizes.bucket + 1
+    batches = n // sizes.batch + 1
+    return docs.select("doc_id", "text", F.pmod(key, F.lit(batches)).alias("batch")), n // sizes.bucket + 1, math.ceil(batches ** (2 / 3))
 
 
 @dataclass
@@ -161,38 +169,89 @@ def ask_rows(batch: int, kind: int, q: Questions, keys: np.ndarray, contents: np
     ]
 
 
-def answer(table: pa.Table, ordered: bool, crowd: int) -> list[dict]:
-    """Answers to a bucket's question rows, in the order of each row's entries."""
-    rows = {n: table.column(n).to_pylist() for n in ("batch", "bucket", "kind", "keys", "contents", "docs")}
-    if not rows["batch"]:
-        return []
-    keys, contents = (np.frombuffer(b"".join(rows[n]), dtype=np.uint64) for n in ("keys", "contents"))
+@dataclass
+class _Pairs:
+    """Entries by key, content, document and asker (batch or lot): the order, and which stand first of a key or pair."""
+
+    by: np.ndarray
+    new_key: np.ndarray
+    new: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, contents: np.ndarray, docs: np.ndarray, askers: np.ndarray) -> "_Pairs":
+        by = np.lexsort((askers, docs, contents, keys))  # which batch is asked for its windows must not hang on arrival
+        k, c = keys[by], contents[by]
+        new_key = np.ones(len(by), dtype=bool)
+        new_key[1:] = k[1:] != k[:-1]
+        new = new_key.copy()
+        new[1:] |= c[1:] != c[:-1]
+        return cls(by, new_key, new)
+
+
+def _entries(table: pa.Table, asker: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Keys, contents, documents (0 where order doesn't count) and askers of the entries; and the entries of each row."""
+    rows = {n: table.column(n).to_pylist() for n in (asker, "keys", "contents", "docs")}
     lengths = [len(x) // 8 for x in rows["keys"]]
-    batch = np.repeat(np.array(rows["batch"], dtype=np.int64), lengths)
-    if ordered:
-        by = np.lexsort((batch, np.frombuffer(b"".join(rows["docs"]), dtype=np.int64), contents, keys))
-    else:
-        by = np.lexsort((batch, contents, keys))  # which batch is asked for its windows must not hang on arrival
-    k, c = keys[by], contents[by]
-    new_key = np.ones(len(by), dtype=bool)
-    new_key[1:] = k[1:] != k[:-1]
-    new = new_key.copy()
-    new[1:] |= c[1:] != c[:-1]
-    group = np.cumsum(new_key) - 1
-    kinds = np.bincount(group, weights=new).astype(np.int64)[group]
-    codes = np.where(new, 0, REPEATED).astype(np.uint8)
+    keys, contents = (np.frombuffer(b"".join(rows[n]), dtype=np.uint64) for n in ("keys", "contents"))
+    docs = np.frombuffer(b"".join(rows["docs"]), dtype=np.int64)
+    askers = np.repeat(np.array(rows[asker], dtype=np.int64), lengths)
+    return keys, contents, docs if len(docs) else np.zeros(len(keys), np.int64), askers, lengths
+
+
+def lot_questions(table: pa.Table) -> pa.Table:
+    """A lot's question row: its distinct (key, content) pairs with their first document, and whether several batches ask."""
+    keys, contents, docs, batch, _ = _entries(table, "batch")
+    pairs = _Pairs.of(keys, contents, docs, batch)
+    first = pairs.by[pairs.new]
+    many = np.diff([*np.flatnonzero(pairs.new), len(pairs.by)]) > 1
+    row = {"bucket": table.column("bucket")[0].as_py(), "lot": table.column("lot")[0].as_py(), "keys": keys[first].tobytes(), "contents": contents[first].tobytes(), "docs": docs[first].tobytes(), "many": many.tobytes()}
+    return pa.Table.from_pylist([row], schema=LOT_SCHEMA)
+
+
+def bucket_answers(table: pa.Table, ordered: bool, crowd: int) -> pa.Table:
+    """Codes of a bucket's lots, in the order of each lot's pairs."""
+    keys, contents, docs, lot, lengths = _entries(table, "lot")
+    many = np.frombuffer(b"".join(table.column("many").to_pylist()), dtype=bool)
+    pairs = _Pairs.of(keys, contents, docs, lot)
+    group = np.cumsum(pairs.new_key) - 1
+    kinds = np.bincount(group, weights=pairs.new).astype(np.int64)[group]
+    codes = np.where(pairs.new, 0, REPEATED).astype(np.uint8)
     if not ordered:
-        item = np.cumsum(new) - 1
-        codes[np.bincount(item)[item] > 1] = REPEATED
-    codes[new & (kinds > 1) & (kinds <= crowd)] |= COMPARE
-    codes[new & (kinds > crowd)] |= CROWDED
-    out = np.empty(len(by), dtype=np.uint8)
-    out[by] = codes
+        item = np.cumsum(pairs.new) - 1
+        codes[np.bincount(item, weights=1 + many[pairs.by])[item] > 1] = REPEATED
+    codes[pairs.new & (kinds > 1) & (kinds <= crowd)] |= COMPARE
+    codes[pairs.new & (kinds > crowd)] |= CROWDED
+    out = np.empty(len(codes), dtype=np.uint8)
+    out[pairs.by] = codes
     ends = np.cumsum(lengths)
-    return [
-        {"batch": b, "bucket": u, "kind": t, "codes": out[e - n : e].tobytes()}
-        for b, u, t, n, e in zip(rows["batch"], rows["bucket"], rows["kind"], lengths, ends)
-    ]
+    rows = [{"bucket": b, "lot": t, "codes": out[e - n : e].tobytes()} for b, t, n, e in zip(table.column("bucket").to_pylist(), table.column("lot").to_pylist(), lengths, ends)]
+    return pa.Table.from_pylist(rows, schema=LOT_ANSWER_SCHEMA)
+
+
+def batch_answers(table: pa.Table, of_lot: pa.Table) -> pa.Table:
+    """Answers to a lot's question rows, in the order of each row's entries: the first entry of a pair has the lot's code,
+    the others repeat it."""
+    if not table.num_rows:
+        return pa.Table.from_pylist([], schema=ANSWER_SCHEMA)
+    keys, contents, docs, batch, lengths = _entries(table, "batch")
+    pairs = _Pairs.of(keys, contents, docs, batch)
+    codes = np.full(len(pairs.by), REPEATED, dtype=np.uint8)
+    codes[pairs.by[pairs.new]] = np.frombuffer(of_lot.column("codes")[0].as_py(), dtype=np.uint8)
+    ends = np.cumsum(lengths)
+    asked = zip(*(table.column(n).to_pylist() for n in ("batch", "bucket", "kind")))
+    rows = [{"batch": b, "bucket": u, "kind": t, "codes": codes[e - n : e].tobytes()} for (b, u, t), n, e in zip(asked, lengths, ends)]
+    return pa.Table.from_pylist(rows, schema=ANSWER_SCHEMA)
+
+
+def answered(asks: DataFrame, ordered: bool, crowd: int, lot: int) -> DataFrame:
+    """Answers to question rows of one kind, lots of ``lot`` batches first. The lots' exchange of ``asks`` is used twice."""
+
+    def reply(table: pa.Table) -> pa.Table:
+        return bucket_answers(table, ordered, crowd)
+
+    salted = asks.withColumn("lot", F.expr(f"batch div {lot}"))
+    codes = salted.groupBy("bucket", "lot").applyInArrow(lot_questions, LOT).groupBy("bucket").applyInArrow(reply, LOT_ANSWER)
+    return salted.groupBy("bucket", "lot").cogroup(codes.groupBy("bucket", "lot")).applyInArrow(batch_answers, ANSWER)
 
 
 def answers_of(table: pa.Table) -> dict[int, dict[int, bytes]]:

@@ -68,6 +68,58 @@ def test_substring_dedup_against_brute_force(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
 
 
+def test_window_questions_over_lots_of_batches(spark):
+    """A key of every batch, contents of several batches, and a key with more contents than the limit, in lots of three."""
+    from tallyproof.llm.winnow import ASK, COMPARE, CROWDED, REPEATED, answered
+
+    pack = lambda x, kind: np.array(x, dtype=kind).tobytes()
+    asked = {b: [(7, 70, 100 - b), (8, 80 + b % 2, b), (9, 900 + b, b), *([(b + 10, 5, b)] if b % 3 else [])] for b in range(10)}
+    rows = [(b, 0, 0, pack([e[0] for e in x], "u8"), pack([e[1] for e in x], "u8"), pack([e[2] for e in x], "i8"), b"", b"") for b, x in asked.items()]
+    for ordered in (True, False):
+        want = {}
+        for batch, x in asked.items():
+            codes = []
+            for key, content, doc in x:
+                same = sorted((d if ordered else 0, b) for b, y in asked.items() for k, c, d in y if (k, c) == (key, content))
+                kinds = len({c for y in asked.values() for k, c, _ in y if k == key})
+                first = same[0][1] == batch
+                code = REPEATED if (not first if ordered else len(same) > 1) else 0
+                codes.append(code | (0 if not first or kinds == 1 else COMPARE if kinds <= 4 else CROWDED))
+            want[batch] = codes
+        got = answered(spark.createDataFrame(rows, ASK).repartition(4), ordered, 4, 3).collect()
+        assert {r.batch: list(r.codes) for r in got} == want
+        assert not answered(spark.createDataFrame([], ASK), ordered, 4, 3).collect()
+
+
+def test_one_passage_in_every_document(spark):
+    """Repeats around a passage that all documents share, in many batches and lots, below and above the limit of contents."""
+    from tallyproof.llm.substring_dedup import WordWindows, remove_repeated_windows
+    from tallyproof.llm.suffix_dedup import Strings, remove_repeated_strings
+    from tallyproof.llm.winnow import Sizes
+
+    rng = random.Random(5)
+    passage = " ".join(f"licence{i}" for i in range(50))
+    rows = [(i, " ".join(f"w{rng.randint(0, 9)}" for _ in range(30)) + f" {passage} " + " ".join(f"v{rng.randint(0, 9)}" for _ in range(30))) for i in range(80)]
+    count: dict = {}
+    words = {i: t.split() for i, t in rows}
+    for w in words.values():
+        for i in range(len(w) - 34):
+            count[tuple(w[i : i + 35])] = count.get(tuple(w[i : i + 35]), 0) + 1
+    gone = {k: len({p for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for p in range(i, i + 35)}) for k, w in words.items()}
+    seen, cut = set(), {}
+    for doc, text in rows:
+        at = set()
+        for i in range(len(text) - 99):
+            if text[i : i + 100] in seen:
+                at.update(range(i, i + 100))
+            seen.add(text[i : i + 100])
+        cut[doc] = len(at)
+    for crowd in (3000, 2):
+        sizes = Sizes(1000, 20000, crowd)
+        assert {r.doc_id: r.n_removed for r in remove_repeated_windows(_docs(spark, rows), WordWindows(sizes=sizes)).collect()} == gone
+        assert {r.doc_id: r.n_removed for r in remove_repeated_strings(_docs(spark, rows), Strings(sizes=sizes)).collect()} == cut
+
+
 def _linked(rows):
     """doc_id -> (shingles, component) by comparing all pairs."""
     sets = {}
