@@ -215,3 +215,22 @@ def test_a_single_block_is_coded(spark):
     for n in (0, 1, 5, 300):
         ids = np.arange(n, dtype=np.uint32) % 7 * 1000
         assert [x.tolist() for x in decode_blocks(encode_blocks([ids]), [n])] == [ids.tolist()]
+
+
+def test_texts_stay_out_of_the_join_of_verdicts(spark):
+    """op7: where the frequent lines do not fit a broadcast, the rows that meet them carry no text."""
+    from tallyproof.llm.quality_rules import judge_documents
+
+    docs = spark.createDataFrame([(i, f"line {i}\nsame for all", "s") for i in range(20)], "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = judge_documents(docs).select("doc_id", "n_words", "kept")._jdf.queryExecution().optimizedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sides = [n for n in plan.toString().split("Join LeftOuter")[1:]]
+    join = plan
+    while not join.nodeName().startswith("Join"):
+        join = join.children().apply(0)
+    left = join.children().apply(0).output().mkString(",") if hasattr(join.children().apply(0).output(), "mkString") else str(join.children().apply(0).output())
+    assert sides and "text#" not in left and "r1#" not in left and "row#" not in left
