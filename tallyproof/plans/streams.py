@@ -55,21 +55,25 @@ def stream_ordered_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, open ones included, from events in four shares by time, a seventh of them a share late, out of order within
     a share; a last event of another job closes the stream."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.col("props").alias("message"))
-    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    first, last, n_events = e.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
     share = int((last - first).total_seconds() // 4) + 1
     number = F.floor((F.unix_timestamp("ts") - int(first.timestamp())) / share) + F.when(F.col("seq") % 7 == 0, 1).otherwise(0)
     path = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     for n in range(6):
-        part = e.filter(number == n).orderBy(F.xxhash64("seq")) if n < 5 else spark.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.timestamp_seconds(F.lit(int(last.timestamp()) + 3 * share + 366 * 86_400)).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit("end").alias("stage"), F.lit("").alias("message"))
+        part = e.filter(number == n).repartitionByRange(4, F.xxhash64("seq")).sortWithinPartitions(F.xxhash64("seq")) if n < 5 else spark.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.timestamp_seconds(F.lit(int(last.timestamp()) + 3 * share + 366 * 86_400)).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit("end").alias("stage"), F.lit("").alias("message"))
         part.select(e.columns).write.mode("append").parquet(path)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    buckets = max(16, n_events // 50_000)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": str(min(tasks, buckets))}
+    before = {k: spark.conf.get(k) for k in conf}
     try:
-        done = _arrived(st.ordered_progress(stream, f"{2 * share + 1} seconds", 24 * 365), "append")
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        done = _arrived(st.ordered_progress(stream, f"{2 * share + 1} seconds", 24 * 365, buckets), "append")
     finally:
-        spark.conf.set(store, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return done.filter("job_id <> -1").select("job_id", "run", "stage", F.col("started").cast("timestamp_ntz").alias("started"), "message", F.col("completed").cast("timestamp_ntz").alias("completed"))
 
 

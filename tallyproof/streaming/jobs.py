@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -62,62 +64,113 @@ def stage_progress(events: DataFrame, idle_hours: int = 1) -> DataFrame:
     return timed.groupBy("job_id").applyInPandasWithState(follow, _PROGRESS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-_PENDING = "ts timestamp, seq long, stage string, message string"
+#: Waiting events and open stages of the jobs of a bucket; times in microseconds.
+_WAITING = pa.schema([("job_id", pa.int64()), ("at", pa.int64()), ("seq", pa.int64()), ("stage", pa.string()), ("message", pa.string())])
+_OPEN = pa.schema([("job_id", pa.int64()), ("run", pa.int64()), ("stage", pa.string()), ("started", pa.int64()), ("message", pa.string()), ("at", pa.int64())])
 
 
-def ordered_progress(events: DataFrame, delay: str, idle_hours: int = 1) -> DataFrame:
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema) as writer:
+        writer.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(parts: list[bytes], schema: pa.Schema) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(p).read_all() for p in parts]
+    return pa.concat_tables([schema.empty_table(), *tables]).to_pandas()
+
+
+def _followed(opened: pd.DataFrame, due: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Stages that the due events close, and those open after them, of all jobs; an open stage stands before the events of
+    its job like one that began it."""
+    if due.empty:
+        return opened.head(0).assign(completed=pd.array([], "Int64")), opened
+    moved = opened["job_id"].isin(due["job_id"])
+    events = due.sort_values(["job_id", "at", "seq"]).assign(run=0, started=lambda e: e["at"])
+    x = pd.concat([opened[moved], events[opened.columns]]).sort_values("job_id", kind="stable", ignore_index=True)
+    job, stage = x["job_id"].to_numpy(), pd.factorize(x["stage"])[0]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (job[1:] != job[:-1]) | (stage[1:] != stage[:-1])
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(x)) - 1
+    runs = x.loc[begins].reset_index(drop=True)
+    for c in ("message", "at"):
+        runs[c] = x[c].to_numpy()[ends]
+    jobs = runs.groupby("job_id")
+    runs["run"] = jobs["run"].transform("first").clip(lower=1) + jobs.cumcount()
+    runs["completed"] = jobs["started"].shift(-1).astype("Int64")
+    closed = runs["completed"].notna()
+    return runs[closed], pd.concat([opened[~moved], runs.loc[~closed, opened.columns]])
+
+
+def ordered_progress(events: DataFrame, delay: str, idle_hours: int = 1, buckets: int = 256) -> DataFrame:
     """stage_progress for events that arrive late and over several batches: an event waits in a buffer until the watermark,
     ``delay`` behind the latest time seen, has passed it, and is then taken in its place by (ts, seq); so stages come out as
     the batch operator stage_history gives them. Events later than the delay are dropped. An open stage is sent, completed
     null, when its job has been idle for ``idle_hours`` of event time, and its state goes. Needs the RocksDB state store
-    (spark.sql.streaming.stateStore.providerClass)."""
+    (spark.sql.streaming.stateStore.providerClass).
+
+    Jobs share state by ``buckets``: a call of the processor and a read of its state serve all jobs of a bucket. A task holds the
+    waiting events of one bucket."""
     # Needs packages that the batch operators do without.
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     names = ["job_id", "run", "stage", "started", "message", "completed"]
-    millis = lambda t: int(pd.Timestamp(t).timestamp() * 1000) + 1  # noqa: E731  (the first whole one behind it)
+    millis = lambda micros: micros // 1000 + 1  # noqa: E731  (the first whole one behind it)
+    idle = idle_hours * 3_600_000
 
     class Progress(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.pending = handle.getListState("pending", _PENDING)
-            self.current = handle.getValueState("current", _STATE + ", last timestamp")
+            self.pending = handle.getListState("pending", "rows binary")
+            self.current = handle.getValueState("current", "rows binary")
+            self.timer = handle.getValueState("timer", "at long")
+
+        def wake(self, at: int) -> None:
+            """A bucket has one timer, for the earliest of its jobs."""
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
         def handleInputRows(self, key, rows, timerValues):
-            new = [(r.ts.to_pydatetime(), int(r.seq), r.stage, r.message) for frame in rows for r in frame.itertuples(index=False)]
-            self.pending.appendList(new)
-            self.handle.registerTimer(millis(min(r[0] for r in new)))
+            new = pd.concat(list(rows))[_WAITING.names]
+            self.pending.appendValue((_packed(new, _WAITING),))
+            at = int(millis(new["at"].min()))
+            known = self.timer.get()[0] if self.timer.exists() else None
+            if known is None or at < known:
+                if known is not None:
+                    self.handle.deleteTimer(known)
+                self.wake(at)
             yield pd.DataFrame([], columns=names)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             mark = timerValues.getCurrentWatermarkInMs()
-            waiting = sorted(self.pending.get(), key=lambda r: (r[0], r[1])) if self.pending.exists() else []
-            due = [r for r in waiting if millis(r[0]) <= mark]
-            run, stage, started, message, last = self.current.get() if self.current.exists() else (0, None, None, None, None)
-            done = []
-            for ts, _, name, said in due:
-                if stage is None and run == 0 or name != stage:
-                    if run:
-                        done.append((key[0], run, stage, started, message, ts))
-                    run, stage, started = run + 1, name, ts
-                message, last = said, ts
-            if due:
-                left = waiting[len(due) :]
-                self.pending.clear()
-                if left:
-                    self.pending.put(left)
-                    self.handle.registerTimer(millis(left[0][0]))
-                self.current.update((run, stage, started, message, last))
-                self.handle.registerTimer(millis(last) + idle_hours * 3_600_000)
-            if run and len(due) == len(waiting) and mark >= millis(last) + idle_hours * 3_600_000:
-                done.append((key[0], run, stage, started, message, pd.NaT))
-                self.current.clear()
-            yield pd.DataFrame(done, columns=names)
+            waiting = _unpacked([r[0] for r in self.pending.get()] if self.pending.exists() else [], _WAITING)
+            opened = _unpacked([self.current.get()[0]] if self.current.exists() else [], _OPEN)
+            due = millis(waiting["at"]) <= mark
+            left = waiting[~due]
+            done, opened = _followed(opened, waiting[due])
+            ends = millis(opened["at"]) + idle
+            alone = ~opened["job_id"].isin(left["job_id"])
+            over = alone & (ends <= mark)
+            self.pending.clear()
+            self.current.clear()
+            self.timer.clear()
+            if len(left):
+                self.pending.put([(_packed(left, _WAITING),)])
+            if not over.all():
+                self.current.update((_packed(opened[~over], _OPEN),))
+            later = [*millis(left["at"]).nsmallest(1), *ends[alone & ~over].nsmallest(1)]
+            if later:
+                self.wake(int(min(later)))
+            yield pd.concat([done[names], opened.loc[over].assign(completed=pd.array([pd.NA] * int(over.sum()), "Int64"))[names]])
 
         def close(self) -> None:
             pass
 
-    return events.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(Progress(), _PROGRESS, "append", "eventTime")
+    timed = events.withWatermark("ts", delay).select(F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("_bucket"), "ts", "job_id", F.unix_micros("ts").alias("at"), "seq", "stage", "message")
+    rows = timed.groupBy("_bucket").transformWithStateInPandas(Progress(), "job_id long, run int, stage string, started long, message string, completed long", "append", "eventTime")
+    return rows.withColumns({c: F.timestamp_micros(c) for c in ("started", "completed")})
 
 
 def latest_values(values: DataFrame) -> DataFrame:
