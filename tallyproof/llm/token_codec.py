@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Blocks coded side by side; about 45 KB of model each.
-LANES = 3072
+#: Blocks coded side by side; about 45 KB of model and 15 KB of ids and words each.
+LANES = 1536
 _TOTAL_BITS = 15
 _TOTAL = 1 << _TOTAL_BITS
 _SLACK = 64  # keeps the mixed frequencies below _TOTAL while weights drift by rounding

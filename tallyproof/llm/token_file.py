@@ -72,7 +72,7 @@ class IdEncoder:
 _encoders: dict[str, IdEncoder] = {}
 
 
-def _file_row(part: int, seq: int, doc_ids: list, lengths: list[int], data: bytes, cfg: TokenFile) -> pa.RecordBatch:
+def _file_row(part: int, seq: int, doc_ids: list, lengths: list[int], data: bytes | bytearray, cfg: TokenFile) -> pa.RecordBatch:
     ids = np.frombuffer(data, dtype="<u4")
     blocks = [ids[i : i + cfg.block_ids] for i in range(0, len(ids), cfg.block_ids)]
     payloads = encode_blocks(blocks)
@@ -96,19 +96,19 @@ def write_token_file(docs: DataFrame, path: str, cfg: TokenFile = TokenFile()) -
             _encoders[cfg.vocabulary] = IdEncoder(vocabulary_path(cfg.vocabulary))
         encoder, end = _encoders[cfg.vocabulary], np.array([cfg.end_id], dtype="<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
-        doc_ids, lengths, data, held = [], [], [], 0
+        doc_ids, lengths, data, held = [], [], bytearray(), 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id"), batch.column("text")):
                 ids = encoder.ids(text.as_py()) + end
                 doc_ids.append(doc.as_py())
                 lengths.append(len(ids) // 4)
-                data.append(ids)
+                data += ids
                 held += lengths[-1]
                 if held >= cfg.row_ids:
-                    yield _file_row(part, seq, doc_ids, lengths, b"".join(data), cfg)
-                    doc_ids, lengths, data, held, seq = [], [], [], 0, seq + 1
+                    yield _file_row(part, seq, doc_ids, lengths, data, cfg)
+                    doc_ids, lengths, data, held, seq = [], [], bytearray(), 0, seq + 1
         if doc_ids:
-            yield _file_row(part, seq, doc_ids, lengths, b"".join(data), cfg)
+            yield _file_row(part, seq, doc_ids, lengths, data, cfg)
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, _FILE).write.parquet(path)
@@ -128,9 +128,10 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 payloads = [r["payload"][e - s : e] for s, e in zip(r["sizes"], ends)]
                 n = [min(r["block_ids"], r["n_ids"] - i) for i in range(0, r["n_ids"], r["block_ids"])]
                 blocks = decode_blocks(payloads, np.array(n))
-                if [zlib.crc32(b.astype("<u4").tobytes()) for b in blocks] != r["checksums"]:
+                if [zlib.crc32(b.astype("<u4", copy=False)) for b in blocks] != r["checksums"]:
                     raise ValueError(f"a block of part {r['part']}, row {r['seq']} is damaged")
-                data = memoryview(np.concatenate(blocks).astype("<u4").tobytes())
+                data = memoryview(np.concatenate(blocks).astype("<u4", copy=False)).cast("B")
+                del blocks
                 to = np.cumsum(r["doc_lengths"])
                 since = to - np.array(r["doc_lengths"])
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(since, to)]
