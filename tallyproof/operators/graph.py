@@ -153,15 +153,18 @@ def related_context(edges: DataFrame, atoms: DataFrame, most: int = 12, chunks:
 
 #: Characters of the keys by which texts of one or two words are looked up.
 GRAM = 8
+#: Wanted keys of a document that go to its chunks in one array; more of them meet the chunks' keys in a join.
+CARRIED = 4096
 
 
-def containing_chunks(asks: DataFrame, chunks: DataFrame) -> DataFrame:
+def containing_chunks(asks: DataFrame, chunks: DataFrame, carried: int = CARRIED) -> DataFrame:
     """The asks (doc_id, atom_id, needle) with chunk_no: every chunk (doc_id, chunk_no, text) of the document that holds the
     needle. Empty needles are in none.
 
     A chunk that holds a needle has all its inner words as words; a needle without inner ones has runs of characters that
     the chunk has too. These are the keys of an inverted index over the wanted ones only; each needle is asked by the key that
-    the fewest chunks of its document have, and only these chunks are searched.
+    the fewest chunks of its document have, and only these chunks are searched. Up to ``carried`` wanted keys of a document
+    come to its chunks, so that of a chunk's keys only wanted ones are rows; a document with more of them deals all keys.
     """
     words = F.split("needle", r"(?U)\s+", -1)
     inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
@@ -170,9 +173,16 @@ def containing_chunks(asks: DataFrame, chunks: DataFrame) -> DataFrame:
     a = asks.filter("needle <> ''").withColumn("_n", F.when(F.size(inner) == 0, width).otherwise(0))
     a = stored(a.withColumn("_keys", F.when(F.col("_n") == 0, inner).otherwise(grams(F.col("needle"), F.col("_n")))))
     wanted = a.select(*asks.columns, "_n", F.explode("_keys").alias("_key"))
-    widths = a.select("doc_id", "_n").distinct()
-    spoken = chunks.join(widths, "doc_id").select("doc_id", "chunk_no", "_n", F.explode(F.when(F.col("_n") == 0, F.array_distinct(F.split("text", r"(?U)\s+", -1))).otherwise(grams(F.col("text"), F.col("_n")))).alias("_key"))
-    index = stored(spoken.join(wanted.select("doc_id", "_n", "_key").distinct(), ["doc_id", "_n", "_key"], "left_semi"))
+    keys = stored(wanted.select("doc_id", "_n", "_key").distinct())
+    width = keys.groupBy("doc_id", "_n").agg(F.count("*").alias("_keys"))
+    own = F.when(F.col("_n") == 0, F.array_distinct(F.split("text", r"(?U)\s+", -1))).otherwise(grams(F.col("text"), F.col("_n")))
+    few = keys.join(width.filter(F.col("_keys") <= carried).drop("_keys"), ["doc_id", "_n"], "left_semi").groupBy("doc_id", "_n").agg(F.collect_list("_key").alias("_asked"))
+    index = chunks.join(few, "doc_id").select("doc_id", "chunk_no", "_n", F.explode(F.array_intersect(own, "_asked")).alias("_key"))
+    many_keys = stored(width.filter(F.col("_keys") > carried).select("doc_id", "_n"))
+    if not many_keys.isEmpty():
+        spoken = chunks.join(many_keys, "doc_id").select("doc_id", "chunk_no", "_n", F.explode(own).alias("_key"))
+        index = index.unionByName(spoken.join(keys, ["doc_id", "_n", "_key"], "left_semi"))
+    index = stored(index)
     many = index.groupBy("doc_id", "_n", "_key").agg(F.count("*").alias("_many"))
     rarest = wanted.join(many, ["doc_id", "_n", "_key"], "left").groupBy(*asks.columns, "_n").agg(F.min(F.struct(F.coalesce("_many", F.lit(0)).alias("m"), F.col("_key").alias("k"))).alias("_r"))
     found = rarest.filter("_r.m > 0").withColumn("_key", F.col("_r.k")).join(index, ["doc_id", "_n", "_key"]).select(*asks.columns, "chunk_no")
