@@ -287,15 +287,23 @@ def walk_order(steps: DataFrame, starts: DataFrame, nodes: DataFrame) -> DataFra
     to it, and of nodes with one such the smaller id first. Level by level; unreached nodes are left out."""
     key = ["doc_id", "component"]
     by_id = Window.partitionBy(*key).orderBy("node")
-    ranked = frontier = stored(starts.join(nodes, ["doc_id", "node"]).withColumn("rank", F.row_number().over(by_id)).select(*key, "node", "rank"))
+    frontier = stored(starts.join(nodes, ["doc_id", "node"]).withColumn("rank", F.row_number().over(by_id)).select(*key, "node", "rank"))
+    ways = stored(steps.join(starts.select("doc_id", F.col("node").alias("next")), ["doc_id", "next"], "left_anti"))
+    ranked, levels, left = frontier, 0, nodes
     while True:
-        after = frontier.join(steps, ["doc_id", "node"]).select(*key, F.col("next").alias("node"), "rank").groupBy(*key, "node").agg(F.min("rank").alias("_by"))
-        after = after.join(ranked.select(*key, "node"), [*key, "node"], "left_anti").join(nodes, [*key, "node"], "left_semi")
-        taken = ranked.groupBy(*key).agg(F.max("rank").alias("_taken"))
+        # Only nodes that are left, in components still on their way, meet the next level.
+        left = stored(left.join(frontier.select(*key, "node"), [*key, "node"], "left_anti").join(frontier.select(*key).distinct(), key, "left_semi"))
+        after = frontier.join(ways, ["doc_id", "node"]).select(*key, F.col("next").alias("node"), "rank").groupBy(*key, "node").agg(F.min("rank").alias("_by"))
+        after = after.join(left, [*key, "node"], "left_semi")
+        # Ranks rise from level to level.
+        taken = frontier.groupBy(*key).agg(F.max("rank").alias("_taken"))
         frontier = stored(after.join(taken, key).withColumn("rank", F.col("_taken") + F.row_number().over(Window.partitionBy(*key).orderBy("_by", "node"))).select(*key, "node", "rank"))
         if frontier.isEmpty():
             return ranked
-        ranked = stored(ranked.unionByName(frontier))
+        levels += 1
+        ranked = ranked.unionByName(frontier)
+        if levels % 16 == 0:
+            ranked = stored(ranked)
 
 
 def component_batches(candidates: DataFrame, edges: DataFrame, known: DataFrame, size: int = 128) -> DataFrame:
