@@ -42,7 +42,7 @@ def number_signature(value: Column, unit: Column, period: Column, statement: Col
 
 def _duplicates(atoms: DataFrame, duplicate: float, size: int) -> DataFrame:
     """duplicate_links of atoms whose signature is an array."""
-    clean = [fx.key_text(F.coalesce(c, F.lit(""))).alias(c) for c in ("metric", "polarity")]
+    clean = [fx.key_text(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in ("metric", "polarity")]
     signed = F.array_join("signature", "\x1f", "\x1e")
     return duplicate_links(atoms.select("doc_id", "ord", *clean, signed.alias("signature"), "vec"), duplicate, size)
 

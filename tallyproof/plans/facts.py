@@ -141,9 +141,10 @@ def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(_vectors(spark, sf_dir))
 
 
-#: Atoms with numbers in their statements (one of three), a polarity that may be blank, and a metric that may be.
+#: Atoms with numbers in their statements (one of three), a polarity that may be blank, and a metric that may be (a null
+#: label is a blank one).
 _SIGNED = """
-with recursive v as (select vec_id // 50 as doc_id, vec_id as ord, vec_id % 3 as sign, case vec_id % 4 when 0 then '' when 1 then 'positive' when 2 then 'negative' else 'positive' end as polarity, case when vec_id % 5 = 0 then '' else label::varchar end as metric,
+with recursive v as (select vec_id // 50 as doc_id, vec_id as ord, vec_id % 3 as sign, case vec_id % 4 when 0 then '' when 1 then 'positive' when 2 then 'negative' else 'positive' end as polarity, case when vec_id % 5 = 0 then '' else coalesce(label::varchar, '') end as metric,
   list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as vec from embeddings),
 near as (select a.doc_id, a.ord as a, b.ord as b, a.sign = b.sign and (a.metric = b.metric or a.metric = '' or b.metric = '') and (a.polarity = b.polarity or a.polarity = '' or b.polarity = '') as agree
   from v a join v b on a.doc_id = b.doc_id and a.ord <> b.ord where list_dot_product(a.vec, b.vec) >= 0.25),
