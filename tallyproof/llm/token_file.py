@@ -1,14 +1,15 @@
 """Token-id files: documents in doc_id order, encoded in blocks by the adaptive coder of ``token_codec``.
 
 A file set is a Parquet table in the shared folder. Each of its rows is a run of whole documents: part and seq give
-its place, doc_ids and doc_lengths its documents, sizes and checksums its blocks, payload their bytes. Blocks hold
-``block_ids`` ids (the last fewer), start from an empty model and carry a CRC-32 of their ids, so any of them is
-decoded and verified alone.
+its place, doc_ids and doc_lengths its documents, sizes and checksums its blocks, payload their bytes and behind them those of
+the row's table of frequencies (the last of sizes). Blocks hold ``block_ids`` ids (the last fewer), start from the same model
+and carry a CRC-32 of their ids, so with the table any of them is decoded and verified alone.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,11 @@ from tallyproof.llm.tokens import REMEMBERED, chunks, vocabulary_path
 _FILE = "part int, seq int, n_ids long, doc_ids array<long>, doc_lengths array<long>, block_ids int, sizes array<int>, checksums array<long>, payload binary"
 
 
+#: Chunks of Latin letters below U+0250 (but U+0130, which turns into two characters) and ASCII punctuation behind them: the
+#: letters, in lower case, and the punctuation are one piece each to the vocabulary, whatever stands beside them.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-/:-@\\[-`{-~]*)")
+
+
 @dataclass(frozen=True)
 class TokenFile:
     """end_id: appended to each document. block_ids: ids in a block. row_ids: a row is closed at the first document
@@ -38,8 +44,8 @@ class TokenFile:
 
 
 class IdEncoder:
-    """Whole texts to ids by the tokenizers library, which sees each distinct white-space chunk once while a bounded
-    table remembers it; texts with special strings go through it whole."""
+    """Whole texts to ids by the tokenizers library, which sees each distinct piece of plain chunks, and each other distinct
+    white-space chunk, once while bounded tables remember them; texts with special strings go through it whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -48,10 +54,41 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a piece
+        self.ends[[i for word, i in vocabulary.items() if suffix and word.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """As one text, cut where pieces end; a vocabulary that sees other pieces in it gets them one by one."""
+        data = self._encode([" ".join(pieces)])[0]
+        to = (np.flatnonzero(self.ends[np.frombuffer(data, dtype="<u4")]) + 1) * 4
+        if len(to) != len(pieces):
+            return self._encode(pieces)
+        to = to.tolist()
+        return [data[a:b] for a, b in zip([0, *to], to)]
+
+    def _learn(self, new: set[str]) -> None:
+        plain, others = [], []
+        for chunk in new:
+            found = _PLAIN.fullmatch(chunk)
+            if found:
+                plain.append((chunk, found[1].lower(), found[2]))
+            else:
+                others.append(chunk)
+        if len(self.pieces) > REMEMBERED // 2:
+            self.pieces = {"": b""}
+        pieces = list({p for _, *both in plain for p in both}.difference(self.pieces))
+        if pieces:
+            self.pieces.update(zip(pieces, self._encode_pieces(pieces)))
+        self.known.update((chunk, self.pieces[word] + self.pieces[rest]) for chunk, word, rest in plain)
+        if others:
+            self.known.update(zip(others, self._encode(others)))
+
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
@@ -64,8 +101,7 @@ class IdEncoder:
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            new = list(set(pieces).difference(self.known))
-            self.known.update(zip(new, self._encode(new)))
+            self._learn(set(pieces).difference(self.known))
             return b"".join(map(self.known.__getitem__, pieces))
 
 
