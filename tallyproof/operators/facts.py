@@ -118,8 +118,13 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
+    """The vectors as rows; one that is null is not a number in all places, so that it is similar to none."""
     vectors = table.column("vec").combine_chunks()
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+    there = vectors.is_valid().to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.full((table.num_rows, len(flat) // max(1, there.sum())), np.nan)
+    out[there] = flat.reshape(there.sum(), out.shape[1])
+    return out
 
 
 def _codes(table: pa.Table, column: str) -> np.ndarray:
@@ -178,7 +183,7 @@ def duplicate_links(atoms: DataFrame, duplicate: float, size: int = TILE) -> Dat
     def links(table: pa.Table) -> pa.Table:
         a, b, counts = _sides(table)
         vec, ord_ = _matrix(table), table.column("ord").to_numpy()
-        near = counts & (vec[a] @ vec[b].T >= duplicate)
+        near = counts & (vec[a] @ vec[b].T >= duplicate) & (ord_[a][:, None] != ord_[b][None, :])
         agree = np.ones_like(near)
         for c in ("metric", "polarity", "signature"):
             codes = _codes(table, c)

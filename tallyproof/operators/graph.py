@@ -50,9 +50,9 @@ def _duplicates(atoms: DataFrame, duplicate: float, size: int) -> DataFrame:
 def near_duplicate_groups(atoms: DataFrame, duplicate: float = 0.92, size: int = TILE) -> DataFrame:
     """doc_id, rep, member: groups of atoms (doc_id, ord, metric, signature, polarity, vec) linked by a cosine of at
     least ``duplicate`` where number signatures are equal and metric and polarity agree or are blank; the first atom is the
-    representative. Atoms alone are groups too. Links are found in tiles of two blocks of a document's atoms."""
+    representative. Atoms alone are groups too, and those without a vector of finite numbers; rows of one ord are one member. Links are found in tiles of two blocks of a document's atoms."""
     links = _duplicates(atoms, duplicate, size).filter("a is not null").select("doc_id", "a", "b")
-    named = atoms.select("doc_id", F.col("ord").alias("member")).join(components(links).toDF("doc_id", "member", "rep"), ["doc_id", "member"], "left")
+    named = atoms.select("doc_id", F.col("ord").alias("member")).distinct().join(components(links).toDF("doc_id", "member", "rep"), ["doc_id", "member"], "left")
     return named.select("doc_id", F.coalesce("rep", "member").alias("rep"), "member")
 
 

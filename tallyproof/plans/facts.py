@@ -26,9 +26,9 @@ def _oracle(sql: str) -> str:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    norm = F.nullif(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(0.0))
     unit = F.transform("embedding", lambda x: x.cast("double") / norm)
-    return v.select(F.floor(F.col("vec_id") / 50).alias("doc_id"), F.col("vec_id").alias("ord"), F.floor(F.col("vec_id") / 5).alias("chunk_no"), F.col("label").alias("metric"), unit.alias("vec"))
+    return v.select(F.expr("vec_id div 50").alias("doc_id"), F.col("vec_id").alias("ord"), F.expr("vec_id div 5").alias("chunk_no"), F.col("label").alias("metric"), unit.alias("vec"))
 
 
 @query(_oracle("""select doc_id, atom_id, amount is not null and (max(amount) over w - min(amount) over w) / greatest(max(abs(amount)) over w, 1e-9) > 0.2 as suspect
@@ -142,10 +142,11 @@ def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Atoms with numbers in their statements (one of three), a polarity that may be blank, and a metric that may be (a null
-#: label is a blank one).
+#: label is a blank one). A vector that is null or zero, or has a component that is null or not finite, is similar to none:
+#: a comparison with not-a-number holds in DuckDB.
 _SIGNED = """
 with recursive v as (select vec_id // 50 as doc_id, vec_id as ord, vec_id % 3 as sign, case vec_id % 4 when 0 then '' when 1 then 'positive' when 2 then 'negative' else 'positive' end as polarity, case when vec_id % 5 = 0 then '' else coalesce(label::varchar, '') end as metric,
-  list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as vec from embeddings),
+  case when list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) and list_bool_or(list_transform(embedding, lambda x: x <> 0)) then list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) end as vec from embeddings),
 near as (select a.doc_id, a.ord as a, b.ord as b, a.sign = b.sign and (a.metric = b.metric or a.metric = '' or b.metric = '') and (a.polarity = b.polarity or a.polarity = '' or b.polarity = '') as agree
   from v a join v b on a.doc_id = b.doc_id and a.ord <> b.ord where list_dot_product(a.vec, b.vec) >= 0.25),
 walk(doc_id, ord, rep) as (select doc_id, ord, ord from v union select w.doc_id, n.b, w.rep from walk w join near n on w.doc_id = n.doc_id and w.ord = n.a where n.agree)"""
